@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brimfold.llm.near_duplicates import NearDuplicates, all_pairs, classes, near_duplicates
+from brimfold.llm.shared_spans import shared_spans
 from brimfold.sources.tables import table
 
 POSTING = ["title", "company_name", "description"]
@@ -26,6 +27,16 @@ def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
     return classes(_postings(spark, folder))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_classes": p1_classes}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_spans(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text").select(F.col("id").alias("doc_id"), "shared_chars")
+
+
+def p8_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Each shared stretch, and how much of its document is shared."""
+    found = shared_spans(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
+    return found.select(F.col("id").alias("doc_id"), F.explode("spans").alias("_s"), (F.col("shared_chars") / F.col("n_chars")).alias("shared_part")).select("doc_id", "_s.start", "_s.length", "shared_part")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_classes": p1_classes, "p8_found": p8_found, "p8_spans": p8_spans}
 
 SQL: dict[str, str] = {}
