@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brimfold.llm.eval_leaks import eval_leaks
 from brimfold.llm.near_duplicates import NearDuplicates, all_pairs, classes, near_duplicates
 from brimfold.llm.shared_spans import shared_spans
 from brimfold.sources.tables import table
@@ -27,6 +28,19 @@ def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
     return classes(_postings(spark, folder))
 
 
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return eval_leaks(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", table(spark, folder, "eval_items", "item_id", "text"), "item_id", "text")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).where("verbatim_windows > 0").select("doc_id", "item_id")
+
+
+def p6_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Verbatim and re-parameterised leaks, with the number of windows of each."""
+    return _leaks(spark, folder)
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return shared_spans(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text").select(F.col("id").alias("doc_id"), "shared_chars")
 
@@ -37,6 +51,6 @@ def p8_spans(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.explode("spans").alias("_s"), (F.col("shared_chars") / F.col("n_chars")).alias("shared_part")).select("doc_id", "_s.start", "_s.length", "shared_part")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_classes": p1_classes, "p8_found": p8_found, "p8_spans": p8_spans}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_classes": p1_classes, "p6_found": p6_found, "p6_leaks": p6_leaks, "p8_found": p8_found, "p8_spans": p8_spans}
 
 SQL: dict[str, str] = {}
