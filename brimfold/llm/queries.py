@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from brimfold.llm.eval_leaks import eval_leaks
 from brimfold.llm.near_duplicates import NearDuplicates, all_pairs, classes, near_duplicates
+from brimfold.llm.places import map_places, place_entries
 from brimfold.llm.shared_spans import shared_spans
 from brimfold.sources.tables import table
 
@@ -28,6 +29,24 @@ def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
     return classes(_postings(spark, folder))
 
 
+def _places(spark: SparkSession, folder: str, skip_exact: bool) -> DataFrame:
+    entries = place_entries(table(spark, folder, "places"))
+    parts = []
+    for feed, key, value in (("remotive", "id", "candidate_required_location"), ("arbeitnow", "slug", "location")):
+        part = map_places(table(spark, folder, feed, key, value, "fetched_at"), key, value, "fetched_at", entries, skip_exact)
+        parts.append(part.select(F.lit(feed).alias("feed"), "row_key", "place_id"))
+    return parts[0].unionByName(parts[1])
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _places(spark, folder, True)
+
+
+def p3_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Postings per feed and place, all values included; place 0 counts the unmatched."""
+    return _places(spark, folder, False).groupBy("feed", "place_id").agg(F.count("*").alias("postings"))
+
+
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
     return eval_leaks(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", table(spark, folder, "eval_items", "item_id", "text"), "item_id", "text")
 
@@ -51,6 +70,6 @@ def p8_spans(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.explode("spans").alias("_s"), (F.col("shared_chars") / F.col("n_chars")).alias("shared_part")).select("doc_id", "_s.start", "_s.length", "shared_part")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_classes": p1_classes, "p6_found": p6_found, "p6_leaks": p6_leaks, "p8_found": p8_found, "p8_spans": p8_spans}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_classes": p1_classes, "p3_found": p3_found, "p3_counts": p3_counts, "p6_found": p6_found, "p6_leaks": p6_leaks, "p8_found": p8_found, "p8_spans": p8_spans}
 
 SQL: dict[str, str] = {}
