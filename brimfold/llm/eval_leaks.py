@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brimfold.llm.text import U, WordHash, window_hashes, words
+from brimfold.llm.text import END, M1, U, WordHash, mix, window_hashes, words, words_of_all
 from brimfold.plans.shared import bounded_rows, small_or_plain
 
 MAX_ITEMS = 50_000
@@ -35,8 +35,10 @@ UNITS = frozenset(
     "year years month months week weeks day days hour hours minute minutes second seconds percent euro euros eur usd dollar dollars credits coins requests clients times people "
     "jahr jahre jahren monat monate monaten woche wochen tag tage tagen stunde stunden minute minuten sekunden prozent mal leute leuten menschen kunden".split()
 )
-NAME, NUMBER, UNIT = (U(x) for x in (1, 2, 3))
+NAME, NUMBER, UNIT, BREAK = 1, 2, 3, 4
 WORDS_CACHED = 200_000
+#: Texts whose words are looked at in one go.
+CHUNK = 512
 FILTER_BITS = 20
 
 
@@ -44,8 +46,8 @@ class Template(dict):
     """word -> token of the template; base words are given, others are typed and remembered within a bound."""
 
     def __init__(self, base: dict[str, int]):
-        super().__init__(base)
-        self.base = base
+        super().__init__(base | {END: BREAK})
+        self.base = base | {END: BREAK}
 
     def __missing__(self, word: str) -> int:
         if len(self) > len(self.base) + WORDS_CACHED:
@@ -66,10 +68,23 @@ def vocabulary(texts: list[str]) -> dict[str, int]:
                 if w[:1].islower():
                     small.add(p)
     most = max(1, RARE * len(texts))
-    base = {w: U(seen[w]) for w in items if not w.isdecimal() and (w in small or items[w] > most)}
+    base = {w: seen[w] for w in items if not w.isdecimal() and (w in small or items[w] > most)}
     return base | {u: UNIT for u in UNITS}
 
 
+def _template_windows(tokens: np.ndarray, lengths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(n, hashes of the windows of n tokens) for each of the sorted ``lengths``, each built on the one before."""
+    h, done = np.zeros(len(tokens), U), 0
+    for n in lengths:
+        for k in range(done, min(n, len(tokens))):
+            part = h[: len(tokens) - k]
+            part ^= tokens[k:]
+            part *= M1
+            part ^= part >> U(31)
+        done = n
+        yield n, mix(h[: max(0, len(tokens) - n + 1)] ^ U(n))
+
+
 def _scan(base: dict[str, int], lengths: list[int], known: np.ndarray | None):
     """Iterator function: (_id, _text) to (_id, _h, _x, _slots, _literal): template hash, word hash, slot values and number of other words of each window.
 
@@ -83,32 +98,33 @@ def _scan(base: dict[str, int], lengths: list[int], known: np.ndarray | None):
             maybe = np.zeros(1 << FILTER_BITS, bool)
             maybe[known & U((1 << FILTER_BITS) - 1)] = True
         for batch in batches:
-            rows, hashes, exact, slots, literal = [], [], [], [], []
-            for r, text in enumerate(batch.column(1).to_pylist()):
-                ws = words(text)
-                if not ws:
-                    continue
-                tokens = np.array([template[w] for w in ws], U)
-                found = {}
-                for n in lengths:
-                    h = window_hashes(tokens, n)
+            for first in range(0, len(batch), CHUNK):
+                part = batch.slice(first, CHUNK)
+                ws = words_of_all(part.column(1).to_pylist())
+                tokens = np.fromiter((template[w] for w in ws), U, len(ws))
+                ends = np.flatnonzero(tokens == BREAK)
+                rows, hashes, exact, slots, literal, done = [], [], [], [], [], set()
+                for n, h in _template_windows(tokens, lengths):
                     if known is not None:
                         at = np.flatnonzero(maybe[h & U((1 << FILTER_BITS) - 1)])
-                        at = at[np.isin(h[at], known)] if len(at) else at
+                        at = at[np.isin(h[at], known)]
                     else:
                         at = np.arange(len(h))
-                    for p in at.tolist():
-                        x = int(window_hashes(np.array([seen[w] for w in ws[p : p + n]], U), n)[0])
-                        found.setdefault((int(h[p]), x), (p, n))
-                for (h, x), (p, n) in found.items():
-                    slot = np.isin(tokens[p : p + n], typed)
-                    rows.append(r)
-                    hashes.append(h)
-                    exact.append(x)
-                    slots.append([ws[p + k] for k in np.flatnonzero(slot)])
-                    literal.append(int(n - slot.sum()))
-            signed = lambda x: pa.array(np.array(x, U).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), signed(hashes), signed(exact), pa.array(slots, pa.list_(pa.string())), pa.array(literal, pa.int32())], ["_id", "_h", "_x", "_slots", "_literal"])
+                    doc = np.searchsorted(ends, at)
+                    inside = at + n <= ends[doc] if len(at) else at
+                    for p, r in zip(at[inside].tolist(), doc[inside].tolist()) if len(at) else ():
+                        x = int(window_hashes(np.fromiter((seen[w] for w in ws[p : p + n]), U, n), n)[0])
+                        if (r, n, x) in done:
+                            continue
+                        done.add((r, n, x))
+                        slot = np.isin(tokens[p : p + n], typed)
+                        rows.append(r)
+                        hashes.append(int(h[p]))
+                        exact.append(x)
+                        slots.append([ws[p + k] for k in np.flatnonzero(slot)])
+                        literal.append(int(n - slot.sum()))
+                signed = lambda x: pa.array(np.array(x, U).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), signed(hashes), signed(exact), pa.array(slots, pa.list_(pa.string())), pa.array(literal, pa.int32())], ["_id", "_h", "_x", "_slots", "_literal"])
 
     return run
 

@@ -27,6 +27,24 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+END = "\x01"
+_WORD_OR_END = re.compile(r"[^\W_]+|\x01")
+
+
+def words_of_all(texts: list[str | None]) -> list[str]:
+    """The words of all texts in one list, END after each text."""
+    parts = []
+    for text in texts:
+        text = text or ""
+        if "<" in text:
+            text = _TAG.sub(" ", text)
+        if "&" in text:
+            text = html.unescape(text)
+        parts.append(text.replace(END, " ") if END in text else text)
+    parts.append("")
+    return _WORD_OR_END.findall(f" {END} ".join(parts).lower())
+
+
 class WordHash(dict):
     """word -> 64-bit hash, remembered; forgets all when it holds CACHE words, so memory stays bounded."""
 
