@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brimfold.llm.employers import employers, spelling_pairs
 from brimfold.llm.eval_leaks import eval_leaks
 from brimfold.llm.near_duplicates import NearDuplicates, all_pairs, classes, near_duplicates
 from brimfold.llm.places import map_places, place_entries
@@ -47,6 +48,19 @@ def p3_counts(spark: SparkSession, folder: str) -> DataFrame:
     return _places(spark, folder, False).groupBy("feed", "place_id").agg(F.count("*").alias("postings"))
 
 
+def _employers(spark: SparkSession, folder: str) -> DataFrame:
+    return employers(table(spark, folder, "remotive", "company_name").unionByName(table(spark, folder, "arbeitnow", "company_name")), "company_name")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_pairs(_employers(spark, folder))
+
+
+def p5_employers(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per spelling with the employer it means."""
+    return _employers(spark, folder)
+
+
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
     return eval_leaks(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", table(spark, folder, "eval_items", "item_id", "text"), "item_id", "text")
 
@@ -70,6 +84,6 @@ def p8_spans(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.explode("spans").alias("_s"), (F.col("shared_chars") / F.col("n_chars")).alias("shared_part")).select("doc_id", "_s.start", "_s.length", "shared_part")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_classes": p1_classes, "p3_found": p3_found, "p3_counts": p3_counts, "p6_found": p6_found, "p6_leaks": p6_leaks, "p8_found": p8_found, "p8_spans": p8_spans}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_classes": p1_classes, "p3_found": p3_found, "p3_counts": p3_counts, "p5_found": p5_found, "p5_employers": p5_employers, "p6_found": p6_found, "p6_leaks": p6_leaks, "p8_found": p8_found, "p8_spans": p8_spans}
 
 SQL: dict[str, str] = {}
