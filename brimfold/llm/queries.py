@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from brimfold.llm.employers import employers, spelling_pairs
 from brimfold.llm.eval_leaks import eval_leaks
+from brimfold.llm.mixing import mix
 from brimfold.llm.near_duplicates import NearDuplicates, all_pairs, classes, near_duplicates
 from brimfold.llm.places import map_places, place_entries
 from brimfold.llm.shared_spans import shared_spans
@@ -74,6 +75,20 @@ def p6_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return _leaks(spark, folder)
 
 
+def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return mix(table(spark, folder, "documents", "doc_id", "source", "text"), "doc_id", "source", "text", table(spark, folder, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Each use of a document in each mix, in the order of its slots."""
+    return _mix(spark, folder)[0]
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of each source in each mix."""
+    return _mix(spark, folder)[1]
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return shared_spans(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text").select(F.col("id").alias("doc_id"), "shared_chars")
 
@@ -84,6 +99,6 @@ def p8_spans(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.explode("spans").alias("_s"), (F.col("shared_chars") / F.col("n_chars")).alias("shared_part")).select("doc_id", "_s.start", "_s.length", "shared_part")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_classes": p1_classes, "p3_found": p3_found, "p3_counts": p3_counts, "p5_found": p5_found, "p5_employers": p5_employers, "p6_found": p6_found, "p6_leaks": p6_leaks, "p8_found": p8_found, "p8_spans": p8_spans}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_classes": p1_classes, "p3_found": p3_found, "p3_counts": p3_counts, "p5_found": p5_found, "p5_employers": p5_employers, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_spans": p8_spans}
 
 SQL: dict[str, str] = {}
