@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from brimfold.operators.instants import normalise_instants
 from brimfold.operators.snapshots import delivery_changes, with_values
+from brimfold.plans import table_queries, text_queries
 from brimfold.sources.tables import table
 
 #: feed: table, key, value, declared zone, whether slashed dates begin with the day
@@ -50,9 +51,9 @@ x AS (SELECT coalesce(n.k, o.k + 1) AS k, coalesce(n.id, o.id) AS id, o.descript
       FROM e n FULL JOIN e o ON n.k = o.k + 1 AND n.id = o.id)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_values": p2_values, "p4_found": p4_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_values": p2_values, "p4_found": p4_found} | text_queries.QUERIES | table_queries.QUERIES
 
-SQL: dict[str, str] = {
+SQL: dict[str, str] = text_queries.SQL | table_queries.SQL | {
     "p2_found": _DELIVERIES + "SELECT strftime(d.snapshot_date, '%Y-%m-%d') AS snapshot_date, x.id, x.change FROM x JOIN d ON d.k = x.k WHERE x.k > 1 AND x.change IS NOT NULL",
     "p2_values": _DELIVERIES + "SELECT strftime(d.snapshot_date, '%Y-%m-%d') AS snapshot_date, x.id, coalesce(md5(old_value), 'null') AS old_md5, coalesce(md5(new_value), 'null') AS new_md5 FROM x JOIN d ON d.k = x.k WHERE x.k > 1 AND x.change = 'changed'",
 }

@@ -51,4 +51,4 @@ def seen_events(observations: DataFrame, expire_days: int, late: str = "1 day")
 def weekly_counts(observations: DataFrame, kind: str, at: str, late: str = "2 days") -> DataFrame:
     """Stream of (week_start, kind, rows): tumbling calendar weeks from Monday; late rows count until the watermark passes."""
     weeks = F.window(at, "7 days", startTime="4 days")
-    return observations.withWatermark(at, late).groupBy(weeks.alias("w"), kind).agg(F.count("*").alias("rows")).select(F.col("w.start").cast("date").alias("week_start"), kind, "rows")
+    return observations.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).groupBy(weeks.alias("w"), kind).agg(F.count("*").alias("rows")).select(F.col("w.start").cast("date").alias("week_start"), kind, "rows")
