@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brimfold.functions.text import ENTITIES
 from brimfold.llm.employers import employers, spelling_pairs
 from brimfold.llm.eval_leaks import eval_leaks
 from brimfold.llm.mixing import mix
@@ -101,4 +102,27 @@ def p8_spans(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_classes": p1_classes, "p3_found": p3_found, "p3_counts": p3_counts, "p5_found": p5_found, "p5_employers": p5_employers, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_spans": p8_spans}
 
-SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+
+
+def _bare(x: str) -> str:
+    """SQL: a text without tags, the entities of the feeds resolved."""
+    out = f"regexp_replace(coalesce({x}, ''), '<[^>]*>', ' ', 'g')"
+    for entity, character in ENTITIES.items():
+        out = f"replace({out}, '{entity}', '{character.replace(chr(39), chr(39) * 2)}')"
+    return out
+
+
+SQL: dict[str, str] = {
+    "p1_found": f"""WITH w AS (SELECT DISTINCT id, {_WORDS.format(_bare('title'))} || {_WORDS.format(_bare('company_name'))} || {_WORDS.format(_bare('description'))} AS w FROM remotive WHERE len({_WORDS.format(_bare('description'))}) > 0),
+        s AS (SELECT DISTINCT id, array_to_string(w[k:k + 2], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS k FROM w)), n AS (SELECT id, count(*) AS n FROM s GROUP BY 1),
+        c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
+        SELECT id_a, id_b FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE c >= 0.6 * (x.n + y.n - c)""",
+    "p6_found": f"""WITH d AS (SELECT doc_id, {_WORDS.format(_bare('text'))} AS w FROM documents), i AS (SELECT item_id, {_WORDS.format(_bare('text'))} AS w FROM eval_items), m AS (SELECT item_id, w, least(12, len(w)) AS n FROM i WHERE len(w) > 0),
+        iw AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS s FROM (SELECT item_id, n, w, unnest(range(1, len(w) - n + 2)) AS k FROM m)),
+        dw AS (SELECT DISTINCT doc_id, n, array_to_string(w[k:k + n - 1], ' ') AS s FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM m)))
+        SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (n, s)""",
+    "p8_found": """WITH w AS (SELECT doc_id, k, md5(text[k:k + 399]) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 398)) AS k FROM documents WHERE length(text) >= 400)),
+        r AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)), p AS (SELECT DISTINCT doc_id, k FROM w SEMI JOIN r USING (h)), g AS (SELECT doc_id, least(400, lead(k, 1, k + 400) OVER (PARTITION BY doc_id ORDER BY k) - k) AS n FROM p)
+        SELECT doc_id, sum(n)::bigint AS shared_chars FROM g GROUP BY 1""",
+}
