@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
+from pyspark.sql.types import DoubleType
 
 from brimfold.functions.keys import fingerprint
 from brimfold.functions.text import normalize_company, normalize_text
@@ -30,7 +31,7 @@ BLOCK = 1000
 SIMILAR = 0.97
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """difflib's ratio of two texts; it depends on the order of the two."""
     return pd.Series([SequenceMatcher(None, a or "", b or "").ratio() for a, b in zip(left, right)], dtype=float)

@@ -23,7 +23,7 @@ from brimfold.plans.shared import materialize
 CANDIDATES = ("UTC", "Europe/London", "Europe/Berlin", "Europe/Athens", "America/New_York", "America/Chicago", "America/Denver", "America/Los_Angeles", "America/Sao_Paulo", "Asia/Kolkata", "Asia/Shanghai", "Asia/Tokyo", "Australia/Sydney")
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
-#: A declared zone is given up for one that saves this share of the zoneless values, and three standard errors more, from being violations.
+#: A declared zone is given up for one that saves this share of the zoneless values, and about two standard errors more, from being violations.
 CLEARLY = 0.02
 STEPS = 200
 
@@ -61,7 +61,7 @@ def estimate_zone(rows: DataFrame, declared: str | None = None, candidates: tupl
     zones = (declared, *[z for z in candidates if z != declared]) if declared else candidates
     found = zone_violations(rows, zones)
     best = min(zones, key=lambda z: (found[z], zones.index(z)))
-    return declared if declared and found[declared] - found[best] <= CLEARLY * found["n"] + 1.5 * found["n"] ** 0.5 else best
+    return declared if declared and found[declared] - found[best] <= CLEARLY * found["n"] + found["n"] ** 0.5 else best
 
 
 def normalise_instants(df: DataFrame, key: str, value: str, ingested: str, declared: str | None = None, day_first: bool = True) -> DataFrame:

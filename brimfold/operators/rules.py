@@ -35,7 +35,7 @@ def accepted(text: Column, accept: list[str], veto: list[str]) -> Column:
 
 def best_family(title: Column, body: Column, families: list[tuple[str, list[str], list[str]]], otherwise: str) -> Column:
     """struct(id, score): the family with the most hits, min(12, 6 per title term) + min(4, 1 per body term); ties go to the earlier one."""
-    hits = lambda text, terms: sum((F.contains(text, F.lit(t)).cast("int") for t in terms), F.lit(0))
+    hits = lambda text, terms: sum((F.coalesce(F.contains(text, F.lit(t)), F.lit(False)).cast("int") for t in terms), F.lit(0))
     scored = [F.struct((F.least(F.lit(12), 6 * hits(title, t)) + F.least(F.lit(4), hits(body, b))).alias("score"), F.lit(-k).alias("order"), F.lit(name).alias("id")) for k, (name, t, b) in enumerate(families)]
     best = F.array_max(F.array(*scored)) if scored else F.struct(F.lit(0).alias("score"), F.lit(otherwise).alias("id"))
     return F.struct(F.when(best["score"] > 0, best["id"]).otherwise(otherwise).alias("id"), F.greatest(best["score"], F.lit(0)).alias("score"))
