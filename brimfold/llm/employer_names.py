@@ -55,8 +55,7 @@ def _short_line(word: str, abbreviated: bool) -> str:
 
     fits = [line for line in LINES if inside(line)]
     pool = [x for x in begins if x in fits] or fits
-    # the end of the word tells more than its middle: "Enrg." is energy, "Eng." engineering
-    return min(pool, key=lambda line: (not line.startswith(word), line[-1] != word[-1], len(line)), default="")
+    return min(pool, key=lambda line: (not line.startswith(word), len(line)), default="")
 
 
 def near(a: str, b: str) -> bool:

@@ -27,15 +27,14 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import window as W
 
+from brimfold.operators.prefix import CELLS, running_total
 from brimfold.plans.shared import bounded_rows, materialize
 
 MAX_PLAN_ROWS = 100_000
-CELLS = 4096
 GOLDEN = (5**0.5 - 1) / 2
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern that belongs to the byte-level vocabularies.
@@ -66,16 +65,6 @@ def token_sizes(docs: DataFrame, key: str, source: str, text: str, tokenizer: st
     return materialize(sizes.groupBy("_id").agg(F.max(F.struct("_source", "tokens")).alias("_m")).select("_id", "_m.*"), "sizes")
 
 
-def running_total(df: DataFrame, group: list[str], cell: Column, order: list[str], value: Column, name: str) -> DataFrame:
-    """Adds ``name``: the sum of ``value`` over the rows before this one in its group. ``cell`` must not fall along ``order``; there are few cells, of bounded size."""
-    df = df.withColumns({"_cell": cell, "_v": value})
-    totals = df.groupBy(*group, "_cell").agg(F.sum("_v").alias("_t"))
-    before = W.Window.partitionBy(*group).orderBy("_cell").rowsBetween(W.Window.unboundedPreceding, -1)
-    totals = totals.select(*group, "_cell", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_base"))
-    inside = W.Window.partitionBy(*group, "_cell").orderBy(*order).rowsBetween(W.Window.unboundedPreceding, -1)
-    return df.withColumn("_in", F.coalesce(F.sum("_v").over(inside), F.lit(0))).join(totals, [*group, "_cell"]).withColumn(name, F.col("_base") + F.col("_in")).drop("_cell", "_v", "_in", "_base")
-
-
 def filled(weights: dict[str, float], caps: dict[str, float], size: float) -> dict[str, float]:
     """Amounts in proportion to the weights, none above its cap, that sum up to ``size`` or to all caps."""
     amounts, left, room = dict.fromkeys(weights, 0.0), size, {s: w for s, w in weights.items() if w > 0 and caps.get(s, 0) > 0}

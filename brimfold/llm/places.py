@@ -46,6 +46,7 @@ REGIONS = {
     "asia pacific": "AU BD CN HK ID IN JP KH KR LK MM MY NP NZ PH PK SG TH TW VN".split(),
 }
 
+LIST_SIGNS, LIST_WORDS = frozenset("|;/\n"), frozenset("und or oder and".split())
 _TOKEN = re.compile(r"[^\W_]+\.?")
 _CUT = re.compile(r"[\s\-]+\.(?![^\W_])")
 _SPECIAL = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "ð": "d", "þ": "th", "ı": "i"})
@@ -225,10 +226,16 @@ class Places:
                 break
             text = self.broken.sub(lambda m: self.repair[m[0]], text)
         text = _CUT.sub(".", text)
-        raw = _TOKEN.findall(unicodedata.normalize("NFC", text))
+        text = unicodedata.normalize("NFC", text)
+        spans = [m.span() for m in _TOKEN.finditer(text)]
+        raw = [text[a:b] for a, b in spans]
         words = [fold(w) for w in raw]
-        if not words:
+        if not words or not self.names:
             return []
+        parts, part = [], 0  # which item of a list each word is in
+        for i, (a, _) in enumerate(spans):
+            part += words[i] in LIST_WORDS or (i > 0 and not LIST_SIGNS.isdisjoint(text[spans[i - 1][1] : a]))
+            parts.append(part)
         bare = [w.rstrip(".") for w in words]
         starts, at = {}, 0
         for i, w in enumerate(bare):
@@ -252,18 +259,18 @@ class Places:
             if taken.isdisjoint(range(m.first, m.last + 1)):
                 taken.update(range(m.first, m.last + 1))
                 chosen.append(m)
-        return self._settle(sorted(chosen))
+        return self._settle(sorted(chosen), parts)
 
-    def _settle(self, chosen: list[Mention]) -> list[int]:
-        """Ambiguous names by the nearest country, then countries and regions beside their cities dropped."""
+    def _settle(self, chosen: list[Mention], parts: list[int]) -> list[int]:
+        """Ambiguous names by the nearest country (of the same item of a list, if there is one; after the name rather than before), then countries and regions beside their cities dropped."""
         entries = self.entries
         countries = [(m.first, entries[i].country) for m in chosen for i in m.ids if entries[i].kind == "country"]
         result: list[int] = []
         for m in chosen:
             ids = list(m.ids)
             if len(ids) > 1:
-                near_by = sorted((abs(at - m.first), code) for at, code in countries if code)
-                told = next(([i for i in ids if entries[i].country == code] for _, code in near_by if any(entries[i].country == code for i in ids)), None)
+                near_by = sorted((parts[at] != parts[m.first], abs(at - m.first), at < m.first, code) for at, code in countries if code)
+                told = next(([i for i in ids if entries[i].country == code] for *_, code in near_by if any(entries[i].country == code for i in ids)), None)
                 names = {entries[i].name for i in ids}
                 ids = told if told and len(told) == 1 else ids if m.exact or len(names) == 1 else []
             result += ids
