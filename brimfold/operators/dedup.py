@@ -23,7 +23,7 @@ from brimfold.functions.keys import fingerprint
 from brimfold.functions.text import normalize_company, normalize_text
 from brimfold.functions.urls import canonical_url, host_quality
 from brimfold.operators.prefix import ranked
-from brimfold.plans.shared import materialize
+from brimfold.plans.shared import discard, materialize
 
 LONG_TEXT = 500
 ANCHOR_BEFORE = 20
@@ -79,13 +79,17 @@ def near_links(df: DataFrame, order: str) -> DataFrame:
 def link_groups(links: DataFrame) -> DataFrame:
     """(node, group): the least node reachable by links."""
     both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    if not both.limit(1).count():
+        return both.select(F.col("a").alias("node"), F.col("b").alias("group"))
     labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("group")), "groups")
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("group").alias("near"))
         step = labels.join(near, "node", "left").select("node", F.col("group").alias("was"), F.least("group", F.coalesce("near", "group")).alias("to"))
         far = labels.select(F.col("node").alias("to"), F.col("group").alias("far"))
         new = materialize(step.join(far, "to", "left").select("node", F.least("to", F.coalesce("far", "to")).alias("group"), "was"), "groups")
+        discard(labels)
         labels = new.select("node", "group")
+        labels._brimfold_path = new._brimfold_path
         if not new.where("group <> was").limit(1).count():
             return labels
 

@@ -11,6 +11,7 @@ from brimfold.operators.postings import normalise_postings
 from brimfold.operators.rules import accepted
 from brimfold.operators.state import track_seen
 from brimfold.operators.summaries import report_queue
+from brimfold.plans.shared import materialize
 
 
 def candidates(raw: DataFrame, accept: list[str], veto: list[str]) -> DataFrame:
@@ -20,7 +21,8 @@ def candidates(raw: DataFrame, accept: list[str], veto: list[str]) -> DataFrame:
 
 def run(raw: DataFrame, state: DataFrame, now: Column, accept: list[str], veto: list[str], order: list[Column], report: int = 50, expire_days: int = 30, allow_expiry: bool = True) -> dict[str, DataFrame]:
     """{"postings", "state", "events", "report"} of one run. ``raw`` has the raw schema and _ord."""
-    postings = deduplicate(normalise_postings(candidates(raw, accept, veto)), "_ord")
+    # written once, as the observed postings, the state, the events and the report all read it
+    postings = materialize(deduplicate(normalise_postings(candidates(raw, accept, veto)), "_ord"), "postings")
     observed, new_state, events = track_seen(postings, state, now, expire_days, allow_expiry, "_ord")
     fresh = F.col("status").isin("NEW", "UPDATED")
     return {"postings": observed, "state": new_state, "events": events, "report": report_queue(observed, fresh, order, report)}

@@ -55,7 +55,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._brimfold_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` wrote and nothing reads any more."""
+    if path := getattr(df, "_brimfold_path", None):
+        drop_path(df.sparkSession, path)
 
 
 class TooLarge(ValueError):
