@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brimfold.plans.shared import materialize
+from brimfold.plans.shared import discard, materialize
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -16,6 +16,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     pairs = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null and x <> y")
     both = materialize(pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges")
+    if not both.limit(1).count():
+        return both.select(F.col("x").alias("node"), F.col("y").alias("label"))
     labels = materialize(both.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("node"), F.least("x", "y").alias("label")), "labels")
     while True:
         near = both.join(labels, both["y"] == labels["node"]).groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near"))
@@ -23,6 +25,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         jump = labels.select(F.col("node").alias("to"), F.col("label").alias("far"))
         new = materialize(step.join(jump, "to", "left").select("node", F.least("to", F.coalesce("far", "to")).alias("label"), F.col("label").alias("was")), "labels")
         changed = new.where("label <> was").limit(1).count()
+        discard(labels)
         labels = new.select("node", "label")
+        labels._brimfold_path = new._brimfold_path
         if not changed:
             return labels

@@ -156,9 +156,11 @@ def employers(names: DataFrame, name: str) -> DataFrame:
     ones = heads.where("size(words) = 1 and lacks <> 'word'").select(F.col("cluster").alias("lone"), F.col("words")[0].alias("half"), F.col("line").alias("_l"), F.col("legal").alias("_g"), F.col("w").alias("_w")).where(F.length("half") >= HALF_FROM)
     by_half = _single(ones.join(nearest.select("lone"), "lone", "left_anti").join(halves, "half").where(_fits(F.col("_l"), F.col("line")) & _fits(F.col("_g"), F.col("legal")) & (F.col("lone") != F.col("cluster")) & (F.col("_w") < F.col("w"))).select("lone", "cluster"))
 
-    # an initial: of the first word, of the whole brand set before it, or of the line
+    # an initial: of one of two words, of the whole brand set before it, or of the line
     dotted = heads.where("lacks = 'word' and size(words) > 1").select(F.col("cluster").alias("lone"), F.col("words")[0].substr(1, 1).alias("first"), F.concat_ws("", F.slice("words", 2, 9)).alias("rest"), F.col("line").alias("_l"), F.col("legal").alias("_g"))
-    full = members.where("size(words) = 2").select("cluster", F.col("words")[0].alias("_f"), F.col("words")[1].alias("rest"), "line", "legal")
+    two = members.where("size(words) = 2")
+    heads_of = lambda f, rest: two.select("cluster", f.alias("_f"), rest.alias("rest"), "line", "legal")
+    full = heads_of(F.col("words")[0], F.col("words")[1]).unionByName(heads_of(F.col("words")[1], F.col("words")[0])).unionByName(heads_of(F.col("line"), F.col("words")[1]))
     brand = members.select("cluster", F.concat_ws("", "words").alias("rest"), "line", "legal").unionByName(halves.select("cluster", F.col("half").alias("rest"), "line", "legal"))
     led = full.unionByName(brand.withColumn("_f", F.col("rest"))).unionByName(brand.withColumn("_f", F.col("line"))).withColumn("first", F.substring("_f", 1, 1)).drop("_f").distinct()
     by_initial = _single(dotted.join(led, ["first", "rest"]).where(_fits(F.col("_l"), F.col("line")) & _fits(F.col("_g"), F.col("legal"))).select("lone", "cluster"))
