@@ -20,7 +20,7 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session; sets a temporary one if there is none."""
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="brimfold-")
         sc.setCheckpointDir(folder)
