@@ -97,7 +97,8 @@ def close_brands(keys: DataFrame) -> DataFrame:
     made = materialize(keys.where(F.length("key") > EDITS).select("node", "line", "key").mapInArrow(_segments, "node bigint, key string, h bigint, role string"), "segments")
     index = made.where("role = 'i'").select("h", F.col("node").alias("b"), F.col("key").alias("kb"))
     probe = made.where("role = 'p'").select("h", F.col("node").alias("a"), F.col("key").alias("ka"))
-    pairs = probe.join(index, "h").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb")).distinct()
+    # verified where they meet, so that only close pairs are shuffled; a pair met in several segments is reduced after that
+    pairs = probe.join(index, "h").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb"))
     d = F.levenshtein("ka", "kb", EDITS)
     letters = lambda c: F.array_sort(F.split(c, ""))
     swapped = (F.length("ka") == F.length("kb")) & (letters("ka") == letters("kb"))
