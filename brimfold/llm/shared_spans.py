@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from brimfold.llm.text import M1, M2, U, mix
 from brimfold.plans.shared import materialize
 
-#: Characters hashed at once; a longer text is a chunk of its own.
-CHUNK = 1 << 18
+#: Characters hashed at once, so that the arrays stay in the processor's cache; a longer text is a chunk of its own.
+CHUNK = 1 << 16
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -77,6 +77,7 @@ def _chosen(h: np.ndarray, ok: np.ndarray, width: int) -> np.ndarray:
     """Positions that hold the least hash of some run of ``width`` positions that are all ``ok``."""
     if len(h) < width:
         return np.empty(0, np.int64)
+    h = (h >> U(32)).astype(np.uint32)  # half the bytes; where the upper halves tie, both are chosen, in every document
     low = _slide(h, width, np.minimum)
     full = _slide(ok, width, np.logical_and)
     full[len(h) - width + 1 :] = False
