@@ -14,7 +14,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     Each round takes the least label among a node and its neighbours, aggregated before the shuffle, and then the
     label of that label, so long chains halve in each round. Stops when a round changes nothing.
     """
-    pairs = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null and x <> y")
+    # written before it is turned round, so that what made the edges runs once
+    pairs = materialize(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null and x <> y"), "pairs")
     both = materialize(pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges")
     if not both.limit(1).count():
         return both.select(F.col("x").alias("node"), F.col("y").alias("label"))
