@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from brimfold.llm.components import components
 from brimfold.llm.text import U, WordHash, mix, window_hashes, words
-from brimfold.plans.shared import materialize
+from brimfold.plans.shared import discard, materialize
 
 SUB_BANDS, SUB_ROWS = 24, 3
 
@@ -114,6 +114,7 @@ def near_duplicates(df: DataFrame, key: str, texts: list[str], required: str, la
     members = materialize(newest.join(first, "_key").select(F.col("_id").alias("id"), "rep", "_key"), "members")
     reps = made.join(members.where("id = rep").select(F.col("id").alias("_id"), "_key"), ["_id", "_key"], "left_semi").dropDuplicates(["_id"])
     reps = materialize(reps.select("_id", "_set").mapInArrow(_bands(bands, rows), f"_id {kind}, _set array<bigint>, _bands array<bigint>, _sub array<bigint>"), "reps")
+    discard(made)
 
     held = reps.select("_id", F.explode("_bands").alias("_h"))
     sizes = held.groupBy("_h").agg(F.count("*").alias("_n")).where("_n > 1")

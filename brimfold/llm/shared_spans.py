@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brimfold.llm.text import M1, M2, U, mix
-from brimfold.plans.shared import materialize
+from brimfold.plans.shared import discard, materialize
 
 #: Characters hashed at once, so that the arrays stay in the processor's cache; a longer text is a chunk of its own.
 CHUNK = 1 << 16
@@ -177,11 +177,14 @@ def shared_spans(df: DataFrame, key: str, text: str, least: int = 400) -> DataFr
     held = digest.join(copies, "_md")  # only documents with copies
     spare = held.where("_id <> _rep").select("_id")
 
-    first = materialize(source.mapInArrow(_windows(least // 4, least, False), shape), "windows").join(spare, "_id", "left_anti")
-    left = materialize(_left(source, first), "left")
+    first = materialize(source.mapInArrow(_windows(least // 4, least, False), shape), "windows")
+    left = materialize(_left(source, first.join(spare, "_id", "left_anti")), "left")
     second = materialize(left.mapInArrow(_windows(least // 2, least, True), shape), "windows")
-    left = materialize(_left(left, second), "left")
-    last = materialize(left.mapInArrow(_windows(least, least, True), shape), "windows")
+    discard(first)
+    still = materialize(_left(left, second), "left")
+    last = materialize(still.mapInArrow(_windows(least, least, True), shape), "windows")
+    for done in (second, left, still):
+        discard(done)
     live = last.join(_repeated(last), "_h", "left_semi")
 
     ends = live.groupBy("_id").agg(F.sort_array(F.collect_set("_pos")).alias("_p")).mapInArrow(_merge(least), f"_id {kind}, spans array<struct<start:int,length:int>>, shared_chars bigint")
