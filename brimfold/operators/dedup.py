@@ -67,7 +67,7 @@ def near_links(df: DataFrame, order: str) -> DataFrame:
     Rows are ranked within their anchor without gathering it, and joined in stretches of BLOCK ranks, so a hot anchor
     spreads over as many tasks as it has stretches.
     """
-    rows = df.where("_anchor is not null").select(F.col(order).alias("o"), "_anchor", F.substring("_body", 1, 8000).alias("t"))
+    rows = df.where("_anchor is not null").select(F.col(order).alias("o"), "_anchor", F.col("_body").alias("t"))
     rows = ranked(rows, ["_anchor"], "o", "r").withColumn("k", F.floor(F.col("r") / BLOCK))
     left = rows.select(F.col("o").alias("a"), "_anchor", F.col("t").alias("_left"), F.col("r").alias("_ra"), F.explode(F.array_distinct(F.array("k", F.floor((F.col("r") + ANCHOR_BEFORE) / BLOCK)))).alias("k"))
     right = rows.select(F.col("o").alias("b"), "_anchor", F.col("t").alias("_right"), F.col("r").alias("_rb"), "k")
