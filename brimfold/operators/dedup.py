@@ -1,10 +1,11 @@
 """One posting from many deliveries of it.
 
 Postings that share a canonical URL, a source id, a fingerprint or the hash of a long description are one; so are those
-of one company whose long descriptions begin alike, are about as long and nearly equal. The result doesn't depend on
-the order of the rows: links form components (least label, lineage cut in the shared folder), and each component is
-merged by aggregates. Within a block a row is compared with the ``ANCHOR_BEFORE`` rows before it, as a definition of the
-operator, not as a cut: a run of near-equal postings is linked from one to the next.
+of one company whose long descriptions begin alike, are about as long and nearly equal, and those of one company and
+place (or both remote) with nearly equal titles and similar descriptions. Links form components (least label, lineage
+cut in the shared folder), and each component is merged by aggregates. Within a block a row is compared with the
+``ANCHOR_BEFORE`` or ``COMPANY_BEFORE`` rows before it. That is how the operator is defined, and no exact search: a run of
+near-equal postings is linked from one to the next, but two that lie further apart and have none between them are not.
 
 Defined results: empty keys link nothing. Ties in preference go to the earlier row (``order``).
 """
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BooleanType, DoubleType
 
 from brimfold.functions.keys import fingerprint
 from brimfold.functions.text import normalize_company, normalize_text
@@ -27,8 +28,10 @@ from brimfold.plans.shared import discard, materialize
 
 LONG_TEXT = 500
 ANCHOR_BEFORE = 20
+COMPANY_BEFORE = 100
 BLOCK = 1000
 SIMILAR = 0.97
+TITLE_SIMILAR, TEXT_SIMILAR = 0.9, 0.88
 
 
 @F.pandas_udf(DoubleType())
@@ -37,6 +40,17 @@ def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, a or "", b or "").ratio() for a, b in zip(left, right)], dtype=float)
 
 
+@F.pandas_udf(BooleanType())
+def similar_posting(left_title: pd.Series, right_title: pd.Series, left: pd.Series, right: pd.Series) -> pd.Series:
+    """Nearly equal titles, and then similar texts; the texts are only looked at where the titles agree. Cheap upper bounds of the ratios come first."""
+
+    def alike(a: str, b: str, least: float) -> bool:
+        m = SequenceMatcher(None, a or "", b or "")
+        return m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least
+
+    return pd.Series([alike(a, b, TITLE_SIMILAR) and alike(x, y, TEXT_SIMILAR) for a, b, x, y in zip(left_title, right_title, left, right)], dtype=bool)
+
+
 def with_keys(df: DataFrame) -> DataFrame:
     """Adds _keys, the array of exact keys of a canonical posting, and _anchor, the block of its description."""
     company, body = normalize_company(F.col("company")), normalize_text(F.col("description"))
@@ -61,19 +75,33 @@ def exact_links(df: DataFrame, order: str, keys: str) -> DataFrame:
     return held.join(first, "_k").where("a <> b").select("a", "b").distinct()
 
 
-def near_links(df: DataFrame, order: str) -> DataFrame:
-    """(a, b): rows of one anchor block with nearly equal descriptions, each compared with the rows just before it.
+def _neighbours(rows: DataFrame, before: int) -> DataFrame:
+    """Pairs of rows (o, key, v) of one key, each with the ``before`` rows before it: (a, b, _left, _right).
 
-    Rows are ranked within their anchor without gathering it, and joined in stretches of BLOCK ranks, so a hot anchor
-    spreads over as many tasks as it has stretches.
+    Rows are ranked within their key without gathering it, and joined in stretches of BLOCK ranks, so a hot key spreads
+    over as many tasks as it has stretches.
     """
-    rows = df.where("_anchor is not null").select(F.col(order).alias("o"), "_anchor", F.col("_body").alias("t"))
-    rows = ranked(rows, ["_anchor"], "o", "r").withColumn("k", F.floor(F.col("r") / BLOCK))
-    left = rows.select(F.col("o").alias("a"), "_anchor", F.col("t").alias("_left"), F.col("r").alias("_ra"), F.explode(F.array_distinct(F.array("k", F.floor((F.col("r") + ANCHOR_BEFORE) / BLOCK)))).alias("k"))
-    right = rows.select(F.col("o").alias("b"), "_anchor", F.col("t").alias("_right"), F.col("r").alias("_rb"), "k")
+    rows = ranked(rows, ["key"], "o", "r").withColumn("k", F.floor(F.col("r") / BLOCK))
+    left = rows.select(F.col("o").alias("a"), "key", F.col("v").alias("_left"), F.col("r").alias("_ra"), F.explode(F.array_distinct(F.array("k", F.floor((F.col("r") + before) / BLOCK)))).alias("k"))
+    right = rows.select(F.col("o").alias("b"), "key", F.col("v").alias("_right"), F.col("r").alias("_rb"), "k")
+    return left.join(right, ["key", "k"]).where((F.col("_rb") - F.col("_ra")).between(1, before)).select("a", "b", "_left", "_right")
+
+
+def near_links(df: DataFrame, order: str) -> DataFrame:
+    """(a, b): rows of one anchor block with nearly equal descriptions."""
+    pairs = _neighbours(df.where("_anchor is not null").select(F.col(order).alias("o"), F.col("_anchor").alias("key"), F.col("_body").alias("v")), ANCHOR_BEFORE)
     alike = F.least(F.length("_left"), F.length("_right")) / F.greatest(F.length("_left"), F.length("_right"))
-    pairs = left.join(right, ["_anchor", "k"]).where((F.col("_rb") - F.col("_ra")).between(1, ANCHOR_BEFORE) & (alike >= 0.95))
-    return pairs.where(sequence_ratio(F.col("_left"), F.col("_right")) >= SIMILAR).select("a", "b")
+    return pairs.where(alike >= 0.95).where(sequence_ratio(F.col("_left"), F.col("_right")) >= SIMILAR).select("a", "b")
+
+
+def similar_links(df: DataFrame, order: str) -> DataFrame:
+    """(a, b): rows of one company, and of one place or both remote, with nearly equal titles and similar descriptions."""
+    where = F.array(F.concat(F.lit("p|"), "location_normalized"), F.when(F.col("remote"), F.lit("r")))
+    rows = df.where("company_normalized <> ''").select(F.col(order).alias("o"), "company_normalized", F.struct(F.col("title_normalized").alias("t"), F.col("_body").alias("b")).alias("v"), F.explode(F.array_compact(where)).alias("_w"))
+    pairs = _neighbours(rows.select("o", F.concat_ws("|", "company_normalized", "_w").alias("key"), "v"), COMPANY_BEFORE)
+    # lengths alone rule most pairs out
+    near = F.least(F.length("_left.t"), F.length("_right.t")) * 2 >= TITLE_SIMILAR * (F.length("_left.t") + F.length("_right.t"))
+    return pairs.where(near).where(similar_posting(F.col("_left.t"), F.col("_right.t"), F.col("_left.b"), F.col("_right.b"))).select("a", "b")
 
 
 def link_groups(links: DataFrame) -> DataFrame:
@@ -119,7 +147,7 @@ def deduplicate(postings: DataFrame, order: str, aggregators: list[str] | None =
     keyed = materialize(with_keys(postings), "keyed")
     links = exact_links(keyed, order, "_keys")
     if near:
-        links = links.unionByName(near_links(keyed, order))
+        links = links.unionByName(near_links(keyed, order)).unionByName(similar_links(keyed, order))
     groups = link_groups(links)
     placed = keyed.drop("_keys", "_anchor", "_body").join(groups.withColumnRenamed("node", order), order, "left").withColumn("group", F.coalesce("group", order))
     return merge_groups(placed, "group", order, aggregators or [])

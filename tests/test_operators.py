@@ -66,6 +66,13 @@ def test_postings_are_merged(spark):
     assert dedup.deduplicate(postings.normalise_postings(df.limit(0)), "_ord").count() == 0
 
 
+def test_similar_titles_are_linked(spark):
+    body = "You will maintain the booking system of our hotels and answer the phone at night. "
+    rows = [(0, "a", "1", "Inn", "Night Auditor", "Rome", "https://a.example/1", body + "Start in May.", []), (1, "a", "2", "Inn", "Night Auditors", "Rome", "https://a.example/2", body + "Start in June.", []), (2, "a", "3", "Inn", "Night Auditor", "Oslo", "https://a.example/3", body + "Start in July.", []), (3, "a", "4", "Inn", "Night Porter", "Rome", "https://a.example/4", body, []), (4, "a", "5", "Inn", "Night Auditor!", "Rome", "https://a.example/5", "Something else entirely, with other words.", [])]
+    done = {x["_ord"]: x.merged for x in dedup.deduplicate(postings.normalise_postings(raw(spark, rows)), "_ord").collect()}
+    assert done == {0: 3, 2: 1, 3: 1}  # 4 has the fingerprint of 0; Oslo is another place
+
+
 def test_links_form_groups(spark):
     r = random.Random(2)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 360)]
