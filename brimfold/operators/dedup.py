@@ -23,7 +23,7 @@ from pyspark.sql.types import BooleanType, DoubleType
 from brimfold.functions.keys import fingerprint
 from brimfold.functions.text import normalize_company, normalize_text
 from brimfold.functions.urls import canonical_url, host_quality
-from brimfold.operators.prefix import ranked
+from brimfold.operators.prefix import bounds, ranked
 from brimfold.plans.shared import discard, materialize
 
 LONG_TEXT = 500
@@ -75,30 +75,30 @@ def exact_links(df: DataFrame, order: str, keys: str) -> DataFrame:
     return held.join(first, "_k").where("a <> b").select("a", "b").distinct()
 
 
-def _neighbours(rows: DataFrame, before: int) -> DataFrame:
+def _neighbours(rows: DataFrame, before: int, span: tuple) -> DataFrame:
     """Pairs of rows (o, key, v) of one key, each with the ``before`` rows before it: (a, b, _left, _right).
 
     Rows are ranked within their key without gathering it, and joined in stretches of BLOCK ranks, so a hot key spreads
     over as many tasks as it has stretches.
     """
-    rows = ranked(rows, ["key"], "o", "r").withColumn("k", F.floor(F.col("r") / BLOCK))
+    rows = ranked(rows, ["key"], "o", "r", span).withColumn("k", F.floor(F.col("r") / BLOCK))
     left = rows.select(F.col("o").alias("a"), "key", F.col("v").alias("_left"), F.col("r").alias("_ra"), F.explode(F.array_distinct(F.array("k", F.floor((F.col("r") + before) / BLOCK)))).alias("k"))
     right = rows.select(F.col("o").alias("b"), "key", F.col("v").alias("_right"), F.col("r").alias("_rb"), "k")
     return left.join(right, ["key", "k"]).where((F.col("_rb") - F.col("_ra")).between(1, before)).select("a", "b", "_left", "_right")
 
 
-def near_links(df: DataFrame, order: str) -> DataFrame:
+def near_links(df: DataFrame, order: str, span: tuple) -> DataFrame:
     """(a, b): rows of one anchor block with nearly equal descriptions."""
-    pairs = _neighbours(df.where("_anchor is not null").select(F.col(order).alias("o"), F.col("_anchor").alias("key"), F.col("_body").alias("v")), ANCHOR_BEFORE)
+    pairs = _neighbours(df.where("_anchor is not null").select(F.col(order).alias("o"), F.col("_anchor").alias("key"), F.col("_body").alias("v")), ANCHOR_BEFORE, span)
     alike = F.least(F.length("_left"), F.length("_right")) / F.greatest(F.length("_left"), F.length("_right"))
     return pairs.where(alike >= 0.95).where(sequence_ratio(F.col("_left"), F.col("_right")) >= SIMILAR).select("a", "b")
 
 
-def similar_links(df: DataFrame, order: str) -> DataFrame:
+def similar_links(df: DataFrame, order: str, span: tuple) -> DataFrame:
     """(a, b): rows of one company, and of one place or both remote, with nearly equal titles and similar descriptions."""
     where = F.array(F.concat(F.lit("p|"), "location_normalized"), F.when(F.col("remote"), F.lit("r")))
     rows = df.where("company_normalized <> ''").select(F.col(order).alias("o"), "company_normalized", F.struct(F.col("title_normalized").alias("t"), F.col("_body").alias("b")).alias("v"), F.explode(F.array_compact(where)).alias("_w"))
-    pairs = _neighbours(rows.select("o", F.concat_ws("|", "company_normalized", "_w").alias("key"), "v"), COMPANY_BEFORE)
+    pairs = _neighbours(rows.select("o", F.concat_ws("|", "company_normalized", "_w").alias("key"), "v"), COMPANY_BEFORE, span)
     # lengths alone rule most pairs out
     near = F.least(F.length("_left.t"), F.length("_right.t")) * 2 >= TITLE_SIMILAR * (F.length("_left.t") + F.length("_right.t"))
     return pairs.where(near).where(similar_posting(F.col("_left.t"), F.col("_right.t"), F.col("_left.b"), F.col("_right.b"))).select("a", "b")
@@ -147,7 +147,8 @@ def deduplicate(postings: DataFrame, order: str, aggregators: list[str] | None =
     keyed = materialize(with_keys(postings), "keyed")
     links = exact_links(keyed, order, "_keys")
     if near:
-        links = links.unionByName(near_links(keyed, order)).unionByName(similar_links(keyed, order))
+        span = bounds(keyed, order)
+        links = links.unionByName(near_links(keyed, order, span)).unionByName(similar_links(keyed, order, span))
     groups = link_groups(links)
     placed = keyed.drop("_keys", "_anchor", "_body").join(groups.withColumnRenamed("node", order), order, "left").withColumn("group", F.coalesce("group", order))
     return merge_groups(placed, "group", order, aggregators or [])
