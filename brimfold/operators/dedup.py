@@ -3,9 +3,9 @@
 Postings that share a canonical URL, a source id, a fingerprint or the hash of a long description are one; so are those
 of one company whose long descriptions begin alike, are about as long and nearly equal, and those of one company and
 place (or both remote) with nearly equal titles and similar descriptions. Links form components (least label, lineage
-cut in the shared folder), and each component is merged by aggregates. Within a block a row is compared with the
-``ANCHOR_BEFORE`` or ``COMPANY_BEFORE`` rows before it. That is how the operator is defined, and no exact search: a run of
-near-equal postings is linked from one to the next, but two that lie further apart and have none between them are not.
+cut in the shared folder), and each component is merged by aggregates. Every two rows of a block count, however far apart
+they are: rows with the same texts stand for each other, and bounds that no similar pair can fail (lengths, edit distance
+of titles, longest common subsequence of texts) come before difflib's ratio.
 
 Defined results: empty keys link nothing. Ties in preference go to the earlier row (``order``).
 """
@@ -13,42 +13,59 @@ Defined results: empty keys link nothing. Ties in preference go to the earlier r
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
-from pyspark.sql.types import BooleanType, DoubleType
+from pyspark.sql.types import BooleanType
 
 from brimfold.functions.keys import fingerprint
 from brimfold.functions.text import normalize_company, normalize_text
 from brimfold.functions.urls import canonical_url, host_quality
-from brimfold.operators.prefix import bounds, ranked
 from brimfold.plans.shared import discard, materialize
 
 LONG_TEXT = 500
-ANCHOR_BEFORE = 20
-COMPANY_BEFORE = 100
-BLOCK = 1000
 SIMILAR = 0.97
 TITLE_SIMILAR, TEXT_SIMILAR = 0.9, 0.88
 
 
-@F.pandas_udf(DoubleType())
-def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """difflib's ratio of two texts; it depends on the order of the two."""
-    return pd.Series([SequenceMatcher(None, a or "", b or "").ratio() for a, b in zip(left, right)], dtype=float)
+@lru_cache(64)
+def _places(text: str) -> dict[str, int]:
+    """Bit set of the positions of each character."""
+    back = text[::-1]
+    return {c: int("".join("1" if x == c else "0" for x in back), 2) for c in set(text)}
 
 
-@F.pandas_udf(BooleanType())
-def similar_posting(left_title: pd.Series, right_title: pd.Series, left: pd.Series, right: pd.Series) -> pd.Series:
-    """Nearly equal titles, and then similar texts; the texts are only looked at where the titles agree. Cheap upper bounds of the ratios come first."""
+def _common(left: str, right: str) -> int:
+    """Length of the longest common subsequence (bit-parallel): the blocks that difflib matches are one, so they are never longer in all."""
+    at, full = _places(left), (1 << len(left)) - 1
+    v = full
+    for c in right:
+        u = v & at.get(c, 0)
+        v = (v + u) | (v - u)
+    return len(left) - (v & full).bit_count()
 
-    def alike(a: str, b: str, least: float) -> bool:
-        m = SequenceMatcher(None, a or "", b or "")
-        return m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least
 
-    return pd.Series([alike(a, b, TITLE_SIMILAR) and alike(x, y, TEXT_SIMILAR) for a, b, x, y in zip(left_title, right_title, left, right)], dtype=bool)
+def alike(left: str, right: str, least: float) -> bool:
+    """Whether difflib's ratio of two texts, which depends on the order of the two, is ``least`` or more. An upper bound of it comes first."""
+    both = len(left) + len(right)
+    if left == right or not both:
+        return True
+    if 2.0 * min(len(left), len(right)) / both < least or 2.0 * _common(left, right) / both < least:
+        return False
+    return SequenceMatcher(None, left, right).ratio() >= least
+
+
+def _alike(least: float):
+    """alike of two columns, in Arrow batches."""
+
+    @F.pandas_udf(BooleanType())
+    def run(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([alike(a or "", b or "", least) for a, b in zip(left, right)], dtype=bool)
+
+    return run
 
 
 def with_keys(df: DataFrame) -> DataFrame:
@@ -75,33 +92,50 @@ def exact_links(df: DataFrame, order: str, keys: str) -> DataFrame:
     return held.join(first, "_k").where("a <> b").select("a", "b").distinct()
 
 
-def _neighbours(rows: DataFrame, before: int, span: tuple) -> DataFrame:
-    """Pairs of rows (o, key, v) of one key, each with the ``before`` rows before it: (a, b, _left, _right).
+def _classes(rows: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows (o, ...) that agree in ``by`` as one class: (first, last, by) of each, and the links (a, b) of its rows with the first."""
+    classes = rows.groupBy(*by).agg(F.min("o").alias("first"), F.max("o").alias("last"))
+    many = classes.where("first <> last")
+    same = rows.join(many.select(*[F.col(c).alias(f"_{c}") for c in by], "first"), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]).where("o <> first").select(F.col("first").alias("a"), F.col("o").alias("b"))
+    return classes, same
+
 
-    Rows are ranked within their key without gathering it, and joined in stretches of BLOCK ranks, so a hot key spreads
-    over as many tasks as it has stretches.
-    """
-    rows = ranked(rows, ["key"], "o", "r", span).withColumn("k", F.floor(F.col("r") / BLOCK))
-    left = rows.select(F.col("o").alias("a"), "key", F.col("v").alias("_left"), F.col("r").alias("_ra"), F.explode(F.array_distinct(F.array("k", F.floor((F.col("r") + before) / BLOCK)))).alias("k"))
-    right = rows.select(F.col("o").alias("b"), "key", F.col("v").alias("_right"), F.col("r").alias("_rb"), "k")
-    return left.join(right, ["key", "k"]).where((F.col("_rb") - F.col("_ra")).between(1, before)).select("a", "b", "_left", "_right")
+def _side(df: DataFrame, suffix: str, *keep: str) -> DataFrame:
+    return df.select(*keep, *[F.col(c).alias(c + suffix) for c in df.columns if c not in keep])
 
 
-def near_links(df: DataFrame, order: str, span: tuple) -> DataFrame:
+def near_links(df: DataFrame, order: str) -> DataFrame:
     """(a, b): rows of one anchor block with nearly equal descriptions."""
-    pairs = _neighbours(df.where("_anchor is not null").select(F.col(order).alias("o"), F.col("_anchor").alias("key"), F.col("_body").alias("v")), ANCHOR_BEFORE, span)
-    alike = F.least(F.length("_left"), F.length("_right")) / F.greatest(F.length("_left"), F.length("_right"))
-    return pairs.where(alike >= 0.95).where(sequence_ratio(F.col("_left"), F.col("_right")) >= SIMILAR).select("a", "b")
+    rows = df.where("_anchor is not null").select(F.col(order).alias("o"), F.col("_anchor").alias("key"), F.col("_body").alias("body"))
+    classes, same = _classes(rows, ["key", "body"])
+    # a class may come before another with one row and after it with another: each order counts where it occurs
+    pairs = _side(classes, "_l", "key").join(_side(classes, "_r", "key"), "key").where("first_l < last_r and first_l <> first_r")
+    short, long = F.least(F.length("body_l"), F.length("body_r")), F.greatest(F.length("body_l"), F.length("body_r"))
+    close = pairs.where(short / long >= 0.95).where(_alike(SIMILAR)(F.col("body_l"), F.col("body_r")))
+    return close.select(F.col("first_l").alias("a"), F.col("first_r").alias("b")).unionByName(same)
 
 
-def similar_links(df: DataFrame, order: str, span: tuple) -> DataFrame:
+def similar_links(df: DataFrame, order: str) -> DataFrame:
     """(a, b): rows of one company, and of one place or both remote, with nearly equal titles and similar descriptions."""
-    where = F.array(F.concat(F.lit("p|"), "location_normalized"), F.when(F.col("remote"), F.lit("r")))
-    rows = df.where("company_normalized <> ''").select(F.col(order).alias("o"), "company_normalized", F.struct(F.col("title_normalized").alias("t"), F.col("_body").alias("b")).alias("v"), F.explode(F.array_compact(where)).alias("_w"))
-    pairs = _neighbours(rows.select("o", F.concat_ws("|", "company_normalized", "_w").alias("key"), "v"), COMPANY_BEFORE, span)
-    # lengths alone rule most pairs out
-    near = F.least(F.length("_left.t"), F.length("_right.t")) * 2 >= TITLE_SIMILAR * (F.length("_left.t") + F.length("_right.t"))
-    return pairs.where(near).where(similar_posting(F.col("_left.t"), F.col("_right.t"), F.col("_left.b"), F.col("_right.b"))).select("a", "b")
+    remote = F.coalesce("remote", F.lit(False))
+    where = F.array(F.struct(F.concat(F.lit("p|"), "location_normalized").alias("w"), remote.alias("far")), F.when(remote, F.struct(F.lit("r").alias("w"), F.lit(False).alias("far"))))
+    rows = df.where("company_normalized <> ''").select(F.col(order).alias("o"), "company_normalized", F.col("title_normalized").alias("title"), F.col("_body").alias("body"), F.explode(F.array_compact(where)).alias("_w"))
+    rows = rows.select("o", F.concat_ws("|", "company_normalized", "_w.w").alias("key"), "_w.far", "title", "body")
+    classes, same = _classes(rows, ["key", "far", "title", "body"])
+    classes = materialize(classes, "similar")
+
+    # titles first, each pair of a block's different ones once; no title pair of that ratio is further apart in edits
+    titles = classes.select("key", "title").distinct()
+    near = _side(titles, "_l", "key").join(_side(titles, "_r", "key"), "key")
+    both = F.length("title_l") + F.length("title_r")
+    near = near.where(F.least(F.length("title_l"), F.length("title_r")) * 2 >= TITLE_SIMILAR * both - 1e-6).where(F.levenshtein("title_l", "title_r") <= (1 - TITLE_SIMILAR) * both + 1e-6)
+    near = near.where(_alike(TITLE_SIMILAR)(F.col("title_l"), F.col("title_r")))
+
+    pairs = near.join(_side(classes, "_l", "key"), ["key", "title_l"]).join(_side(classes, "_r", "key"), ["key", "title_r"])
+    # two remote rows meet in the block of remote ones, not in that of their place
+    pairs = pairs.where("first_l < last_r and first_l <> first_r and not (far_l and far_r)")
+    pairs = pairs.where(F.least(F.length("body_l"), F.length("body_r")) * 2 >= TEXT_SIMILAR * (F.length("body_l") + F.length("body_r")) - 1e-6)
+    return pairs.where(_alike(TEXT_SIMILAR)(F.col("body_l"), F.col("body_r"))).select(F.col("first_l").alias("a"), F.col("first_r").alias("b")).unionByName(same)
 
 
 def link_groups(links: DataFrame) -> DataFrame:
@@ -147,8 +181,7 @@ def deduplicate(postings: DataFrame, order: str, aggregators: list[str] | None =
     keyed = materialize(with_keys(postings), "keyed")
     links = exact_links(keyed, order, "_keys")
     if near:
-        span = bounds(keyed, order)
-        links = links.unionByName(near_links(keyed, order, span)).unionByName(similar_links(keyed, order, span))
+        links = links.unionByName(near_links(keyed, order)).unionByName(similar_links(keyed, order))
     groups = link_groups(links)
     placed = keyed.drop("_keys", "_anchor", "_body").join(groups.withColumnRenamed("node", order), order, "left").withColumn("group", F.coalesce("group", order))
     return merge_groups(placed, "group", order, aggregators or [])

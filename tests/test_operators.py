@@ -73,6 +73,31 @@ def test_similar_titles_are_linked(spark):
     assert done == {0: 3, 2: 1, 3: 1}  # 4 has the fingerprint of 0; Oslo is another place
 
 
+def words_of(r, n):
+    return " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(n))
+
+
+def test_likeness_is_that_of_difflib():
+    r = random.Random(5)
+    for _ in range(300):
+        a = "".join(r.choice("abcd ") for _ in range(r.randrange(60)))
+        b = "".join(c for c in a if r.random() > 0.1) if r.random() < 0.7 else "".join(r.choice("abcd ") for _ in range(r.randrange(60)))
+        assert [dedup.alike(a, b, x) for x in (0.6, 0.88, 0.97)] == [dedup.SequenceMatcher(None, a, b).ratio() >= x for x in (0.6, 0.88, 0.97)]
+
+
+def test_similar_postings_far_apart_are_linked(spark):
+    r = random.Random(3)
+    body, opening = words_of(r, 60), words_of(r, 70)
+    rows = [(i, "a", str(i), "Inn", words_of(r, 3), f"Place {i}", f"https://a.example/{i}", words_of(r, 60), []) for i in range(150)]
+    rows[0] = (0, "a", "0", "Inn", "Night Auditor", "Rome", "https://a.example/0", body + " may", [])
+    rows[149] = (149, "a", "149", "Inn", "Night Auditors", "Oslo", "https://a.example/149", body + " june", [])  # 149 rows later, both remote
+    # one anchor block: the same opening, and endings of the same length that differ but for two of them
+    rows += [(200 + i, "b", str(i), "Mill", words_of(r, 3), f"Place {i}", f"https://b.example/{i}", opening + " " + words_of(r, 40), []) for i in range(40)]
+    rows[-1] = (*rows[-1][:7], rows[150][7][:-3] + "xyz", [])
+    done = {x["_ord"]: x.merged for x in dedup.deduplicate(postings.normalise_postings(raw(spark, rows).withColumn("remote", F.lit(True))), "_ord").collect()}
+    assert done == {x[0]: 2 if x[0] in (0, 200) else 1 for x in rows if x[0] not in (149, 239)}
+
+
 def test_links_form_groups(spark):
     r = random.Random(2)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 360)]
