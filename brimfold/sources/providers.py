@@ -1,7 +1,8 @@
 """Provider payloads to one raw posting schema: explicit schemas on read, explosion, projection; failures as rows of a log.
 
 Payloads are landed files: one JSON document each, or XML for feeds. Schemas are declared, never inferred. A payload
-that can't be parsed gives no postings and one failed row in the log, so one bad file or employer fails alone.
+whose container can't be parsed gives no postings and one failed row in the log, so one bad file or employer fails alone;
+a field of another type than declared costs its own value only. Ids and instants are read as they stand, as text.
 """
 
 from __future__ import annotations
@@ -16,13 +17,15 @@ RAW = (
 )
 LOG = "source string, employer string, ok boolean, jobs bigint, requests bigint, http_status int, error string"
 
+# What a document holds its postings in.
+CONTAINERS = {"arbeitnow": "pages", "remotive": "jobs", "greenhouse": "boards", "ashby": "boards", "lever": "sites", "recruitee": "subdomains"}
 SCHEMAS = {
-    "arbeitnow": "pages array<struct<data:array<struct<slug:string,company_name:string,title:string,description:string,remote:boolean,url:string,tags:array<string>,job_types:array<string>,location:string,created_at:bigint,salary:string>>>>",
-    "remotive": "jobs array<struct<id:bigint,url:string,title:string,company_name:string,category:string,tags:array<string>,job_type:string,publication_date:string,candidate_required_location:string,salary:string,description:string>>",
-    "greenhouse": "boards map<string,struct<jobs:array<struct<id:bigint,title:string,updated_at:string,location:struct<name:string>,absolute_url:string,content:string,metadata:array<struct<name:string,value:string>>,departments:array<struct<name:string>>,offices:array<struct<name:string>>>>>>",
+    "arbeitnow": "pages array<struct<data:array<struct<slug:string,company_name:string,title:string,description:string,remote:boolean,url:string,tags:array<string>,job_types:array<string>,location:string,created_at:string,salary:string>>>>",
+    "remotive": "jobs array<struct<id:string,url:string,title:string,company_name:string,category:string,tags:array<string>,job_type:string,publication_date:string,candidate_required_location:string,salary:string,description:string>>",
+    "greenhouse": "boards map<string,struct<jobs:array<struct<id:string,title:string,updated_at:string,location:struct<name:string>,absolute_url:string,content:string,metadata:array<struct<name:string,value:string>>,departments:array<struct<name:string>>,offices:array<struct<name:string>>>>>>",
     "ashby": "boards map<string,struct<jobs:array<struct<id:string,title:string,location:string,secondaryLocations:array<struct<location:string>>,department:string,team:string,isListed:boolean,isRemote:boolean,workplaceType:string,descriptionPlain:string,descriptionHtml:string,publishedAt:string,employmentType:string,jobUrl:string,applyUrl:string,compensation:struct<compensationTierSummary:string>>>>>",
-    "lever": "sites map<string,array<struct<id:string,text:string,categories:struct<location:string,allLocations:array<string>,commitment:string,team:string,department:string>,descriptionPlain:string,description:string,lists:array<struct<text:string,content:string>>,additionalPlain:string,additional:string,hostedUrl:string,applyUrl:string,workplaceType:string,createdAt:bigint,salaryRange:struct<currency:string,min:double,max:double,interval:string>,salaryDescriptionPlain:string>>>",
-    "recruitee": "subdomains map<string,struct<offers:array<struct<id:bigint,guid:string,slug:string,status:string,company_name:string,title:string,location:string,remote:boolean,hybrid:boolean,careers_url:string,careers_apply_url:string,published_at:string,created_at:string,description:string,requirements:string,department:string,category_code:string,experience_code:string,employment_type_code:string,salary:struct<currency:string,min:string,max:string,period:string>>>>>",
+    "lever": "sites map<string,array<struct<id:string,text:string,categories:struct<location:string,allLocations:array<string>,commitment:string,team:string,department:string>,descriptionPlain:string,description:string,lists:array<struct<text:string,content:string>>,additionalPlain:string,additional:string,hostedUrl:string,applyUrl:string,workplaceType:string,createdAt:string,salaryRange:struct<currency:string,min:double,max:double,interval:string>,salaryDescriptionPlain:string>>>",
+    "recruitee": "subdomains map<string,struct<offers:array<struct<id:string,guid:string,slug:string,status:string,company_name:string,title:string,location:string,remote:boolean,hybrid:boolean,careers_url:string,careers_apply_url:string,published_at:string,created_at:string,description:string,requirements:string,department:string,category_code:string,experience_code:string,employment_type_code:string,salary:struct<currency:string,min:string,max:string,period:string>>>>>",
 }
 PERSONIO = "id string, subcompany string, office string, department string, recruitingCategory string, name string, jobDescriptions struct<jobDescription:array<struct<name:string,value:string>>>, employmentType string, seniority string, schedule string, yearsOfExperience string, createdAt string"
 # What the codes for years of experience stand for.
@@ -39,16 +42,22 @@ def _lines(*columns: Column) -> Column:
 
 
 def _epoch(value: Column) -> Column:
-    """ISO text of epoch seconds, or milliseconds above ten digits."""
-    at = F.timestamp_micros(F.when(value > 10_000_000_000, value * 1000).otherwise(value * 1_000_000))
-    return F.coalesce(F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(""))
+    """ISO text of epoch seconds, or milliseconds above ten digits, in any writing of numbers; other texts as they are, null as the empty text."""
+    text = _or(value)
+    number = F.when(text.rlike(r"^[+-]?[0-9]+(?:\.[0-9]*)?(?:[eE][+-]?[0-9]{1,2})?$"), text).try_cast("decimal(26,9)")
+    seconds = F.when(number > 10_000_000_000, number / 1000).otherwise(number)
+    # years 1 to 9999
+    micros = F.when(seconds.between(-62_135_596_800, 253_402_300_799), F.round(seconds * 1_000_000)).cast("bigint")
+    at = F.to_utc_timestamp(F.timestamp_micros(micros), F.current_timezone())
+    iso = F.when(micros % 1_000_000 == 0, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    return F.coalesce(iso, text)
 
 
 def payloads(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """(path, doc): landed JSON documents, one row each, parsed by the provider's schema; doc is null where that fails."""
+    """(path, doc): landed JSON documents, one row each, parsed by the provider's schema; doc is null where its container can't be read."""
     raw = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value"))
     parsed = F.from_json("value", SCHEMAS[source] + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    return raw.select("path", parsed.alias("doc")).select("path", F.when(F.col("doc._bad").isNull(), F.col("doc")).alias("doc"))
+    return raw.select("path", parsed.alias("doc")).select("path", F.when(F.col("doc._bad").isNull() | F.col(f"doc.{CONTAINERS[source]}").isNotNull(), F.col("doc")).alias("doc"))
 
 
 def _finish(df: DataFrame, source: str, **columns: Column) -> DataFrame:

@@ -71,6 +71,23 @@ def test_a_broken_document_fails_alone(spark, landed):
     assert spark.range(1).select(providers.http_status(F.lit("HTTP Error 404: gone")).alias("s")).first().s == 404
 
 
+def test_a_mistyped_field_costs_itself_only(spark, landed):
+    instants = [1788076032, "1788076032", " 1788076032 ", 1788076032.25, 1.788076032e9, 1788076032000, "2026-08-14 09:30", None, "", "9" * 30]
+    want = ["2026-08-30T07:47:12Z"] * 3 + ["2026-08-30T07:47:12.250000Z"] + ["2026-08-30T07:47:12Z"] * 2 + ["2026-08-14 09:30", "", "", "9" * 30]
+    jobs = [{"slug": f"s{i}", "title": "T", "created_at": x} for i, x in enumerate(instants)] + [{"slug": "t", "title": "T", "tags": "none", "remote": "yes"}]
+    docs = providers.payloads(spark, landed("a.json", {"pages": [{"data": jobs[:4]}, {"data": jobs[4:]}]}), "arbeitnow")
+    got = {x.source_job_id: x.published_at for x in providers.arbeitnow(docs).collect()}
+    assert got == {f"s{i}": x for i, x in enumerate(want)} | {"t": ""}
+    assert [(x.ok, x.jobs) for x in providers.collection_log(docs, "arbeitnow").collect()] == [(True, 11)]
+    docs = providers.payloads(spark, landed("l.json", {"sites": {"a": [{"id": "1", "createdAt": "2026-08-14"}, {"id": "2", "createdAt": 1780390872000}], "b": [{"id": "3", "createdAt": 1780390872000, "salaryRange": "much"}]}}), "lever")
+    assert {x.source_job_id: (x.company, x.published_at) for x in providers.lever(docs).collect()} == {"1": ("a", "2026-08-14"), "2": ("a", "2026-06-02T09:01:12Z"), "3": ("b", "2026-06-02T09:01:12Z")}
+    docs = providers.payloads(spark, landed("r.json", {"jobs": [{"id": "x7"}, {"id": 8}]}), "remotive")
+    assert {x.source_job_id for x in providers.remotive(docs).collect()} == {"x7", "8"}
+    for text in ('{"jobs": [{"id": 1}, {"id"', '{"jobs": "none"}'):
+        docs = providers.payloads(spark, landed("r.json", text), "remotive")
+        assert [x.ok for x in providers.collection_log(docs, "remotive").collect()] == [False] and providers.remotive(docs).count() == 0
+
+
 def test_rest_reader(spark, landed, tmp_path):
     good = "file://" + landed("page.json", '{"a": 1}')
     spark.dataSource.register(rest.PagedRest)
