@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brimfold.functions import keys, text, urls
 from brimfold.operators import dedup, postings, rules, summaries
+from brimfold.sources import providers
 from brimfold.sources.tables import table
 
 # Rule lists of these queries: examples of the kinds of lists the operators take.
@@ -161,10 +162,18 @@ def q35_year_ranges(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("low").alias("most"), F.max_by("pos", F.struct("low", -F.col("pos"))).alias("at"))
 
 
+def _arbeitnow(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "arbeitnow", "slug", "company_name", "title", "description", "remote", "url", "tags", "job_types", "location", "created_at", "salary")
+
+
 def q41_epoch_projection(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "arbeitnow", "slug", "created_at", "job_types", "location").where(F.col("created_at").rlike(r"^\d{10}$"))
-    at = F.timestamp_seconds(F.col("created_at").cast("bigint"))
-    return rows.select("slug", F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published_at"), F.concat_ws(", ", "job_types").alias("employment_type"), F.coalesce(F.trim("location"), F.lit("")).alias("location"))
+    """The projection over the rows its SQL is for, those of plain epoch seconds; q49 takes all."""
+    return providers.arbeitnow_rows(_arbeitnow(spark, d).where(F.col("created_at").rlike(r"^\d{10}$"))).select(F.col("source_job_id").alias("slug"), "published_at", "employment_type", "location")
+
+
+def q49_arbeitnow_projection(spark: SparkSession, d: str) -> DataFrame:
+    """The projection over every row: epoch numbers of any writing, texts, nulls."""
+    return providers.arbeitnow_rows(_arbeitnow(spark, d)).select(F.col("source_job_id").alias("slug"), "company", "title", "remote", "url", "published_at", F.md5("description").alias("description_md5"), "salary", "employment_type", "location", F.array_join("tags", ",").alias("tags"))
 
 
 def q42_nested_projection(spark: SparkSession, d: str) -> DataFrame:
@@ -202,7 +211,7 @@ def q46_exact_key_groups(spark: SparkSession, d: str) -> DataFrame:
     return dedup.exact_links(rows, "id", "k").groupBy("b").agg(F.min("a").alias("first"), F.count("*").alias("links")).withColumnRenamed("b", "id")
 
 
-QUERIES = {f.__name__: f for f in (q01_top_report, q02_normalized_text, q03_visible_text, q04_canonical_urls, q05_posting_keys, q06_sentences, q07_german_markers, q08_rejection_reasons, q09_title_ladder, q10_best_family, q11_strongest_mentions, q12_carried_sections, q13_exact_duplicates, q14_anchor_blocks, q35_year_ranges, q41_epoch_projection, q42_nested_projection, q43_union_sources, q44_html_parser, q45_deduplicated, q46_exact_key_groups)}
+QUERIES = {f.__name__: f for f in (q01_top_report, q02_normalized_text, q03_visible_text, q04_canonical_urls, q05_posting_keys, q06_sentences, q07_german_markers, q08_rejection_reasons, q09_title_ladder, q10_best_family, q11_strongest_mentions, q12_carried_sections, q13_exact_duplicates, q14_anchor_blocks, q35_year_ranges, q41_epoch_projection, q42_nested_projection, q43_union_sources, q44_html_parser, q45_deduplicated, q46_exact_key_groups, q49_arbeitnow_projection)}
 
 _ROWS = f"SELECT doc_id, unnest(range(len(p))) AS pos, unnest(p) AS sentence FROM (SELECT doc_id, {_parts('text')} AS p FROM documents)"
 _HEAD = rf"regexp_replace({_norm('sentence')}, '^[ :\-]+|[ :\-]+$', '', 'g')"

@@ -73,7 +73,11 @@ def _keyed(docs: DataFrame, container: str, jobs: str | None) -> DataFrame:
 
 
 def arbeitnow(docs: DataFrame) -> DataFrame:
-    j = docs.where("doc is not null").select(F.explode("doc.pages").alias("p")).select(F.explode("p.data").alias("j")).select("j.*")
+    return arbeitnow_rows(docs.where("doc is not null").select(F.explode("doc.pages").alias("p")).select(F.explode("p.data").alias("j")).select("j.*"))
+
+
+def arbeitnow_rows(j: DataFrame) -> DataFrame:
+    """Postings of arbeitnow that already are rows."""
     return _finish(j, "arbeitnow", source_job_id=_or(F.col("slug")), company=_or(F.col("company_name")), title=_or(F.col("title")), location=_or(F.col("location")), remote=F.coalesce("remote", F.lit(False)), url=_or(F.col("url")), published_at=_epoch(F.col("created_at")), description=_or(F.col("description")), salary=_or(F.col("salary")), employment_type=F.concat_ws(", ", "job_types"), tags=F.col("tags"))
 
 

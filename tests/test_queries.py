@@ -18,6 +18,17 @@ def test_query_without_sql_gives_rows(spark, name):
     assert catalog.QUERIES[name](spark, FOLDER).count() > 0
 
 
+def test_every_row_of_arbeitnow_is_projected(spark):
+    from brimfold.sources.tables import table
+
+    rows = table(spark, FOLDER, "arbeitnow", "created_at").collect()
+    got = [x.published_at for x in catalog.QUERIES["q49_arbeitnow_projection"](spark, FOLDER).select("published_at").collect()]
+    blank = sum(not (x.created_at or "").strip() for x in rows)
+    assert len(got) == len(rows) and got.count("") == blank
+    number = lambda x: x.replace(".", "").replace("E", "").strip().isdecimal() and x.count(".") < 2 and x.strip()[:1] == "1" and len(x.strip()) > 10
+    assert not [x for x in got if number(x)]
+
+
 def test_entry_lists_every_query(spark):
     import __spark_entry__ as e
 
