@@ -24,7 +24,8 @@ from pyspark.sql.types import BooleanType
 from brimfold.functions.keys import fingerprint
 from brimfold.functions.text import normalize_company, normalize_text
 from brimfold.functions.urls import canonical_url, host_quality
-from brimfold.plans.shared import discard, materialize
+from brimfold.operators.components import components
+from brimfold.plans.shared import materialize
 
 LONG_TEXT = 500
 SIMILAR = 0.97
@@ -138,24 +139,6 @@ def similar_links(df: DataFrame, order: str) -> DataFrame:
     return pairs.where(_alike(TEXT_SIMILAR)(F.col("body_l"), F.col("body_r"))).select(F.col("first_l").alias("a"), F.col("first_r").alias("b")).unionByName(same)
 
 
-def link_groups(links: DataFrame) -> DataFrame:
-    """(node, group): the least node reachable by links."""
-    both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    if not both.limit(1).count():
-        return both.select(F.col("a").alias("node"), F.col("b").alias("group"))
-    labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("group")), "groups")
-    while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("group").alias("near"))
-        step = labels.join(near, "node", "left").select("node", F.col("group").alias("was"), F.least("group", F.coalesce("near", "group")).alias("to"))
-        far = labels.select(F.col("node").alias("to"), F.col("group").alias("far"))
-        new = materialize(step.join(far, "to", "left").select("node", F.least("to", F.coalesce("far", "to")).alias("group"), "was"), "groups")
-        discard(labels)
-        labels = new.select("node", "group")
-        labels._brimfold_path = new._brimfold_path
-        if not new.where("group <> was").limit(1).count():
-            return labels
-
-
 def merge_groups(df: DataFrame, group: str, order: str, aggregators: list[str]) -> DataFrame:
     """One posting per group: the fields of the preferred row, sources and tags united, maps merged (later rows win), the longest description, flags or-ed."""
     best_url = F.coalesce(F.nullif(F.col("canonical_url"), F.lit("")), F.nullif(F.col("apply_url"), F.lit("")), F.col("url"))
@@ -182,7 +165,7 @@ def deduplicate(postings: DataFrame, order: str, aggregators: list[str] | None =
     links = exact_links(keyed, order, "_keys")
     if near:
         links = links.unionByName(near_links(keyed, order)).unionByName(similar_links(keyed, order))
-    groups = link_groups(links)
+    groups = components(links, "a", "b").select("node", F.col("label").alias("group"))
     placed = keyed.drop("_keys", "_anchor", "_body").join(groups.withColumnRenamed("node", order), order, "left").withColumn("group", F.coalesce("group", order))
     return merge_groups(placed, "group", order, aggregators or [])
 

@@ -2,52 +2,74 @@
 
 Executors may be lost at any time, so lineage is cut only by tables in the folder that
 ``spark.checkpoint.dir`` names, which all executors share. A temporary folder is used only where
-that setting is empty (tests on one machine).
+that setting is empty and the whole session runs in one process (master ``local``); any other
+master without the setting is an error, as executors would write to disks of their own.
 """
 
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
+_own_folders: list[str] = []
+
+
+class NoSharedFolder(RuntimeError):
+    """A cluster session that names no folder all executors share."""
+
+
+def single_process(master: str) -> bool:
+    """Whether driver and executors of this master are one process, and so share every folder."""
+    return master == "local" or master.startswith("local[")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session; sets a temporary one if there is none."""
+    """The shared folder of this session; sets a temporary one if there is none and the master is local."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="brimfold-")
+        if not single_process(sc.master):
+            raise NoSharedFolder(f"set spark.checkpoint.dir to a folder that all executors of {sc.master} share")
+        _own_folders.append(tempfile.mkdtemp(prefix="brimfold-"))
+        folder = "file://" + _own_folders[-1]
         sc.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends."""
+    """A fresh path in the shared folder, removed by ``clean_up`` or when the driver ends."""
     path = f"{shared_dir(spark)}/brimfold-{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    _written[path] = spark
     return path
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete one written table."""
+    _written.pop(path, None)
     try:
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may be gone already
-        pass
+    except Exception:  # the session was stopped: what lies on this machine can still go
+        if path.startswith("file:"):
+            shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
 
 
-@atexit.register
-def _drop_all() -> None:
-    for spark, path in _written:
+def clean_up() -> None:
+    """Delete every intermediate table that is still there; to be called before ``spark.stop()`` when its results have been read."""
+    for path, spark in list(_written.items()):
         drop_path(spark, path)
+    while _own_folders:
+        shutil.rmtree(_own_folders.pop(), ignore_errors=True)
+
+
+atexit.register(clean_up)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from brimfold.operators.components import components
 from brimfold.operators import dedup, postings, prefix, rules, state, summaries, validation
 
 T = lambda d: dt.datetime(2026, 1, d)
@@ -101,7 +102,7 @@ def test_similar_postings_far_apart_are_linked(spark):
 def test_links_form_groups(spark):
     r = random.Random(2)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 360)]
-    got = {x.node: x.group for x in dedup.link_groups(spark.createDataFrame(edges, "a bigint, b bigint").where("a <> b")).collect()}
+    got = {x.node: x.label for x in components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b").collect()}
     parent = {}
 
     def find(x):
