@@ -1,12 +1,19 @@
 """Near-duplicate records with small edits: MinHash banding, verified on the full n-gram sets.
 
-A record's set holds the hashes of all its n-word sequences. Records with equal sets collapse into one
-representative (the least id). ``bands`` x ``rows`` minima of the set give the band hashes; representatives
-that share one are candidates, and each candidate pair is verified on both sets. With 64 bands of 5 rows a pair
-of similarity 0.6 is a candidate with probability 0.994, of 0.65 with 0.9996, of 0.8 with certainty for all purposes.
+A record's set holds the hashes of all its n-word sequences. Records with equal sets collapse into one node. ``bands``
+x ``rows`` minima of the set give the band hashes, and nodes that share one are candidates. With 64 bands of 5 rows a
+pair of similarity 0.6 is a candidate with probability 0.994, of 0.65 with 0.9996, of 0.8 with certainty for all
+purposes. Every candidate pair is decided, whatever the size of its band, but few have to be formed:
 
-A band hash held by more than ``hot`` representatives is not paired off: its members are banded again by
-``SUB_BANDS`` x ``SUB_ROWS`` minima of other permutations, and only those that agree in one more band are candidates.
+1. Each node of a band is verified against the band's least node, its leader: at most one pair a node and band.
+   Verified pairs are links, and linked nodes form clusters.
+2. Nodes of one band in different clusters are verified too. Jaccard distance is a metric, so two nodes whose distances
+   to their common leader differ by more than the threshold allows are not similar, and are not formed.
+3. Classes need no more. For all pairs, the nodes of a cluster are compared in blocks, each block with each, by the
+   product of their incidence matrices; only pairs that reach the threshold leave a block.
+
+So classes cost work in proportion to the rows of the bands, and pairs cost, within clusters, a 256th of a shuffled row
+each. The count of common n-grams is exact but for collisions of 32-bit hashes (one in 10^5 pairs of 200 n-grams).
 
 Defined results: records whose required text has no words, and sets without a single sequence, have no
 duplicates. A null id takes no part. Of repeated rows of an id the latest counts (ties: the greatest set key).
@@ -24,127 +31,189 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brimfold.llm.components import components
-from brimfold.llm.text import U, WordHash, mix, window_hashes, words
+from brimfold.llm.text import END, U, WordHash, mix, window_hashes, words_of_all
+from brimfold.operators.components import components
 from brimfold.plans.shared import discard, materialize
 
-# at similarity 0.6 all 48 bands are missed with probability 8e-6 (24: 0.003)
-SUB_BANDS, SUB_ROWS = 48, 3
+#: Records whose words are hashed in one go.
+CHUNK = 128
+#: Nodes and n-grams of a block of a cluster; a pair of blocks is what one worker holds at a time.
+BLOCK_NODES, BLOCK_GRAMS = 256, 250_000
+#: Columns of an incidence matrix multiplied at once.
+COLUMNS = 4096
 
 
 class NearDuplicates(NamedTuple):
-    """pairs (rep_a, rep_b, similarity) of different sets, rep_a < rep_b; members (id, rep) of every record with a set."""
+    """members (id, rep): the node of every record with a set; links (a, b, similarity): verified pairs of nodes that hold every
+    class together; labels (node, label): the cluster of each node in a link of the first step; sets (node, _set, _size)."""
 
-    pairs: DataFrame
     members: DataFrame
+    links: DataFrame
+    labels: DataFrame
+    sets: DataFrame
+    threshold: float
 
 
-def _sets(texts: list[str], required: str, n: int):
-    """Iterator function: batches of (_id, _at, texts) to (_id, _at, _key, _set)."""
+def _sketches(texts: list[str], required: str, n: int, bands: int, rows: int):
+    """Iterator function: (_id, _at, _row, texts) to (_id, _at, _row, _key, _size, _set, _bands)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = WordHash()
+        seen, width, must = WordHash(), len(texts), texts.index(required)
+        end = U(seen[END])
+        rng = np.random.default_rng(7)
+        mult = rng.integers(0, 2**32, bands * rows, dtype=np.uint32) | np.uint32(1)
+        add = rng.integers(0, 2**32, bands * rows, dtype=np.uint32)
+        number = mix(np.arange(1, bands + 1, dtype=U))
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in texts]
-            must = texts.index(required)
-            keep, keys, sets = [], [], []
-            for i, values in enumerate(zip(*columns)):
-                parts = [words(v) for v in values]
-                if not parts[must]:
-                    continue
-                tokens = np.fromiter((seen[w] for p in parts for w in p), U)
-                found = np.unique(window_hashes(tokens, n))
-                if len(found):
-                    keep.append(i)
+            keep, keys, sets, hashes = [], [], [], []
+            for first in range(0, len(batch), CHUNK):
+                columns = [batch.column(c).slice(first, CHUNK).to_pylist() for c in texts]
+                ws = words_of_all([t for record in zip(*columns) for t in record])
+                tokens = np.fromiter((seen[w] for w in ws), U, len(ws))
+                ends = tokens == end
+                text = np.cumsum(ends)[~ends]  # the text each word is in
+                tokens = tokens[~ends]
+                count = len(columns[0])
+                size = np.bincount(text, minlength=count * width).reshape(count, width)
+                windows = window_hashes(tokens, n)
+                begin = np.cumsum(np.r_[0, size.sum(axis=1)])
+                for i in np.flatnonzero((size[:, must] > 0) & (size.sum(axis=1) >= n)).tolist():
+                    found = np.unique(windows[begin[i] : begin[i + 1] - n + 1])
+                    keep.append(first + i)
                     keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                    sets.append(found.view(np.int64))
-            rows = pa.array(keep, pa.int64())
-            offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            flat = pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("_id").take(rows), batch.column("_at").take(rows), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["_id", "_at", "_key", "_set"])
+                    s = (found >> U(32)).astype(np.uint32)
+                    sets.append(s if len(s) < 2 else s[np.r_[True, s[1:] != s[:-1]]])
+                    low = np.full(bands * rows, 2**32 - 1, np.uint32)
+                    for k in range(0, len(sets[-1]), 256):
+                        np.minimum(low, (sets[-1][k : k + 256, None] * mult + add).min(axis=0), out=low)
+                    hashes.append(low)
+            low = np.array(hashes, U).reshape(len(keep), bands, rows)
+            h = np.broadcast_to(number, (len(keep), bands)).copy()
+            for r in range(rows):
+                h = mix(h ^ low[:, :, r])
+            flat = np.ascontiguousarray((h >> U(32)).astype(np.uint32)).view(np.int32).reshape(-1)
+            at, lengths = pa.array(keep, pa.int64()), list(map(len, sets))
+            lists = [
+                pa.ListArray.from_arrays(pa.array(np.cumsum([0, *lengths]).astype(np.int32)), pa.array(np.concatenate(sets).view(np.int32) if sets else np.empty(0, np.int32))),
+                pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands, dtype=np.int32)), pa.array(flat)),
+            ]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("_id", "_at", "_row")), pa.array(keys, pa.binary()), pa.array(lengths, pa.int32()), *lists], ["_id", "_at", "_row", "_key", "_size", "_set", "_bands"])
 
     return run
 
 
-def _bands(bands: int, rows: int):
-    """Iterator function: adds _bands and _sub, the band hashes of _set, to (_id, _set)."""
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, similarity) of each pair (a, b). The side that may be hot is joined while rows are small."""
+    side = lambda name: sets.select(F.col("node").alias(name), F.col("_set").alias(f"_set_{name}"), F.col("_size").alias(f"_size_{name}"))
+    common = F.size(F.array_intersect("_set_a", "_set_b"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", common.alias("_c"), (F.col("_size_a") + F.col("_size_b")).alias("_s"))
+    return both.select("a", "b", (F.col("_c") / (F.col("_s") - F.col("_c"))).alias("similarity"))
+
+
+def near_duplicates(df: DataFrame, key: str, texts: list[str], required: str, latest: str | None = None, n: int = 5, threshold: float = 0.8, bands: int = 64, rows: int = 5) -> NearDuplicates:
+    """Records whose sets of n-word sequences of ``texts`` (in this order) have a Jaccard similarity of ``threshold`` or more, linked."""
+    alias = [f"_t{i}" for i in range(len(texts))]
+    at = F.unix_micros(F.col(latest).cast("timestamp")) if latest else F.lit(0).cast("bigint")
+    source = df.select(F.col(key).alias("_id"), at.alias("_at"), F.monotonically_increasing_id().alias("_row"), *[F.col(c).cast("string").alias(a) for c, a in zip(texts, alias)]).where("_id is not null")
+    shape = f"_id {source.schema['_id'].dataType.simpleString()}, _at bigint, _row bigint, _key binary, _size int, _set array<int>, _bands array<int>"
+    # rows get their numbers once: whatever comes later reads the written table
+    made = materialize(source.mapInArrow(_sketches(alias, alias[texts.index(required)], n, bands, rows), shape), "sets")
+    sets = made.select(F.col("_row").alias("node"), "_set", "_size")
+
+    newest = made.groupBy("_id").agg(F.max(F.struct("_at", "_key", "_row")).alias("_m")).select("_id", F.col("_m._key").alias("_key"), F.col("_m._row").alias("_row"))
+    first = newest.groupBy("_key").agg(F.min(F.struct("_id", "_row")).alias("_f")).select("_key", F.col("_f._row").alias("rep"))
+    members = materialize(newest.join(first, "_key").select(F.col("_id").alias("id"), "rep"), "members")
+
+    banded = made.select(F.col("_row").alias("node"), "_bands").join(members.select(F.col("rep").alias("node")).distinct(), "node", "left_semi").select("node", F.posexplode("_bands").alias("_b", "_v"))
+    held = banded.select(F.shiftleft(F.col("_b").cast("bigint"), 32).bitwiseOR(F.col("_v").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))).alias("_h"), "node")
+    buckets = materialize(held.groupBy("_h").agg(F.count("*").alias("_n"), F.min("node").alias("a"), F.max("node").alias("b")).where("_n > 1"), "buckets")
+    crowd = materialize(held.join(buckets.where("_n > 2").select("_h", "a"), "_h").where("node <> a").select("_h", "a", F.col("node").alias("b")), "crowd")
+
+    star = materialize(_verified(buckets.where("_n = 2").select("a", "b").unionByName(crowd.select("a", "b")).distinct(), sets), "star")
+    linked = star.where(F.col("similarity") >= threshold)
+    labels = components(linked, "a", "b")
+
+    # nodes of one band, but of different clusters; those next to the leader were verified with it
+    placed = crowd.join(star, ["a", "b"]).join(labels.select(F.col("node").alias("b"), "label"), "b", "left").select("_h", F.col("b").alias("node"), F.coalesce("label", "b").alias("label"), (1 - F.col("similarity")).alias("d"))
+    mixed = placed.groupBy("_h").agg(F.min("label").alias("_l"), F.max("label").alias("_m")).where("_l <> _m").select("_h")
+    rest = materialize(placed.join(mixed, "_h", "left_semi"), "rest")
+    x, y = (rest.select("_h", F.col("node").alias(c), F.col("label").alias(f"l{c}"), F.col("d").alias(f"d{c}")) for c in "ab")
+    far = 1 - threshold + 1e-9
+    cross = x.join(y, "_h").where(F.expr(f"a < b and la <> lb and abs(da - db) <= {far!r}")).select("a", "b").distinct()
+    found = materialize(_verified(cross, sets).where(F.col("similarity") >= threshold), "cross")
+    for done in (buckets, crowd, rest):
+        discard(done)
+    return NearDuplicates(members, linked.unionByName(found), labels, sets, threshold)
+
+
+def _within_blocks(threshold: float):
+    """Iterator function: rows (_l, _i, _j, _b, node, _set), sorted by _l, _i, _j, to the similar pairs (a, b, similarity) of blocks _i and _j of cluster _l."""
+
+    def pairs(nodes: np.ndarray, block: np.ndarray, sets: list[np.ndarray], i: int, j: int):
+        size = np.array([len(s) for s in sets])
+        column = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        row = np.repeat(np.arange(len(sets)), size)
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        common = np.zeros((len(left), len(right)))
+        order = np.argsort(column, kind="stable")
+        column, row = column[order], row[order]
+        for low in range(0, int(column[-1]) + 1, COLUMNS):
+            s, e = np.searchsorted(column, (low, low + COLUMNS))
+            part = np.zeros((len(sets), min(COLUMNS, int(column[-1]) + 1 - low)), np.float32)
+            part[row[s:e], column[s:e] - low] = 1
+            common += part[left] @ part[right].T
+        ratio = common / (size[left][:, None] + size[right][None, :] - common)
+        good = ratio >= threshold
+        if i == j:
+            good &= np.arange(len(left))[:, None] < np.arange(len(right))[None, :]
+        p, q = np.nonzero(good)
+        a, b = nodes[left[p]], nodes[right[q]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(ratio[p, q])], ["a", "b", "similarity"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(7)
-        count = bands * rows + SUB_BANDS * SUB_ROWS
-        mult, add = rng.integers(1, 2**63, count, dtype=U) | U(1), rng.integers(0, 2**63, count, dtype=U)
-        number = mix(np.arange(1, bands + SUB_BANDS + 1, dtype=U))
+        open_, rows = None, []
         for batch in batches:
+            ids = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("_l", "_i", "_j", "_b", "node")])
             column = batch.column("_set")
-            flat, offsets = column.values.to_numpy(zero_copy_only=False).view(U), column.offsets.to_numpy()
-            out = np.empty((len(batch), bands + SUB_BANDS), U)
-            for i in range(len(batch)):
-                s = flat[offsets[i] : offsets[i + 1]]
-                low = np.full(count, U(2**64 - 1))
-                for k in range(0, len(s), 256):
-                    h = s[k : k + 256, None] * mult + add
-                    np.minimum(low, (h ^ (h >> U(33))).min(axis=0), out=low)
-                for part, r, at, size in ((low[: bands * rows], rows, 0, bands), (low[bands * rows :], SUB_ROWS, bands, SUB_BANDS)):
-                    h = number[at : at + size].copy()
-                    for column_ in part.reshape(size, r).T:
-                        h = mix(h ^ column_)
-                    out[i, at : at + size] = h
-            signed = out.view(np.int64)
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, len(batch) * w + 1, w, dtype=np.int32)), pa.array(np.ascontiguousarray(part).reshape(-1))) for part, w in ((signed[:, :bands], bands), (signed[:, bands:], SUB_BANDS))]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), column, *lists], ["_id", "_set", "_bands", "_sub"])
+            flat, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+            for k in range(len(batch)):
+                group = tuple(ids[k, :3])
+                if group != open_ and rows:
+                    yield pairs(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), [r[2] for r in rows], int(open_[1]), int(open_[2]))
+                    rows = []
+                open_ = group
+                rows.append((ids[k, 4], ids[k, 3], flat[offsets[k] : offsets[k + 1]].copy()))
+        if rows:
+            yield pairs(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), [r[2] for r in rows], int(open_[1]), int(open_[2]))
 
     return run
 
 
-def _agreeing(rows: DataFrame, *keys: str) -> DataFrame:
-    """Pairs a < b of ids that agree in all keys."""
-    left, right = rows.select(*keys, F.col("_id").alias("a")), rows.select(*keys, F.col("_id").alias("b"))
-    return left.join(right, list(keys)).where("a < b").select("a", "b")
-
-
-def near_duplicates(df: DataFrame, key: str, texts: list[str], required: str, latest: str | None = None, n: int = 5, threshold: float = 0.8, bands: int = 64, rows: int = 5, hot: int = 100) -> NearDuplicates:
-    """Pairs of records whose sets of n-word sequences of ``texts`` (in this order) have a Jaccard similarity of ``threshold`` or more."""
-    alias = [f"_t{i}" for i in range(len(texts))]
-    at = F.unix_micros(F.col(latest).cast("timestamp")) if latest else F.lit(0).cast("bigint")
-    source = df.select(F.col(key).alias("_id"), at.alias("_at"), *[F.col(c).cast("string").alias(a) for c, a in zip(texts, alias)]).where("_id is not null")
-    kind = source.schema["_id"].dataType.simpleString()
-    made = materialize(source.mapInArrow(_sets(alias, alias[texts.index(required)], n), f"_id {kind}, _at bigint, _key binary, _set array<bigint>"), "sets")
-
-    newest = made.groupBy("_id").agg(F.max(F.struct("_at", "_key")).alias("_m")).select("_id", F.col("_m._key").alias("_key"))
-    first = newest.groupBy("_key").agg(F.min("_id").alias("rep"))
-    members = materialize(newest.join(first, "_key").select(F.col("_id").alias("id"), "rep", "_key"), "members")
-    reps = made.join(members.where("id = rep").select(F.col("id").alias("_id"), "_key"), ["_id", "_key"], "left_semi").dropDuplicates(["_id"])
-    reps = materialize(reps.select("_id", "_set").mapInArrow(_bands(bands, rows), f"_id {kind}, _set array<bigint>, _bands array<bigint>, _sub array<bigint>"), "reps")
-    discard(made)
-
-    held = reps.select("_id", F.explode("_bands").alias("_h"))
-    sizes = held.groupBy("_h").agg(F.count("*").alias("_n")).where("_n > 1")
-    shared = materialize(held.join(sizes, "_h"), "shared")
-    plain = _agreeing(shared.where(F.col("_n") <= hot), "_h")
-    crowd = shared.where(F.col("_n") > hot).select("_id", "_h").join(reps.select("_id", "_sub"), "_id").select("_id", "_h", F.explode("_sub").alias("_s"))
-    candidates = plain.unionByName(_agreeing(crowd, "_h", "_s")).distinct()
-
-    sets = lambda name: reps.select(F.col("_id").alias(name), F.col("_set").alias(f"_set_{name}"))
-    both = candidates.join(sets("a"), "a").join(sets("b"), "b")
-    common = F.size(F.array_intersect("_set_a", "_set_b"))
-    scored = both.select("a", "b", common.alias("_c"), (F.size("_set_a") + F.size("_set_b")).alias("_s")).select("a", "b", (F.col("_c") / (F.col("_s") - F.col("_c"))).alias("similarity"))
-    pairs = scored.where(F.col("similarity") >= threshold).select(F.col("a").alias("rep_a"), F.col("b").alias("rep_b"), "similarity")
-    return NearDuplicates(pairs, members.select("id", "rep"))
+def similar_pairs(found: NearDuplicates) -> DataFrame:
+    """(a, b, similarity), a < b: every two similar nodes."""
+    sized = found.labels.join(found.sets.select("node", "_size"), "node")
+    clusters = sized.groupBy("label").agg(F.count("*").alias("_n"), F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("_size") / BLOCK_GRAMS)).cast("int").alias("_k")).where("_n > 2")
+    nodes = found.labels.join(clusters, "label").select("node", F.col("label").alias("_l"), "_k", F.pmod(F.xxhash64("node"), F.col("_k")).cast("int").alias("_b"))
+    spread = nodes.join(found.sets.select("node", "_set"), "node").select("_l", "_b", "node", "_set", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_o"))
+    blocks = spread.select("_l", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), "_b", "node", "_set").repartition("_l", "_i", "_j").sortWithinPartitions("_l", "_i", "_j")
+    inside = blocks.mapInArrow(_within_blocks(found.threshold), "a bigint, b bigint, similarity double")
+    # links of two nodes that are a cluster of their own, and those between clusters
+    ends = found.links.join(found.labels.select(F.col("node").alias("a"), F.col("label").alias("_la")), "a", "left").join(found.labels.select(F.col("node").alias("b"), F.col("label").alias("_lb")), "b", "left")
+    others = ends.join(clusters.select(F.col("label").alias("_la"), F.lit(1).alias("_in")), "_la", "left").where("_in is null or not (_la <=> _lb)").select("a", "b", "similarity")
+    return inside.unionByName(others)
 
 
 def all_pairs(found: NearDuplicates) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: every pair of records, copies expanded. Equi-joins on the representative, which AQE splits where it is hot."""
+    """(id_a, id_b), id_a < id_b: every pair of records, copies expanded. Equi-joins on the node, which AQE splits where it is hot."""
     m = found.members
     within = m.select("rep", F.col("id").alias("x")).join(m.select("rep", F.col("id").alias("y")), "rep").where("x < y").select("x", "y")
-    across = found.pairs.join(m.select(F.col("rep").alias("rep_a"), F.col("id").alias("x")), "rep_a").join(m.select(F.col("rep").alias("rep_b"), F.col("id").alias("y")), "rep_b").select("x", "y")
+    near = similar_pairs(found)
+    across = near.join(m.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a").join(m.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b").select("x", "y")
     return within.unionByName(across).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
 def classes(found: NearDuplicates) -> DataFrame:
-    """(id, class_id, links): one row per record; its class is the least id reachable by links, ``links`` counts its linked records."""
-    labels = components(found.pairs, "rep_a", "rep_b").select(F.col("node").alias("rep"), "label")
-    sizes = found.members.groupBy("rep").agg(F.count("*").alias("_copies"))
-    ends = found.pairs.select(F.col("rep_a").alias("rep"), F.col("rep_b").alias("other")).unionByName(found.pairs.select(F.col("rep_b").alias("rep"), F.col("rep_a").alias("other")))
-    far = ends.join(sizes.select(F.col("rep").alias("other"), "_copies"), "other").groupBy("rep").agg(F.sum("_copies").alias("_far"))
-    whole = sizes.join(far, "rep", "left").join(labels, "rep", "left")
-    return found.members.join(whole, "rep").select("id", F.coalesce("label", "rep").alias("class_id"), (F.col("_copies") - 1 + F.coalesce("_far", F.lit(0))).alias("links"))
+    """(id, class_id): one row per record; its class is the least id reachable by links. No pairs are formed."""
+    labels = components(found.links, "a", "b").select(F.col("node").alias("rep"), "label")
+    placed = found.members.join(labels, "rep", "left").select("id", F.coalesce("label", "rep").alias("_c"))
+    return placed.join(placed.groupBy("_c").agg(F.min("id").alias("class_id")), "_c").select("id", "class_id")

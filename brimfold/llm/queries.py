@@ -28,7 +28,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per posting with its class and its number of links."""
+    """One row per posting with its class, the least id of the postings linked with it."""
     return classes(_postings(spark, folder))
 
 
@@ -113,11 +113,16 @@ def _bare(x: str) -> str:
     return out
 
 
-SQL: dict[str, str] = {
-    "p1_found": f"""WITH w AS (SELECT DISTINCT id, {_WORDS.format(_bare('title'))} || {_WORDS.format(_bare('company_name'))} || {_WORDS.format(_bare('description'))} AS w FROM remotive WHERE len({_WORDS.format(_bare('description'))}) > 0),
+_SIMILAR = f"""WITH RECURSIVE w AS (SELECT DISTINCT id, {_WORDS.format(_bare('title'))} || {_WORDS.format(_bare('company_name'))} || {_WORDS.format(_bare('description'))} AS w FROM remotive WHERE len({_WORDS.format(_bare('description'))}) > 0),
         s AS (SELECT DISTINCT id, array_to_string(w[k:k + 2], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS k FROM w)), n AS (SELECT id, count(*) AS n FROM s GROUP BY 1),
-        c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
-        SELECT id_a, id_b FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE c >= 0.6 * (x.n + y.n - c)""",
+        c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2),
+        p AS (SELECT id_a, id_b FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE c >= 0.6 * (x.n + y.n - c))"""
+
+SQL: dict[str, str] = {
+    "p1_found": _SIMILAR + "SELECT id_a, id_b FROM p",
+    "p1_classes": _SIMILAR + """, e AS (SELECT id_a AS a, id_b AS b FROM p UNION ALL SELECT id_b, id_a FROM p),
+        g AS (SELECT id, id AS c FROM n UNION SELECT e.b, g.c FROM g JOIN e ON e.a = g.id AND g.c < e.b)
+        SELECT id, min(c) AS class_id FROM g GROUP BY 1""",
     "p6_found": f"""WITH d AS (SELECT doc_id, {_WORDS.format(_bare('text'))} AS w FROM documents), i AS (SELECT item_id, {_WORDS.format(_bare('text'))} AS w FROM eval_items), m AS (SELECT item_id, w, least(12, len(w)) AS n FROM i WHERE len(w) > 0),
         iw AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS s FROM (SELECT item_id, n, w, unnest(range(1, len(w) - n + 2)) AS k FROM m)),
         dw AS (SELECT DISTINCT doc_id, n, array_to_string(w[k:k + n - 1], ' ') AS s FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM m)))
