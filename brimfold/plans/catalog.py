@@ -21,6 +21,7 @@ FEED_INSTANTS = {
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The deliveries, applied one after the other to a key-to-hash index that is swapped each time."""
     rows = table(spark, folder, "remotive_snapshots", "snapshot_date", "id", "description")
     return delivery_changes(rows, "snapshot_date", "id", "description").select(F.date_format("snapshot_date", "yyyy-MM-dd").alias("snapshot_date"), "id", "change")
 
