@@ -13,7 +13,7 @@ from brimfold.llm.eval_leaks import eval_leaks
 from brimfold.llm.mixing import mix
 from brimfold.llm.near_duplicates import NearDuplicates, all_pairs, classes, near_duplicates
 from brimfold.llm.places import map_places, place_entries
-from brimfold.llm.shared_spans import shared_spans
+from brimfold.llm.shared_spans import shared_chars, shared_spans
 from brimfold.sources.tables import table
 
 POSTING = ["title", "company_name", "description"]
@@ -91,13 +91,13 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return shared_spans(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text").select(F.col("id").alias("doc_id"), "shared_chars")
+    return shared_chars(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text").select(F.col("id").alias("doc_id"), "shared_chars")
 
 
 def p8_spans(spark: SparkSession, folder: str) -> DataFrame:
-    """Each shared stretch, and how much of its document is shared."""
+    """Each stretch that stands as a whole in another document, and how much of its own document is shared."""
     found = shared_spans(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
-    return found.select(F.col("id").alias("doc_id"), F.explode("spans").alias("_s"), (F.col("shared_chars") / F.col("n_chars")).alias("shared_part")).select("doc_id", "_s.start", "_s.length", "shared_part")
+    return found.select(F.col("id").alias("doc_id"), "start", "length", (F.col("shared_chars") / F.col("n_chars")).alias("shared_part"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_classes": p1_classes, "p3_found": p3_found, "p3_counts": p3_counts, "p5_found": p5_found, "p5_employers": p5_employers, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_spans": p8_spans}

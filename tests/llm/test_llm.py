@@ -17,7 +17,7 @@ from brimfold.llm.mixing import filled, mix
 from brimfold.llm import near_duplicates as near_module
 from brimfold.llm.near_duplicates import all_pairs, classes, near_duplicates
 from brimfold.llm.places import Entry, Places, map_places, place_entries
-from brimfold.llm.shared_spans import shared_spans
+from brimfold.llm.shared_spans import shared_chars, shared_spans
 
 FOLDER = "/root/testdata/sf0.001"
 WORDS = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("a", "e", "io", "ull", "anz")]
@@ -343,10 +343,58 @@ def test_spans_like_brute_force(spark, seed):
     shared = [make(r.randrange(20, 120)) for _ in range(6)]
     docs = {d: make(r.randrange(0, 60)) + r.choice(shared)[r.randrange(5) :] + make(r.randrange(60)) + r.choice([r.choice(shared), "", "aaaa" * 15]) for d in range(60)}
     docs |= {100: docs[0], 101: docs[0], 102: shared[0], 103: "", 104: "a" * 300, 105: "a" * 290, 106: docs[1] * 3}
-    got = {x.id: x for x in shared_spans(spark.createDataFrame(list(docs.items()), "d bigint, t string"), "d", "t", least=40).collect()}
-    assert {d: x.shared_chars for d, x in got.items()} == brute_spans(docs, 40)
-    for d, x in got.items():
-        assert sum(s.length for s in x.spans) == x.shared_chars and x.n_chars == len(docs[d])
+    df = spark.createDataFrame(list(docs.items()), "d bigint, t string")
+    got = {x.id: x for x in shared_chars(df, "d", "t", least=40).collect()}
+    want = brute_spans(docs, 40)
+    assert {d: x.shared_chars for d, x in got.items()} == want and all(x.n_chars == len(docs[d]) for d, x in got.items())
+    covered = defaultdict(set)
+    for x in shared_spans(df, "d", "t", least=40).collect():
+        part = docs[x.id][x.start : x.start + x.length]
+        assert len(part) == x.length >= 40 and any(part in t for d, t in docs.items() if d != x.id)
+        covered[x.id].update(range(x.start, x.start + x.length))
+        assert x.shared_chars == want[x.id] and x.n_chars == len(docs[x.id])
+    assert {d: len(c) for d, c in covered.items()} == want
+
+
+def brute_stretches(docs, least):
+    out = set()
+    for d, t in docs.items():
+        others, last = [x for e, x in docs.items() if e != d], -1
+        for i in range(len(t) - least + 1):
+            end = max(last, i + least)
+            if not any(t[i:end] in x for x in others):
+                continue
+            while end < len(t) and any(t[i : end + 1] in x for x in others):
+                end += 1
+            if end > last:
+                out.add((d, i, end - i))
+                last = end
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_stretches_like_brute_force(spark, seed):
+    """Stretches cut from a common text at all places, so that partners overlap, contain and touch each other."""
+    r = random.Random(seed)
+    make = lambda n: "".join(r.choice("abcdefgh ü😀") for _ in range(n))
+    base = [make(600) for _ in range(3)]
+    docs = {}
+    for d in range(40):
+        parts = []
+        for _ in range(r.randrange(1, 4)):
+            t, a = r.choice(base), r.randrange(560)
+            parts += [make(r.randrange(30)), t[a : a + r.randrange(20, 300)]]
+        docs[d] = "".join(parts)
+    got = [(x.id, x.start, x.length) for x in shared_spans(spark.createDataFrame(list(docs.items()), "d bigint, t string"), "d", "t", least=40).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_stretches(docs, 40) and len(got) > 60
+
+
+def test_halves_held_by_two_others_are_two_stretches(spark):
+    r = random.Random(2)
+    a, b = ("".join(r.choice("abcdefgh") for _ in range(500)) for _ in "ab")
+    docs = {1: a + b, 2: "1" + a + "2", 3: "3" + b + "4", 4: a[:450] + "5", 5: a[100:] + b[:420]}
+    got = {(x.id, x.start, x.length) for x in shared_spans(spark.createDataFrame(list(docs.items()), "d bigint, t string"), "d", "t").collect()}
+    assert got == {(1, 0, 500), (1, 100, 820), (1, 500, 500), (2, 1, 500), (3, 1, 500), (4, 0, 450), (5, 0, 820)}
 
 
 def test_span_edges(spark):
@@ -354,5 +402,7 @@ def test_span_edges(spark):
     t = "".join(r.choice("abcdefgh") for _ in range(500))
     rows = [(1, t), (1, t), (2, None), (None, t), (3, t[:399]), (4, "z" + t[:400]), (5, "y" * 1_500_000), (6, "x" + "y" * 1_000_000)]
     df = spark.createDataFrame(rows, "d bigint, t string").transform(clashing)
-    assert {x.id: x.shared_chars for x in shared_spans(df, "d", "t").collect()} == {1: 400, 4: 400, 5: 1_500_000, 6: 1_000_000}
-    assert shared_spans(df.limit(0), "d", "t").collect() == [] and shared_spans(df.where("d = 1"), "d", "t").collect() == []
+    want = {1: 400, 4: 400, 5: 1_500_000, 6: 1_000_000}
+    for operator in (shared_chars, shared_spans):
+        assert {x.id: x.shared_chars for x in operator(df, "d", "t").collect()} == want
+        assert operator(df.limit(0), "d", "t").collect() == [] and operator(df.where("d = 1"), "d", "t").collect() == []
