@@ -17,7 +17,8 @@ all of its places would; there stretches may be told in parts, down to ``least``
 
 Whole copies are collapsed first: a text held by several documents is shared as a whole, and one document
 stands for all of them. Windows found in different documents are found by a count per hash that is aggregated
-before the shuffle; no pairs are formed, so a stretch held by a third of all documents costs one row per place.
+before the shuffle; no pairs are formed, so a stretch held by a third of all documents costs one row per place. All joins
+are sort-merge joins, which spill: nothing here has a size bound that would allow a broadcast.
 
 Defined results: null ids, null texts and texts shorter than ``least`` have no spans. A stretch repeated only
 inside one document is not shared. Repeated rows of an id count once (the greatest text). Lengths are in
@@ -182,8 +183,8 @@ def _repeated(windows: DataFrame) -> DataFrame:
 def _left(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """Documents that still have a repeated window: (_id, _text, _won); _won has place and hash of its chosen windows, live ones with the lowest bit set."""
     value = F.col("_h").bitwiseAND(F.lit(-2).cast("bigint")).bitwiseOR(F.coalesce("_live", F.lit(0).cast("bigint"))).alias("_v")
-    won = windows.join(_repeated(windows), "_h", "left").select("_id", "_pos", value, "_live").groupBy("_id").agg(F.collect_list(F.struct("_pos", "_v")).alias("_won"), F.count("_live").alias("_n"))
-    return docs.select("_id", "_text").join(won.where("_n > 0").select("_id", "_won").hint("shuffle_hash"), "_id")
+    won = windows.join(_repeated(windows).hint("merge"), "_h", "left").select("_id", "_pos", value, "_live").groupBy("_id").agg(F.collect_list(F.struct("_pos", "_v")).alias("_won"), F.count("_live").alias("_n"))
+    return docs.select("_id", "_text").join(won.where("_n > 0").select("_id", "_won").hint("merge"), "_id")
 
 
 def _prepared(df: DataFrame, key: str, text: str, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -198,7 +199,7 @@ def _prepared(df: DataFrame, key: str, text: str, least: int) -> tuple[DataFrame
         source = materialize(source.groupBy("_id").agg(F.max("_text").alias("_text")), "once")
         digest = digests(source)
     copies = digest.groupBy("_md").agg(F.min("_id").alias("_rep"), F.count("*").alias("_copies")).where("_copies > 1")
-    return source, digest, digest.join(copies, "_md").select("_id", "_rep", "_n")
+    return source, digest, digest.join(copies.hint("merge"), "_md").select("_id", "_rep", "_n")
 
 
 def _live(source: DataFrame, held: DataFrame, least: int, beside: bool) -> DataFrame:
@@ -209,7 +210,7 @@ def _live(source: DataFrame, held: DataFrame, least: int, beside: bool) -> DataF
     shape = f"_id {source.schema['_id'].dataType.simpleString()}, _pos int, _h bigint"
     spare = held.where("_id <> _rep").select("_id")
     first = materialize(source.mapInArrow(_windows(least // 4, least, False), shape), "windows")
-    left = materialize(_left(source, first.join(spare, "_id", "left_anti")), "left")
+    left = materialize(_left(source, first.join(spare.hint("merge"), "_id", "left_anti")), "left")
     second = materialize(left.mapInArrow(_windows(least // 2, least, True), shape), "windows")
     discard(first)
     still = materialize(_left(left, second), "left")
@@ -218,7 +219,7 @@ def _live(source: DataFrame, held: DataFrame, least: int, beside: bool) -> DataF
     last = materialize(still.mapInArrow(_windows(least, least, True, beside), shape + (", _before int, _after int" if beside else "")), "windows")
     discard(still)
     if not beside:
-        return last.join(_repeated(last).select("_h"), "_h", "left_semi")
+        return last.join(_repeated(last).select("_h").hint("merge"), "_h", "left_semi")
     ends = last.groupBy("_h").agg(F.min("_id").alias("_a"), F.max("_id").alias("_b"), ((F.min("_before") != F.max("_before")) | (F.min("_before") == BEHIND)).alias("_from"), (F.min("_after") != F.max("_after")).alias("_to")).where("_a <> _b")
     return last.select("_id", "_pos", "_h").join(ends.select("_h", "_from", "_to"), "_h")
 
@@ -230,8 +231,8 @@ def shared_chars(df: DataFrame, key: str, text: str, least: int = 400) -> DataFr
     live = _live(source, held, least, False)
     kind = source.schema["_id"].dataType.simpleString()
     covered = live.groupBy("_id").agg(F.sort_array(F.collect_set("_pos")).alias("_p")).mapInArrow(_merge(least), f"_id {kind}, shared_chars bigint")
-    every = covered.join(held.select("_id"), "_id", "left_anti").unionByName(held.select("_id", F.col("_n").cast("bigint").alias("shared_chars")))
-    return every.join(digest.select("_id", F.col("_n").alias("n_chars")), "_id").select(F.col("_id").alias("id"), "shared_chars", "n_chars")
+    every = covered.join(held.select("_id").hint("merge"), "_id", "left_anti").unionByName(held.select("_id", F.col("_n").cast("bigint").alias("shared_chars")))
+    return every.join(digest.select("_id", F.col("_n").alias("n_chars")).hint("merge"), "_id").select(F.col("_id").alias("id"), "shared_chars", "n_chars")
 
 
 def shared_spans(df: DataFrame, key: str, text: str, least: int = 400) -> DataFrame:
@@ -260,8 +261,8 @@ def shared_spans(df: DataFrame, key: str, text: str, least: int = 400) -> DataFr
     ends = reached.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("_start", "_end"))).alias("_s"))
     spans = places.join(ends, "_id").mapInArrow(_longest(least), f"{id_}, start int, length int, shared_chars bigint")
     whole = held.select("_id", F.lit(0).alias("start"), F.col("_n").alias("length"), F.col("_n").cast("bigint").alias("shared_chars"))
-    every = spans.join(held.select("_id"), "_id", "left_anti").unionByName(whole)
-    return every.join(digest.select("_id", F.col("_n").alias("n_chars")), "_id").select(F.col("_id").alias("id"), "start", "length", "shared_chars", "n_chars")
+    every = spans.join(held.select("_id").hint("merge"), "_id", "left_anti").unionByName(whole)
+    return every.join(digest.select("_id", F.col("_n").alias("n_chars")).hint("merge"), "_id").select(F.col("_id").alias("id"), "start", "length", "shared_chars", "n_chars")
 
 
 def _arrays(batch: pa.RecordBatch) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
