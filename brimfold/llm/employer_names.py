@@ -16,8 +16,9 @@ LINES = {
     "analytics": "analytik", "banking": "bank banken", "consulting": "beratung consult", "education": "bildung", "energy": "energie", "engineering": "technik ingenieure", "foods": "lebensmittel food", "games": "spiele gaming", "insurance": "versicherung versicherungen", "logistics": "logistik",
     "media": "medien", "mobility": "mobilitat", "optics": "optik optical", "pharma": "pharmaceuticals pharmazie pharmaceutical", "robotics": "robotik", "security": "sicherheit", "software": "sw", "telecom": "telekommunikation telco telekom telecommunications", "textiles": "textilien textil textile", "travel": "reisen",
 }
-#: Additions that tell nothing about which employer it is.
+#: Additions that tell nothing about which employer it is, behind a name; LEADING ones before it, too.
 ADDED = frozenset("holding group gruppe deutschland germany careers career karriere jobs job international europe team the the haftungsbeschrankt und and co company cie".split())
+LEADING = frozenset("the und and".split())
 #: Texts that stand for a missing name.
 PLACEHOLDERS = frozenset("confidential vertraulich na n/a none null unknown unbekannt anonymous anonym tbd test company firma employer arbeitgeber ka keineangabe keineangaben notspecified undisclosed private privat stealth xxx".split())
 
@@ -75,19 +76,32 @@ _FOLDED_LINES = {folded(w): line for w, line in LINE_WORDS.items()}
 LINE_WORDS = _FOLDED_LINES | LINE_WORDS
 
 
-def parse(name: str | None) -> Name | None:
-    """The parts of a name; None for null, blank, placeholders and names without letters."""
+def _pieces(name: str | None) -> list[tuple[str, bool]]:
+    """Folded words of a name, and whether a full stop follows; none for null, blank, placeholders and names without letters."""
     if not name or not name.strip():
-        return None
+        return []
     text = unicodedata.normalize("NFC", name).strip()
     plain = re.sub(r"[\W_]+", "", text.casefold())
     if not plain or plain in PLACEHOLDERS or text.casefold() in PLACEHOLDERS:
-        return None
+        return []
     text = re.split(r"\s[|–—]\s|\s-\s", text)[0] or text
     pieces = []
     for raw in _PIECE.findall(_CAMEL.sub(" ", text.replace("&", " ").replace("+", " "))):
         dotted = raw.count(".") > 1
         pieces.append((folded(raw.replace(".", "")), raw.endswith(".") and not dotted))
+    return pieces
+
+
+def brand_and_rest(name: str | None) -> tuple[list[str], str]:
+    """The words of a name that are neither legal forms nor additions, and the last of them if it is written out; what ``own`` lines are counted from."""
+    words = [(w, stop) for w, stop in _pieces(name) if len(w) > 1 and w not in LEGAL and w not in ADDED]
+    return [w for w, _ in words], words[-1][0] if len(words) > 1 and not words[-1][1] else ""
+
+
+def parse(name: str | None, own: dict[str, str] | None = None) -> Name | None:
+    """The parts of a name; None for null, blank, placeholders and names without letters. ``own``: words found to name a line, with the line."""
+    pieces = _pieces(name)
+    own = own or {}
     legal, line, words = "", "", []
     spare: list[str] = []
     i = 0
@@ -100,7 +114,7 @@ def parse(name: str | None) -> Name | None:
         elif len(word) == 1 and (words or line) and (full := next((x for x in sorted(LEGAL, key=len, reverse=True) if len(x) > 1 and run.startswith(x)), "")):
             legal = legal or LEGAL[full]
             i += len(full) - 1
-        elif word in ADDED and (words or not last):
+        elif word in ADDED and (words or line or (word in LEADING and not last)):
             spare.append(word)
         elif len(word) > 1 and (found := _short_line(word, stop and len(word) < 8)) and found == (line or found):
             line = found
@@ -113,6 +127,13 @@ def parse(name: str | None) -> Name | None:
                 line = found.pop()
                 del words[k]
                 break
+    if not line and len(words) > 1 and own:
+        at = [k for k, w in enumerate(words) if w in own]
+        typed = [(k, own[w]) for k in range(1, len(words)) if len(words[k]) > 5 for w in sorted(own) if len(w) > 5 and near(words[k], w)] if not at else []
+        if at or len({x for _, x in typed}) == 1:
+            k = at[-1] if at else typed[0][0]
+            line = own[words[k]] if at else typed[0][1]
+            del words[k]
     if not line and len(words) == 1:  # a line written together with the brand
         word = words[0]
         for w, found in LINE_WORDS.items():

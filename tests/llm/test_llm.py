@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from brimfold.llm import queries
 from brimfold.operators.components import components
 from brimfold.llm.employer_names import near, parse
-from brimfold.llm.employers import close_brands, employers, spelling_pairs
+from brimfold.llm.employers import close_brands, employers, own_lines, spelling_pairs
 from brimfold.llm.eval_leaks import eval_leaks
 from brimfold.llm.mixing import filled, mix
 from brimfold.llm import near_duplicates as near_module
@@ -204,7 +204,7 @@ def test_segment_join_loses_nothing(spark):
         i = r.randrange(len(x))
         names.add(x[:i] + r.choice("abc") + x[i + r.randrange(2) :])
     rows = [(i, r.choice(["p", "q", ""]), x) for i, x in enumerate(sorted(names))]
-    got = {(x.a, x.b) for x in close_brands(spark.createDataFrame(rows, "node bigint, line string, key string")).collect()}
+    got = {(x.a, x.b) for x in close_brands(spark.createDataFrame([(*x, 0) for x in rows], "node bigint, line string, key string, last int")).collect()}
     for (i, li, x), (j, lj, y) in combinations(rows, 2):
         d = edit_distance(x, y)
         swapped = len(x) == len(y) and sorted(x) == sorted(y)
@@ -247,6 +247,40 @@ def test_employers(spark):
     assert employers(spark.createDataFrame([], "company string"), "company").collect() == []
 
 
+TRADES = "dental rental gardening plumbing catering forestry aviation roofing".split()
+
+
+def test_lines_outside_the_lexicon(spark):
+    """Trades no list names are counted in the names; recall and precision of spellings over them."""
+    r = random.Random(3)
+    syllables = "ka lo mi nu pe ra so ti vu xe zo bri dru fle gno klu".split()
+    brands = sorted({"".join(r.choice(syllables) for _ in range(4)) for _ in range(60)})
+    meant = {}
+    for brand in brands:
+        for trade in r.sample(TRADES, 2):
+            name = f"{brand.title()} {trade.title()}"
+            k = r.randrange(1, len(brand) - 1)
+            other = brand[:k] + r.choice("bdfgh") + brand[k + 1 :]
+            for spelling in (name, f"{name} GmbH", name.upper(), f"{trade.title()}, {brand.title()}", f"{other.title()} {trade.title()}"):
+                meant[spelling] = (brand, trade)
+    rows = [(x,) for x in meant for _ in range(4 if x.istitle() and "," not in x else 1)]
+    got = {tuple(x) for x in spelling_pairs(employers(spark.createDataFrame(rows, "name string"), "name")).collect()}
+    want = {tuple(sorted(p)) for p in combinations(meant, 2) if meant[p[0]] == meant[p[1]]}
+    assert len(got & want) / len(want) > 0.9 and len(got & want) / len(got) > 0.9
+
+
+def test_two_trades_of_one_brand_stay_apart(spark):
+    rows = [(x,) for x in ("Novatec Dental GmbH", "Novatec Rental GmbH", "Novatec Dentla GmbH", "Team Viewer GmbH", "Viewer GmbH", "alpha beta gamma", "Gamma Alpha Beta")]
+    got = {tuple(x) for x in spelling_pairs(employers(spark.createDataFrame(rows, "name string"), "name")).collect()}
+    assert got == {("Novatec Dental GmbH", "Novatec Dentla GmbH"), ("Gamma Alpha Beta", "alpha beta gamma")}
+
+
+def test_own_lines(spark):
+    names = [f"{b} {t}" for b in ("Kalo", "Minu", "Pera", "Soti", "Vuxe", "Zobri") for t in ("Dental", "Foods")] + [f"{b} Zahn" for b in ("Kalo", "Minu", "Pera", "Soti", "Vuxe")] + [f"Kalo {x}" for x in ("River", "Stone")]
+    frame = spark.createDataFrame([(n, 1) for n in names], "name string, n bigint")
+    assert own_lines(frame) == {"dental": "dental", "zahn": "dental"} or own_lines(frame) == {"dental": "dental", "zahn": "foods"}
+
+
 # --- 6 -------------------------------------------------------------------------------------------------------------
 def test_leaks_like_brute_force(spark):
     r = random.Random(8)
