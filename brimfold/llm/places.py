@@ -10,7 +10,9 @@ country mentioned along with it. A country, or a region, does not count beside o
 
 Defined results: null and blank values have no row. A value that names no entry gives the entry id 0. A mention
 that stays ambiguous counts for every entry of that name only if none of them can be told apart by country; a
-similar mention that fits several names equally well counts for none. Repeated rows of a key count once (the
+similar mention that fits several names equally well counts for none. Which words only surround names is counted in the
+values: a word outside all mentions that stands beside AROUND_ENTRIES different entries or more; a short list of common ones
+is added. A region drops out beside a city only where ``regions`` says that the city's country belongs to it. Repeated rows of a key count once (the
 latest; ties: the greatest value). Extra columns are ignored.
 """
 
@@ -27,16 +29,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brimfold.llm.text import once_per_worker
 from brimfold.plans.shared import bounded_rows
 
 MAX_PLACES = 200_000
+#: A word beside so many different entries names none of them. More than MAX_AROUND such words are refused.
+AROUND_ENTRIES, MAX_AROUND = 8, 100_000
 CACHE = 100_000
-#: Words around a place that are no part of its name.
+#: Words around a place that are no part of its name, where the values are too few to count them.
 AROUND = frozenset(
     "remote hybrid onsite on site office area near bei raum greater metro region grossraum umgebung city mitte nord sued sud ost west zentrum innenstadt altstadt north south east central downtown "
     "only based nur und and or oder in the from von within anywhere home homeoffice deutschlandweit worldwide-remote fully full time possible moeglich moglich".split()
 )
-#: The countries of the regions that lists of places name.
+#: The countries of the regions that lists of places name; the default of ``regions``. WORLD has all.
+WORLD = "*"
 EUROPE = "AL AT BA BE BG BY CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IS IT LI LT LU LV MC MD ME MK MT NL NO PL PT RO RS SE SI SK UA".split()
 REGIONS = {
     "europe": EUROPE,
@@ -44,6 +50,7 @@ REGIONS = {
     "north america": "CA MX US".split(),
     "latin america": "AR BO BR CL CO CR CU DO EC GT HN MX NI PA PE PY SV UY VE".split(),
     "asia pacific": "AU BD CN HK ID IN JP KH KR LK MM MY NP NZ PH PK SG TH TW VN".split(),
+    "worldwide": [WORLD],
 }
 
 LIST_SIGNS, LIST_WORDS = frozenset("|;/\n"), frozenset("und or oder and".split())
@@ -110,10 +117,10 @@ def _deletions(word: str) -> set[str]:
 
 
 class Places:
-    """The compiled list; built once per worker."""
+    """The compiled list; built once per worker. ``around``: words that only surround names; ``regions``: folded name of a region -> country codes."""
 
-    def __init__(self, entries: list[Entry]):
-        self.entries = {e.id: e for e in entries}
+    def __init__(self, entries: list[Entry], around: frozenset[str] = AROUND, regions: dict[str, list[str]] = REGIONS):
+        self.entries, self.around, self.regions = {e.id: e for e in entries}, around, regions
         self.broken, self.repair = _mojibake()
         self.automaton = ahocorasick.Automaton()
         patterns: dict[str, set[int]] = defaultdict(set)
@@ -182,7 +189,7 @@ class Places:
         for first in range(len(words)):
             for last in range(first, min(len(words), first + self.longest + 1)):
                 run = words[first : last + 1]
-                if any(w.rstrip(".") in AROUND and (len(run) == 1 or w.rstrip(".") not in self.words) for w in (run[0], run[-1])):
+                if any(w.rstrip(".") in self.around and (len(run) == 1 or w.rstrip(".") not in self.words) for w in (run[0], run[-1])):
                     continue
                 if ids := self._in_one_piece(run, raw[first : last + 1]):
                     found.append(Mention(first, last, False, tuple(sorted(ids))))
@@ -218,8 +225,8 @@ class Places:
                     found.append(Mention(first, last, False, tuple(sorted(ids))))
         return found
 
-    def find(self, value: str) -> list[int]:
-        """Entry ids that a value names; empty if none."""
+    def _taken_apart(self, value: str) -> tuple[list[str], list[str], list[int]]:
+        """Folded words of a value, the words as written, and which item of a list each is in."""
         text = value
         for _ in range(3):  # encoded wrongly up to three times
             if not self.broken.search(text):
@@ -230,13 +237,14 @@ class Places:
         spans = [m.span() for m in _TOKEN.finditer(text)]
         raw = [text[a:b] for a, b in spans]
         words = [fold(w) for w in raw]
-        if not words or not self.names:
-            return []
-        parts, part = [], 0  # which item of a list each word is in
+        parts, part = [], 0
         for i, (a, _) in enumerate(spans):
             part += words[i] in LIST_WORDS or (i > 0 and not LIST_SIGNS.isdisjoint(text[spans[i - 1][1] : a]))
             parts.append(part)
-        bare = [w.rstrip(".") for w in words]
+        return words, raw, parts
+
+    def _embedded(self, bare: list[str], raw: list[str]) -> list[Mention]:
+        """Names that stand in the words as they are, and country codes in capitals."""
         starts, at = {}, 0
         for i, w in enumerate(bare):
             starts[at] = i
@@ -250,8 +258,32 @@ class Places:
         for i, w in enumerate(raw):
             if len(w) == 2 and w.isupper() and w in self.codes:
                 mentions.append(Mention(i, i, True, (self.codes[w],)))
+        return mentions
+
+    def beside(self, value: str) -> list[tuple[str, int]]:
+        """(word, entry) for each word outside all embedded mentions and each entry of one name mentioned."""
+        words, raw, _ = self._taken_apart(value)
+        if not words or not self.names:
+            return []
+        bare = [w.rstrip(".") for w in words]
+        mentions = self._embedded(bare, raw)
         covered = {i for m in mentions for i in range(m.first, m.last + 1)}
-        if any(i not in covered and w not in AROUND and not w.isdecimal() for i, w in enumerate(bare)):
+        rest = {w for i, w in enumerate(bare) if i not in covered and w and words[i] == w and not w.isdecimal()}
+        return [(w, m.ids[0]) for w in rest for m in mentions]
+
+    def like_a_name(self, word: str) -> bool:
+        """Whether a word is a word of a name, or one edit from one."""
+        return word in self.words or any(near(word, w) for k in set().union(*(self.by_deletion.get(d, ()) for d in _deletions(word))) for w in self.names[k][0] if len(w) >= 4)
+
+    def find(self, value: str) -> list[int]:
+        """Entry ids that a value names; empty if none."""
+        words, raw, parts = self._taken_apart(value)
+        if not words or not self.names:
+            return []
+        bare = [w.rstrip(".") for w in words]
+        mentions = self._embedded(bare, raw)
+        covered = {i for m in mentions for i in range(m.first, m.last + 1)}
+        if any(i not in covered and w not in self.around and not w.isdecimal() for i, w in enumerate(bare)):
             mentions += self._similar(words, raw)
         taken: set[int] = set()
         chosen: list[Mention] = []
@@ -280,22 +312,40 @@ class Places:
             e = entries[i]
             if e.kind == "country" and e.country in homes:
                 continue
-            if e.kind == "region" and homes and not homes.isdisjoint(REGIONS.get(e.name.casefold(), homes)):
+            codes = self.regions.get(e.name.casefold(), ())
+            if e.kind == "region" and homes and (WORLD in codes or not homes.isdisjoint(codes)):
                 continue
             kept.append(i)
         return kept
 
 
-def _map(entries: list[Entry]):
+def _compiled(kept) -> Places:
+    """``kept``: a broadcast (entries, around, regions)."""
+    return once_per_worker(("places", kept.value), lambda: Places(list(kept.value[0]), kept.value[1], {k: list(v) for k, v in kept.value[2]}))
+
+
+def _beside(kept):
+    """Iterator function: (_key, _v) to (word, entry): words outside all mentions, with the entries mentioned beside them; each once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = _compiled(kept)
+        for batch in batches:
+            found = sorted({x for value in set(batch.column(1).to_pylist()) for x in places.beside(value)})
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([i for _, i in found], pa.int32())], ["word", "entry"])
+
+    return run
+
+
+def _map(kept, skip: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, cache = Places(entries), {}
+        places, cache = _compiled(kept), {}
         for batch in batches:
             rows, ids = [], []
             for r, value in enumerate(batch.column(1).to_pylist()):
                 if value not in cache:
                     if len(cache) >= CACHE:
                         cache.clear()
-                    cache[value] = places.find(value) or [0]
+                    cache[value] = [] if value in skip else places.find(value) or [0]
                 rows += [r] * len(cache[value])
                 ids += cache[value]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(ids, pa.int32())], ["_key", "place_id"])
@@ -309,10 +359,18 @@ def place_entries(places: DataFrame) -> list[Entry]:
     return sorted(Entry(r.place_id, r.name, r.kind or "", r.country_code, tuple(x for x in r.other_names or () if x)) for r in rows)
 
 
-def map_places(df: DataFrame, key: str, value: str, latest: str, entries: list[Entry], skip_exact: bool = False) -> DataFrame:
+def map_places(df: DataFrame, key: str, value: str, latest: str, entries: list[Entry], skip_exact: bool = False, around: frozenset[str] = AROUND, regions: dict[str, list[str]] = REGIONS) -> DataFrame:
     """(row_key, place_id): one row per key and entry meant; ``skip_exact`` leaves out values that are a name as it stands."""
+    sc = df.sparkSession.sparkContext
     rows = df.select(F.col(key).cast("string").alias("_key"), F.col(value).cast("string").alias("_v"), F.col(latest).alias("_at")).where("_key is not null")
     rows = rows.groupBy("_key").agg(F.max(F.struct("_at", "_v")).alias("_m")).select("_key", F.col("_m._v").alias("_v")).where(F.col("_v").rlike(r"(?U)\S"))
-    if skip_exact:
-        rows = rows.where(~F.col("_v").isin(sorted({e.name for e in entries})))
-    return rows.mapInArrow(_map(entries), "_key string, place_id int").select(F.col("_key").alias("row_key"), "place_id")
+    every = tuple((k.casefold(), tuple(v)) for k, v in sorted(regions.items()))
+    # counted over all values as they were delivered; a word beside a hot value is one row a batch
+    texts = df.select(F.col(key).cast("string").alias("_key"), F.col(value).cast("string").alias("_v")).where(F.col("_v").isNotNull())
+    beside = texts.mapInArrow(_beside(sc.broadcast((tuple(entries), around, every))), "word string, entry int").distinct()
+    counted = beside.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= AROUND_ENTRIES).select("word")
+    plain = Places(entries, around, regions)
+    found = frozenset(w for (w,) in bounded_rows(counted, MAX_AROUND, "list of words around places") if not plain.like_a_name(w))
+    skip = frozenset(e.name for e in entries) if skip_exact else frozenset()
+    kept = sc.broadcast((tuple(entries), around | found, every))
+    return rows.mapInArrow(_map(kept, skip), "_key string, place_id int").select(F.col("_key").alias("row_key"), "place_id")

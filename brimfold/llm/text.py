@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import html
 import re
+import sys
+import types
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
@@ -70,3 +73,13 @@ def window_hashes(tokens: np.ndarray, n: int) -> np.ndarray:
         h = (h ^ tokens[k : k + len(h)]) * M1
         h ^= h >> U(31)
     return mix(h)
+
+
+def once_per_worker(key, make: Callable):
+    """What ``make`` gives, made once for each Python worker and ``key``; the last few are kept as long as the worker lives."""
+    kept = sys.modules.setdefault("_brimfold_kept", types.ModuleType("_brimfold_kept")).__dict__.setdefault("kept", {})
+    if key not in kept:
+        while len(kept) >= 4:
+            kept.pop(next(iter(kept)))
+        kept[key] = make()
+    return kept[key]

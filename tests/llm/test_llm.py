@@ -187,6 +187,35 @@ def test_places_of_rows(spark):
     assert place_entries(table) == [Entry(1, "A", "city", None, ())]
 
 
+def test_a_region_no_list_knows_stays_beside_a_city():
+    entries = [*ENTRIES, Entry(24, "Nordics", "region", None, ())]
+    assert Places(entries).find("Nordics or Mara Falls") == [24, 1] and Places(entries).find("Europe or Mara Falls") == [20, 1]
+    assert Places(entries, regions={"nordics": ["CA"]}).find("Nordics or Mara Falls") == [1] and Places(entries).find("Worldwide, Mara Falls") == [1]
+
+
+def test_places_outside_all_lists(spark):
+    """Invented places, typed with errors among invented words around them: recall and precision."""
+    r = random.Random(8)
+    make = lambda: "".join(r.choice(["ka", "lo", "mi", "nur", "pel", "ra", "sto", "ti", "vu", "xen", "zol", "bri"]) for _ in range(r.randrange(3, 6))).title()
+    names = sorted({make() for _ in range(60)})
+    entries = [Entry(i, n, "city", "QX", ()) for i, n in enumerate(names, 1)]
+    rows, want = [], set()
+    for k in range(1500):
+        e = r.choice(entries)
+        name = e.name
+        if k % 3 == 0:
+            at = r.randrange(1, len(name) - 1)
+            name = r.choice([name[:at] + name[at + 1 :], name[:at] + "q" + name[at:], name[:at] + name[at + 1] + name[at] + name[at + 2 :]])
+        if k % 10 == 9:
+            rows.append((str(k), f"Wubbel {make()}qq"))
+            continue
+        rows.append((str(k), r.choice(["{} wubbel", "flonk {}", "{}, snork 7", "{}"]).format(name)))
+        want.add((str(k), e.id))
+    df = spark.createDataFrame([(k, v, None) for k, v in rows], "k string, v string, at timestamp")
+    got = {tuple(x) for x in map_places(df, "k", "v", "at", entries).collect() if x.place_id}
+    assert len(got & want) / len(want) > 0.95 and len(got & want) / len(got) > 0.95
+
+
 # --- 5 -------------------------------------------------------------------------------------------------------------
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
