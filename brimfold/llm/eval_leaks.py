@@ -3,11 +3,13 @@
 Words become a template: numbers, units and names (any word outside the vocabulary of the evaluation items) turn
 into typed placeholders, all others stay. Templates of windows of ``window`` words (whole items, where an item is
 shorter) are hash-joined with those of the items. The slots then tell what leaked: equal words are a verbatim leak;
-if each slot value of the item stands for one value of the document throughout, and the window has at least
-``literal`` words that are no slots, the item was re-parameterised. Equal words have equal templates, so the join
-loses no verbatim window.
+if each slot value of the item stands for one value of the document throughout the passage, and a window has at least
+``literal`` words that are no slots, the item was re-parameterised. A passage is what lies on one diagonal of document and
+item. Items of one form fit the same passage; the one with the most windows counts, then the one with the most equal slot
+values, then the least id. Equal words have equal templates, so the join loses no verbatim window.
 
-The items are the small side: their words go to the workers, so more than MAX_ITEMS items are refused.
+The items are the small side: their words go to the workers, so more than MAX_ITEMS items, or MAX_CHARACTERS in all, are
+refused; their windows are broadcast only up to MAX_BROADCAST bytes.
 
 Defined results: null and empty texts, on either side, leak nothing. Null ids take no part. Repeated rows count
 once. An item shorter than ``window`` must stand there as a whole. Extra columns are ignored.
@@ -23,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import window as W
 
-from brimfold.llm.text import END, M1, U, WordHash, mix, window_hashes, words, words_of_all
-from brimfold.plans.shared import bounded_rows, small_or_plain
+from brimfold.llm.text import END, M1, U, WordHash, mix, window_hashes_of, words, words_of_all
+from brimfold.plans.shared import TooLarge, bounded_rows
 
-MAX_ITEMS = 50_000
+MAX_ITEMS, MAX_CHARACTERS, MAX_BROADCAST = 50_000, 20_000_000, 32_000_000
 #: A capitalised word is a name if it stands in at most this share of the items (and at least in one is allowed).
 RARE = 0.02
 #: Words that name a unit of the number before them.
@@ -85,10 +88,11 @@ def _template_windows(tokens: np.ndarray, lengths: list[int]) -> Iterator[tuple[
         yield n, mix(h[: max(0, len(tokens) - n + 1)] ^ U(n))
 
 
-def _scan(base: dict[str, int], lengths: list[int], known: np.ndarray | None):
-    """Iterator function: (_id, _text) to (_id, _h, _x, _slots, _literal): template hash, word hash, slot values and number of other words of each window.
+def _scan(base: dict[str, int], lengths: list[int], known: np.ndarray | None, exact: np.ndarray | None = None, literal: int = 0):
+    """Iterator function: (_id, _text) to (_id, _h, _x, _p, _slots, _literal): template hash, word hash, place, slot values and number of other words of each window.
 
-    ``known``: sorted template hashes; other windows are left out.
+    ``known``: sorted template hashes; other windows are left out, and so are those with less than ``literal`` words that are no
+    slots whose word hash is not in the sorted ``exact``, as they can be no leak. Of windows of equal words in a text the first is told.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +107,8 @@ def _scan(base: dict[str, int], lengths: list[int], known: np.ndarray | None):
                 ws = words_of_all(part.column(1).to_pylist())
                 tokens = np.fromiter((template[w] for w in ws), U, len(ws))
                 ends = np.flatnonzero(tokens == BREAK)
-                rows, hashes, exact, slots, literal, done = [], [], [], [], [], set()
+                begins = np.r_[0, ends[:-1] + 1]
+                rows, hashes, words_, places, slots, others = [], [], [], [], [], []
                 for n, h in _template_windows(tokens, lengths):
                     if known is not None:
                         at = np.flatnonzero(maybe[h & U((1 << FILTER_BITS) - 1)])
@@ -111,20 +116,27 @@ def _scan(base: dict[str, int], lengths: list[int], known: np.ndarray | None):
                     else:
                         at = np.arange(len(h))
                     doc = np.searchsorted(ends, at)
-                    inside = at + n <= ends[doc] if len(at) else at
-                    for p, r in zip(at[inside].tolist(), doc[inside].tolist()) if len(at) else ():
-                        x = int(window_hashes(np.fromiter((seen[w] for w in ws[p : p + n]), U, n), n)[0])
-                        if (r, n, x) in done:
-                            continue
-                        done.add((r, n, x))
-                        slot = np.isin(tokens[p : p + n], typed)
-                        rows.append(r)
-                        hashes.append(int(h[p]))
-                        exact.append(x)
-                        slots.append([ws[p + k] for k in np.flatnonzero(slot)])
-                        literal.append(int(n - slot.sum()))
-                signed = lambda x: pa.array(np.array(x, U).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), signed(hashes), signed(exact), pa.array(slots, pa.list_(pa.string())), pa.array(literal, pa.int32())], ["_id", "_h", "_x", "_slots", "_literal"])
+                    inside = at + n <= ends[doc] if len(at) else np.zeros(0, bool)
+                    at, doc = at[inside], doc[inside]
+                    if not len(at):
+                        continue
+                    spread = at[:, None] + np.arange(n)
+                    need, where = np.unique(spread, return_inverse=True)
+                    x = window_hashes_of(np.fromiter((seen[ws[k]] for k in need.tolist()), U, len(need))[where.reshape(spread.shape)])
+                    slot = np.isin(tokens[spread], typed)
+                    other = n - slot.sum(axis=1)
+                    keep = np.ones(len(at), bool) if exact is None else (other >= literal) | np.isin(x, exact)
+                    keep &= np.isin(np.arange(len(at)), np.unique(np.column_stack([doc.astype(U), x]), axis=0, return_index=True)[1])
+                    for k in np.flatnonzero(keep).tolist():
+                        slots.append([ws[j] for j in spread[k][slot[k]].tolist()])
+                    rows.append(doc[keep])
+                    hashes.append(h[at[keep]])
+                    words_.append(x[keep])
+                    places.append(at[keep] - begins[doc[keep]])
+                    others.append(other[keep])
+                join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.empty(0, kind)
+                signed = lambda parts: pa.array(join(parts, U).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(join(rows, np.int64))), signed(hashes), signed(words_), pa.array(join(places, np.int32)), pa.array(slots, pa.list_(pa.string())), pa.array(join(others, np.int32))], ["_id", "_h", "_x", "_p", "_slots", "_literal"])
 
     return run
 
@@ -139,19 +151,30 @@ def eval_leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, it
     base = vocabulary([t for _, t in rows])
     short = sorted({len(words(t)) for _, t in rows if len(words(t)) < window})
 
+    if (size := sum(len(t) for _, t in rows)) > MAX_CHARACTERS:
+        raise TooLarge(f"the evaluation set has {size} characters, more than {MAX_CHARACTERS}")
+
     made = []
     for lengths, part in [([window], [x for x in rows if len(words(x[1])) >= window])] + [([n], [x for x in rows if len(words(x[1])) == n]) for n in short]:
         batch = pa.RecordBatch.from_arrays([pa.array(range(len(part)), pa.int64()), pa.array([t for _, t in part], pa.string())], ["_id", "_text"])
         for out in _scan(base, lengths, None)([batch]):
-            made += [(part[r["_id"]][0], r["_h"], r["_x"], r["_slots"]) for r in out.to_pylist()]
-    shape = T.StructType([T.StructField("_item", kind["item"]), T.StructField("_h", T.LongType()), T.StructField("_ix", T.LongType()), T.StructField("_islots", T.ArrayType(T.StringType()))])
-    known = np.unique(np.array([m[1] for m in made], np.int64).view(U))
+            made += [(part[r["_id"]][0], r["_h"], r["_x"], r["_p"], r["_slots"]) for r in out.to_pylist()]
+    shape = T.StructType([T.StructField("_item", kind["item"]), T.StructField("_h", T.LongType()), T.StructField("_ix", T.LongType()), T.StructField("_ip", T.IntegerType()), T.StructField("_islots", T.ArrayType(T.StringType()))])
+    known, exact = (np.unique(np.array([m[i] for m in made], np.int64).view(U)) for i in (1, 2))
     lengths = sorted({*short, *([window] if any(len(words(t)) >= window for _, t in rows) else [])})
-
-    scanned = source.mapInArrow(_scan(base, lengths, known), f"_id {kind['doc'].simpleString()}, _h bigint, _x bigint, _slots array<string>, _literal int")
-    joined = scanned.join(small_or_plain(spark.createDataFrame(made, shape), 40 * MAX_ITEMS), "_h")
-    pairs = F.size(F.array_distinct(F.arrays_zip("_islots", "_slots")))
-    same = (F.size("_islots") == F.size("_slots")) & (pairs == F.size(F.array_distinct("_islots"))) & (pairs == F.size(F.array_distinct("_slots")))
-    judged = joined.select("_id", "_item", "_h", (F.col("_x") == F.col("_ix")).alias("_verbatim"), (same & (F.col("_literal") >= literal)).alias("_changed"))
-    counted = judged.groupBy("_id", "_item").agg(F.count_if("_verbatim").alias("verbatim_windows"), F.count_if(~F.col("_verbatim") & F.col("_changed")).alias("changed_windows"))
+    small = spark.createDataFrame(made, shape)
+    if sum(64 + sum(16 + 4 * len(w) for w in m[4]) for m in made) <= MAX_BROADCAST:
+        small = F.broadcast(small)
+
+    scanned = source.mapInArrow(_scan(base, lengths, known, exact, literal), f"_id {kind['doc'].simpleString()}, _h bigint, _x bigint, _p int, _slots array<string>, _literal int")
+    zipped = F.arrays_zip(F.col("_islots").alias("i"), F.col("_slots").alias("d"))
+    joined = scanned.join(small, "_h").where("size(_islots) = size(_slots)").withColumn("_pairs", F.array_distinct(zipped))
+    one_to_one = lambda pairs: (F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["i"])))) & (F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["d"]))))
+    judged = joined.withColumns({"_verbatim": F.col("_x") == F.col("_ix"), "_changed": (F.col("_x") != F.col("_ix")) & one_to_one(F.col("_pairs")) & (F.col("_literal") >= literal)})
+    judged = judged.where("_verbatim or _changed").withColumn("_diagonal", F.col("_p") - F.col("_ip"))
+    passages = judged.groupBy("_id", "_item", "_diagonal").agg(F.count_if("_verbatim").alias("v"), F.count_if("_changed").alias("c"), F.min("_p").alias("_from"), F.array_distinct(F.flatten(F.collect_set("_pairs"))).alias("_pairs"))
+    passages = passages.select("_id", "_item", "_from", "v", F.when(one_to_one(F.col("_pairs")), F.col("c")).otherwise(0).alias("c"), F.size(F.filter("_pairs", lambda p: p["i"] == p["d"])).alias("_same"))
+    # all passages that begin at one place of a document compete; the items are few, and so are these
+    place = W.Window.partitionBy("_id", "_from").orderBy((F.col("v") + F.col("c")).desc(), F.col("_same").desc(), "_item")
+    counted = passages.withColumn("_rank", F.row_number().over(place)).groupBy("_id", "_item").agg(F.sum("v").alias("verbatim_windows"), F.sum(F.when(F.col("_rank") == 1, F.col("c")).otherwise(0)).alias("changed_windows"))
     return counted.where("verbatim_windows > 0 or changed_windows > 0").select(F.col("_id").alias("doc_id"), F.col("_item").alias("item_id"), "verbatim_windows", "changed_windows")

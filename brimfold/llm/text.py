@@ -75,6 +75,15 @@ def window_hashes(tokens: np.ndarray, n: int) -> np.ndarray:
     return mix(h)
 
 
+def window_hashes_of(tokens: np.ndarray) -> np.ndarray:
+    """``window_hashes`` of windows given as the rows of a table of tokens."""
+    h = np.zeros(len(tokens), U)
+    for k in range(tokens.shape[1]):
+        h = (h ^ tokens[:, k]) * M1
+        h ^= h >> U(31)
+    return mix(h)
+
+
 def once_per_worker(key, make: Callable):
     """What ``make`` gives, made once for each Python worker and ``key``; the last few are kept as long as the worker lives."""
     kept = sys.modules.setdefault("_brimfold_kept", types.ModuleType("_brimfold_kept")).__dict__.setdefault("kept", {})

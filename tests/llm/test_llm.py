@@ -12,7 +12,9 @@ from brimfold.llm import queries
 from brimfold.operators.components import components
 from brimfold.llm.employer_names import near, parse
 from brimfold.llm.employers import close_brands, employers, own_lines, spelling_pairs
+from brimfold.llm import eval_leaks as leaks_module
 from brimfold.llm.eval_leaks import eval_leaks
+from brimfold.plans.shared import TooLarge
 from brimfold.llm.mixing import filled, mix
 from brimfold.llm import near_duplicates as near_module
 from brimfold.llm.near_duplicates import all_pairs, classes, near_duplicates
@@ -350,6 +352,54 @@ def test_other_parameters_are_leaks_too(spark):
     assert whole.count() == 0  # one slot value of the item stands for two of the document
 
 
+def test_recall_and_precision_of_changed_items(spark):
+    """Items of ten forms, and passages of the same forms with other names and numbers: each passage is found once, for one item of its form."""
+    r = random.Random(12)
+    lower = [w for w in WORDS if w.islower()]
+    name = lambda: "".join(r.choice(["Ka", "Lo", "Mi"]) + r.choice(["nur", "pel", "stot"]) for _ in range(1)) + "".join(r.choice(lower) for _ in range(2))
+    forms = [" ".join(r.choice(lower) if k % 5 else r.choice(["{N}", "{7}"]) for k in range(1, 26)) for _ in range(10)]
+
+    def filled_in(form):
+        who, many = name().title(), str(r.randrange(2, 9999))
+        return form.replace("{N}", who).replace("{7}", many)
+
+    items = [(i, i % 10, filled_in(forms[i % 10])) for i in range(40)]
+    docs = []
+    for d in range(200):
+        filler = " ".join(r.choice(lower) for _ in range(80))
+        form = r.randrange(10) if d % 2 else None
+        docs.append((d, form, f"{filler} {filled_in(forms[form]) if form is not None else ''} {filler[:200]}"))
+    found = eval_leaks(spark.createDataFrame([(d, t) for d, _, t in docs], "d int, t string"), "d", "t", spark.createDataFrame([(i, t) for i, _, t in items], "i int, t string"), "i", "t")
+    rows = [(x.doc_id, x.item_id) for x in found.collect()]
+    form_of = {d: f for d, f, _ in docs}
+    right = {d for d, i in rows if form_of[d] == i % 10}
+    wanted = {d for d, f in form_of.items() if f is not None}
+    assert len(right) / len(wanted) > 0.9 and sum(form_of[d] == i % 10 for d, i in rows) / len(rows) > 0.9
+    assert len(rows) <= 1.1 * len(wanted)  # not one row for each item of the form
+
+
+def test_a_passage_that_changes_its_names_on_the_way_is_none(spark):
+    item = "when Plostaly reads the first of all pages then Plostaly writes the last of all pages and Plostaly signs the whole of all books"
+    broken = item.replace("Plostaly", "Womox", 1).replace("Plostaly", "Dapuk", 1).replace("Plostaly", "Womox")
+    items = spark.createDataFrame([(1, item)] + [(i, item.replace("Plostaly", "and").lower()) for i in range(2, 40)], "i int, t string")
+    docs = spark.createDataFrame([(1, item.replace("Plostaly", "Womox")), (2, broken)], "d int, t string")
+    got = {x.doc_id for x in eval_leaks(docs, "d", "t", items, "i", "t").where("item_id = 1").collect()}
+    assert got == {1}
+
+
+def test_an_item_that_is_a_name_matches_only_itself(spark):
+    items = spark.createDataFrame([(1, "Plostaly")] + [(i, "all of these words are small ones") for i in range(2, 60)], "i int, t string")
+    docs = spark.createDataFrame([(1, "Some unknown words here"), (2, "here is Plostaly again")], "d int, t string")
+    assert [tuple(x) for x in eval_leaks(docs, "d", "t", items, "i", "t").collect()] == [(2, 1, 1, 0)]
+
+
+def test_too_many_characters_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(leaks_module, "MAX_CHARACTERS", 10)
+    items = spark.createDataFrame([(1, "more than ten characters")], "i int, t string")
+    with pytest.raises(TooLarge):
+        eval_leaks(items, "i", "t", items, "i", "t")
+
+
 # --- 7 -------------------------------------------------------------------------------------------------------------
 def test_filling_to_caps():
     assert filled({"a": 1, "b": 1}, {"a": 10, "b": 100}, 40) == {"a": 10, "b": 30}
