@@ -1,7 +1,8 @@
 """Sources mixed to target weights by a low-discrepancy schedule of equal-token blocks.
 
 Each document is measured in tokens of a public tokenizer. Every source's documents, in shuffled order, are cut into
-blocks of ``block_tokens``. A mix is a row of slots: golden-ratio points are mapped through the cumulative shares of
+blocks of ``block_tokens``; a document longer than a block is a block of its own, and what is scheduled are the blocks that
+hold documents. A mix is a row of slots: golden-ratio points are mapped through the cumulative shares of
 the sources, so any run of slots is close to the shares; the r-th slot of a source takes its block r modulo its
 number of blocks, in an order that runs through all of them before one is used again. So a document is used at most
 once per round, and rounds are capped by ``max_repeats``.
@@ -31,37 +32,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brimfold.llm.text import once_per_worker
 from brimfold.operators.prefix import CELLS, running_total
 from brimfold.plans.shared import bounded_rows, materialize
 
 MAX_PLAN_ROWS = 100_000
 GOLDEN = (5**0.5 - 1) / 2
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Cells of the line of slots; a slot is compared with the sources of its own cell only.
+LINE_CELLS = 4096
 #: Fixed value: the split pattern that belongs to the byte-level vocabularies.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 
-def _count(vocabulary):
-    """Iterator function: (_id, _source, _text) to (_id, _source, tokens); ``vocabulary`` is a broadcast file of ranks."""
+def _count(vocabulary, name: str):
+    """Iterator function: (_id, _source, _text) to (_id, _source, tokens); ``vocabulary`` is a broadcast file of ranks, parsed once a worker."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def coder():
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.value.splitlines() if line)}
-        coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = once_per_worker(("tokenizer", name, len(vocabulary.value)), coder).encode_ordinary
         for batch in batches:
-            tokens = [len(coder.encode_ordinary(t)) if t else 0 for t in batch.column(2).to_pylist()]
+            tokens = [len(encode(t)) if t else 0 for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens, pa.int64())], ["_id", "_source", "tokens"])
 
     return run
 
 
-def token_sizes(docs: DataFrame, key: str, source: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(_id, _source, tokens), one row per document."""
+def token_sizes(docs: DataFrame, key: str, source: str, text: str, tokenizer: str) -> DataFrame:
+    """(_id, _source, tokens), one row per document; ``tokenizer`` is the path of a vocabulary file of byte-level ranks, on the driver."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("_id"), F.col(source).cast("string").alias("_source"), F.col(text).cast("string").alias("_text")).where("_id is not null")
     shape = f"_id {rows.schema['_id'].dataType.simpleString()}, _source string, tokens bigint"
-    sizes = rows.mapInArrow(_count(spark.sparkContext.broadcast(Path(tokenizer).read_bytes())), shape)
+    sizes = rows.mapInArrow(_count(spark.sparkContext.broadcast(Path(tokenizer).read_bytes()), tokenizer), shape)
     return materialize(sizes.groupBy("_id").agg(F.max(F.struct("_source", "tokens")).alias("_m")).select("_id", "_m.*"), "sizes")
 
 
@@ -80,9 +86,12 @@ def filled(weights: dict[str, float], caps: dict[str, float], size: float) -> di
     return amounts
 
 
-def plan_rows(targets: DataFrame, sizes: DataFrame, block_tokens: int) -> list[dict]:
-    """One dict per plan and source, with its share, its amount and its part of the line of slots. Driver side: as many rows as the plans have."""
-    held = sizes.groupBy("_source").agg(F.sum("tokens").alias("source_tokens"))
+def plan_rows(targets: DataFrame, sizes: DataFrame, numbers: DataFrame) -> list[dict]:
+    """One dict per plan and source, with its share, its amount and its part of the line of slots. Driver side: as many rows as the plans have.
+
+    ``numbers`` (source, block) has the blocks of each source.
+    """
+    held = sizes.groupBy("_source").agg(F.sum("tokens").alias("source_tokens")).join(numbers.groupBy(F.col("source").alias("_source")).agg(F.count("*").alias("blocks")), "_source", "left")
     whole = sizes.agg(F.sum("tokens")).first()[0] or 0
     wanted = targets.select("plan", "source", F.greatest(F.coalesce("target_weight", F.lit(0.0)), F.lit(0.0)).alias("w"), F.coalesce("max_repeats", F.lit(0)).alias("r"), F.coalesce("size_ratio", F.lit(0.0)).alias("q")).where("plan is not null and source is not null")
     wanted = wanted.groupBy("plan", "source").agg(F.sum("w").alias("w"), F.max("r").alias("r"), F.max("q").alias("q")).join(held.withColumnRenamed("_source", "source"), "source", "left")
@@ -95,8 +104,8 @@ def plan_rows(targets: DataFrame, sizes: DataFrame, block_tokens: int) -> list[d
         total, size = sum(x["w"] for x in rows), max(x["q"] for x in rows) * whole
         caps = {x["source"]: float(max(0, x["r"]) * (x["source_tokens"] or 0)) for x in rows}
         amounts = filled({x["source"]: x["w"] for x in rows}, caps, size)
-        blocks_of = {x["source"]: math.ceil((x["source_tokens"] or 0) / block_tokens) for x in rows}
-        # a source's blocks hold block_tokens but for its last one, so what counts is their mean
+        blocks_of = {x["source"]: x["blocks"] or 0 for x in rows}
+        # blocks differ, by their last document, so what counts is their mean
         needed = {x["source"]: amounts[x["source"]] * blocks_of[x["source"]] / x["source_tokens"] if x["source_tokens"] else 0.0 for x in rows}
         line = sum(needed.values())
         slots, at = math.ceil(line), 0.0
@@ -107,6 +116,8 @@ def plan_rows(targets: DataFrame, sizes: DataFrame, block_tokens: int) -> list[d
                 step += 1
             out.append({"plan": plan, "source": x["source"], "target_share": x["w"] / total if total else 0.0, "max_repeats": max(0, x["r"]), "source_tokens": x["source_tokens"] or 0, "slots": slots, "low": at, "high": at + part, "blocks": blocks, "step": step})
             at += part
+        if line:  # the sum of the parts may fall short of 1 by a rounding
+            next(x for x in reversed(out) if x["high"] > x["low"])["high"] = 1.0
     return out
 
 
@@ -122,25 +133,31 @@ def _schedule(spark: SparkSession, plans: list[dict]) -> DataFrame:
         line = part if line is None else line.unionByName(part)
     if line is None:
         return spark.createDataFrame([], "plan string, slot bigint, source string, block bigint, copy bigint")
-    # each slot falls to one source: the plans are a small table, compared within one plan
-    taken = line.join(F.broadcast(table.where("high > low")), "plan").where("_u >= low and _u < high").select("plan", "slot", "source", "max_repeats", "blocks", "step")
+    # each slot falls to one source: an equi-join on the cell of the line, in which few sources have a part
+    parts = table.where("high > low").withColumn("_c", F.explode(F.sequence(F.floor(F.col("low") * LINE_CELLS), F.floor(F.col("high") * LINE_CELLS))))
+    line = line.withColumn("_c", F.floor(F.col("_u") * LINE_CELLS))
+    taken = line.join(F.broadcast(parts), ["plan", "_c"]).where("_u >= low and _u < high").select("plan", "slot", "source", "max_repeats", "blocks", "step")
     width = max(1, max(p["slots"] for p in plans) // CELLS)
     ranked = running_total(taken, ["plan", "source"], F.floor(F.col("slot") / width), ["slot"], F.lit(1), "_rank")
     copy = F.floor(F.col("_rank") / F.col("blocks"))
     return ranked.select("plan", "slot", "source", ((F.col("_rank") % F.col("blocks")) * F.col("step") % F.col("blocks")).alias("block"), copy.alias("copy"), "max_repeats").where("copy < max_repeats").drop("max_repeats")
 
 
-def mix(docs: DataFrame, key: str, source: str, text: str, targets: DataFrame, block_tokens: int = 1024, seed: int = 11, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, key: str, source: str, text: str, targets: DataFrame, tokenizer: str, block_tokens: int = 1024, seed: int = 11) -> tuple[DataFrame, DataFrame]:
     """The mixes (plan, slot, source, id, copy, tokens), one row per use of a document, and the shares reached.
 
     Shares: (plan, source, target_share, actual_share, mix_tokens, source_tokens, max_repeats, uses), one row per plan and source.
     """
-    sizes = token_sizes(docs, key, source, text, tokenizer)
-    plans = plan_rows(targets, sizes, block_tokens)
     spark = docs.sparkSession
+    sizes = token_sizes(docs, key, source, text, tokenizer)
     order = F.xxhash64(F.col("_id").cast("string"), F.lit(seed))
     placed = running_total(sizes.where("_source is not null and tokens > 0").withColumn("_o", order), ["_source"], F.pmod(F.shiftright("_o", 40), F.lit(CELLS)), ["_o", "_id"], F.col("tokens"), "_before")
-    blocks = placed.select(F.col("_source").alias("source"), F.floor(F.col("_before") / block_tokens).alias("block"), F.col("_id").alias("id"), "tokens")
+    raw = materialize(placed.select(F.col("_source").alias("source"), F.floor(F.col("_before") / block_tokens).alias("raw"), F.col("_id").alias("id"), "tokens"), "blocks")
+    # blocks that hold a document, numbered without gaps
+    width = max(1, (raw.agg(F.max("raw")).first()[0] or 0) // CELLS)
+    numbers = materialize(running_total(raw.select("source", "raw").distinct(), ["source"], F.floor(F.col("raw") / width), ["raw"], F.lit(1), "block"), "numbers")
+    plans = plan_rows(targets, sizes, numbers)
+    blocks = raw.join(numbers, ["source", "raw"]).select("source", "block", "id", "tokens")
     mixed = materialize(_schedule(spark, plans).join(blocks, ["source", "block"]).select("plan", "slot", "source", "id", "copy", "tokens"), "mix")
     reached = mixed.groupBy("plan", "source").agg(F.sum("tokens").alias("mix_tokens"), F.count("*").alias("uses"))
     table = spark.createDataFrame([tuple(p[f.name] for f in _PLAN) for p in plans], _PLAN).select("plan", "source", "target_share", "max_repeats", "source_tokens")

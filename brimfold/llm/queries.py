@@ -76,8 +76,13 @@ def p6_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return _leaks(spark, folder)
 
 
+#: The vocabulary used where the setting ``spark.brimfold.tokenizer`` names none.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
 def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    return mix(table(spark, folder, "documents", "doc_id", "source", "text"), "doc_id", "source", "text", table(spark, folder, "mix_targets"))
+    tokenizer = spark.conf.get("spark.brimfold.tokenizer", TOKENIZER)
+    return mix(table(spark, folder, "documents", "doc_id", "source", "text"), "doc_id", "source", "text", table(spark, folder, "mix_targets"), tokenizer)
 
 
 def p7_mix(spark: SparkSession, folder: str) -> DataFrame:

@@ -413,7 +413,7 @@ def test_mix_shares_and_caps(spark):
     docs = [(i, r.choice(sources), " ".join(r.choice(WORDS) for _ in range(r.randrange(5, 80)))) for i in range(4000)] + [(5000, None, "no source"), (5001, "big", None), (5002, "big", ""), (None, "big", "x"), (5003, "mid", "y " * 20_000)]
     targets = [("p", "big", 1.0, 1, 0.5), ("p", "mid", 1.0, 2, 0.5), ("p", "small", 0.3, 3, 0.5), ("p", "none", 1.0, 3, 0.5), ("q", "small", 2.0, 2, 9.0), (None, "big", 1.0, 1, 1.0), ("z", "big", None, 1, 1.0)]
     shape = "plan string, source string, target_weight double, max_repeats int, size_ratio double"
-    mixed, shares = mix(spark.createDataFrame(docs, "d bigint, s string, t string").transform(clashing), "d", "s", "t", spark.createDataFrame(targets, shape), block_tokens=256)
+    mixed, shares = mix(spark.createDataFrame(docs, "d bigint, s string, t string").transform(clashing), "d", "s", "t", spark.createDataFrame(targets, shape), queries.TOKENIZER, block_tokens=256)
     uses = Counter((x.plan, x.source, x.id) for x in mixed.collect())
     caps = {(p, s): n for p, s, _, n, _ in targets}
     assert all(n <= caps[p, s] for (p, s, _), n in uses.items()) and mixed.groupBy("plan", "id", "copy").count().where("count > 1").count() == 0
@@ -427,10 +427,20 @@ def test_mix_shares_and_caps(spark):
     assert abs(sum(x.mix_tokens for (p, _), x in got.items() if p == "p") / total - 0.5) < 0.04  # one document has 20,000 tokens
     prefix = [x.source for x in mixed.where("plan = 'p'").select("slot", "source").distinct().orderBy("slot").limit(40).collect()]
     assert abs(prefix.count("big") - 40 / 2.3) < 5  # any run of slots is near the shares
-    a, b = mix(spark.createDataFrame([], "d bigint, s string, t string"), "d", "s", "t", spark.createDataFrame(targets, shape))
+    a, b = mix(spark.createDataFrame([], "d bigint, s string, t string"), "d", "s", "t", spark.createDataFrame(targets, shape), queries.TOKENIZER)
     assert a.collect() == [] and {x.mix_tokens for x in b.collect()} == {0}
 
 
+def test_no_block_is_empty_and_long_documents_count_by_their_tokens(spark):
+    """Documents of many blocks among short ones: the shares hold, and every slot has a document."""
+    docs = [(i, "ab"[i % 2], "y " * (4000 if i % 2 == 0 and i % 20 == 0 else 60)) for i in range(1200)]
+    shape = "plan string, source string, target_weight double, max_repeats int, size_ratio double"
+    targets = spark.createDataFrame([("p", "a", 1.0, 2, 0.4), ("p", "b", 1.0, 3, 0.4)], shape)
+    mixed, shares = mix(spark.createDataFrame(docs, "d bigint, s string, t string"), "d", "s", "t", targets, queries.TOKENIZER, block_tokens=256)
+    slots = {x.slot for x in mixed.select("slot").distinct().collect()}
+    assert slots == set(range(len(slots))) and all(abs(x.actual_share - 0.5) < 0.06 for x in shares.collect())
+
+
 # --- 8 -------------------------------------------------------------------------------------------------------------
 def brute_spans(docs, least):
     where = defaultdict(set)
