@@ -12,12 +12,8 @@ from brimfold.operators.snapshots import delivery_changes, with_values
 from brimfold.plans import table_queries, text_queries
 from brimfold.sources.tables import table
 
-#: feed: table, key, value, declared zone, whether slashed dates begin with the day
-FEED_INSTANTS = {
-    "remotive": ("id", "publication_date", "UTC", True),
-    "arbeitnow": ("slug", "created_at", "Europe/Berlin", True),
-    "lever": ("id", "createdAt", "America/New_York", False),
-}
+#: feed: key, value, whether slashed dates begin with the day. The zones of values without one are estimated.
+FEED_INSTANTS = {"remotive": ("id", "publication_date", True), "arbeitnow": ("slug", "created_at", True), "lever": ("id", "createdAt", False)}
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,8 +32,8 @@ def p2_values(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     out = None
-    for feed, (key, value, zone, day_first) in FEED_INSTANTS.items():
-        part = normalise_instants(table(spark, folder, feed, key, value, "fetched_at"), key, value, "fetched_at", zone, day_first)
+    for feed, (key, value, day_first) in FEED_INSTANTS.items():
+        part = normalise_instants(table(spark, folder, feed, key, value, "fetched_at"), key, value, "fetched_at", None, day_first)
         part = part.select(F.lit(feed).alias("feed"), "row_key", "utc_micros")
         out = part if out is None else out.unionByName(part)
     return out

@@ -7,6 +7,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from brimfold.plans.catalog import FEED_INSTANTS
+from brimfold.sources.tables import table
 from brimfold.operators.instants import estimate_zone, normalise_instants, read_instants
 
 UTC = dt.timezone.utc
@@ -61,21 +63,48 @@ def test_local_times_like_zoneinfo(spark, times):
     assert run(spark, [t.strftime("%d.%m.%Y %H:%M:%S") for t in times], "Europe/Berlin") == want
 
 
-@pytest.mark.parametrize("zone", ["Europe/Berlin", "America/New_York", "Asia/Tokyo"])
-def test_the_zone_is_found_from_ingestion(spark, zone):
+def fed(zones, n=3000):
+    """Rows (key, text, ingested, site) whose zoneless texts are in the zone of their site."""
     r, rows = random.Random(4), []
-    for i in range(3000):
+    for i in range(n):
+        site = sorted(zones)[i % len(zones)]
         t = dt.datetime(2026, 1, 1, tzinfo=UTC) + dt.timedelta(hours=3 * i, minutes=i % 60)
         seen = t + dt.timedelta(hours=1 + 24 * r.random())
         if i % 20 == 0:
             seen += dt.timedelta(days=40)
-        text = t.isoformat() if i % 2 else t.astimezone(ZoneInfo(zone)).strftime("%Y-%m-%d %H:%M:%S")
-        rows.append((str(i), text, seen.replace(tzinfo=None)))
-    df = spark.createDataFrame(rows, "k string, v string, at timestamp")
-    read = read_instants(df, "k", "v", "at", True)
-    assert estimate_zone(read) == zone
-    assert estimate_zone(read, "UTC") == zone
-    assert estimate_zone(read, zone) == zone
+        text = t.isoformat() if r.random() < 0.5 else t.astimezone(ZoneInfo(zones[site])).strftime("%Y-%m-%d %H:%M:%S")
+        rows.append((str(i), text, seen.replace(tzinfo=None), site, round(t.timestamp() * 1_000_000)))
+    return rows
+
+
+FED = "k string, v string, at timestamp, site string, want bigint"
+
+
+@pytest.mark.parametrize("zone", ["Europe/Berlin", "America/New_York", "Asia/Tokyo"])
+def test_the_zone_is_found_from_ingestion(spark, zone):
+    read = read_instants(spark.createDataFrame(fed({"a": zone}), FED), "k", "v", "at", True)
+    assert estimate_zone(read) == zone and estimate_zone(read, zone) == zone
+    for wrong in ("UTC", "Europe/London", "Europe/Athens", "America/Chicago"):  # neighbours, too
+        assert estimate_zone(read, wrong) == zone
+
+
+def test_sites_of_other_zones(spark):
+    zones = {"a": "America/New_York", "b": "Asia/Tokyo", "c": "America/New_York"}
+    df = spark.createDataFrame(fed(zones, 6000), FED)
+    got = normalise_instants(df, "k", "v", "at", by="site").join(df.select("k", "want"), F.col("row_key") == F.col("k"))
+    assert got.where("utc_micros <> want").count() <= 2 and got.count() == 6000  # the second of a local hour that occurs twice
+
+
+@pytest.mark.parametrize("folder, feeds", [("/root/testdata/sf0.01", FEED_INSTANTS), ("/root/testdata/sf0.1", FEED_INSTANTS)])
+def test_the_zones_of_the_feeds_are_found(spark, folder, feeds):
+    want = {"remotive": "UTC", "arbeitnow": "Europe/Berlin", "lever": "America/New_York"}
+    found = {feed: estimate_zone(read_instants(table(spark, folder, feed, key, value, "fetched_at"), key, value, "fetched_at", day_first)) for feed, (key, value, day_first) in feeds.items()}
+    assert found == want
+
+
+def test_too_few_values_keep_the_declared_zone(spark):
+    read = read_instants(spark.createDataFrame(fed({"a": "Europe/Berlin"}, 12), FED), "k", "v", "at", True)
+    assert estimate_zone(read, "Europe/Athens") == "Europe/Athens"
 
 
 def test_repeated_null_and_clashing(spark):
