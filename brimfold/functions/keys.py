@@ -24,6 +24,21 @@ def posting_key(company: Column, title: Column, location: Column) -> Column:
     return F.substring(F.sha2(fingerprint(company, title, location), 256), 1, 20)
 
 
+def company_key(source: Column, identifier: Column) -> Column:
+    """What an employer's health is kept under, whatever the case of its identifier."""
+    return F.concat_ws(":", F.lower(source), F.lower(F.trim(identifier)))
+
+
+def missed_key(company: Column, position: Column, url: Column) -> Column:
+    """16 hex digits that name a posting the run should have had."""
+    return F.substring(F.sha2(F.concat_ws("|", *[F.lower(F.trim(F.coalesce(c, F.lit("")))) for c in (company, position, url)]), 256), 1, 16)
+
+
+def label_prefix(label: Column) -> Column:
+    """The part of a label before " - "."""
+    return F.substring_index(F.coalesce(label, F.lit("")), " - ", 1)
+
+
 def stable_bucket(key: Column, buckets: int) -> Column:
     """Bucket 0..buckets-1 by the first four bytes of the key's SHA-256; the same in every engine."""
     return F.pmod(F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("bigint"), F.lit(buckets)).cast("int")
@@ -36,7 +51,8 @@ def rate(part: Column, whole: Column, digits: int = 1) -> Column:
 
 def whole_days(later: Column, earlier: Column) -> Column:
     """Full days between two timestamps, not below 0; null if either is."""
-    return F.greatest(F.lit(0), F.floor((F.unix_timestamp(later) - F.unix_timestamp(earlier)) / 86400)).cast("int")
+    days = F.floor((F.unix_timestamp(later) - F.unix_timestamp(earlier)) / 86400)
+    return F.when(days.isNotNull(), F.greatest(F.lit(0), days)).cast("int")
 
 
 def age_band(days: Column) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import window as W
 from pyspark.sql.types import BooleanType
 
 from brimfold.functions.keys import fingerprint
-from brimfold.functions.text import normalize_company, normalize_text
+from brimfold.functions.text import normalize_company, normalize_plain
 from brimfold.functions.urls import canonical_url, host_quality
 from brimfold.operators.components import components
 from brimfold.plans.shared import materialize
@@ -71,7 +71,7 @@ def _alike(least: float):
 
 def with_keys(df: DataFrame) -> DataFrame:
     """Adds _keys, the array of exact keys of a canonical posting, and _anchor, the block of its description."""
-    company, body = normalize_company(F.col("company")), normalize_text(F.col("description"))
+    company, body = normalize_company(F.col("company")), normalize_plain(F.col("description"))
     df = df.withColumns({"_company": company, "_body": body})
     urls = F.array_distinct(F.filter(F.transform(F.concat(F.array("url", "apply_url", "canonical_url"), F.map_values("source_urls")), canonical_url), lambda u: u != ""))
     space = F.lower(F.coalesce(F.nullif(F.col("ats"), F.lit("")), F.col("source"), F.lit("")))

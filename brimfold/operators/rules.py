@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from brimfold.functions.text import contains_any, has_alias, normalize_text, sentences
+from brimfold.functions.text import contains_any, has_alias, normalize_plain, sentences
 
 
 def first_match(text: Column, ladder: list[tuple[str, str]], otherwise: str) -> Column:
@@ -62,7 +62,7 @@ def carried_sections(rows: DataFrame, key: str, on: list[str], off: list[str], l
 
     A heading is a sentence of at most ``longest`` characters that is one of the terms or begins with it and a blank.
     """
-    head = F.regexp_replace(normalize_text(F.col("sentence")), r"^[ :\-]+|[ :\-]+$", "")
+    head = F.regexp_replace(normalize_plain(F.col("sentence")), r"^[ :\-]+|[ :\-]+$", "")
     is_one = lambda terms: (F.length(head) <= longest) & head.rlike(rf"^(?:{'|'.join(terms)})(?: |$)")
     flag = F.when(is_one(on), True).when(is_one(off), False)
     w = W.Window.partitionBy(key).orderBy("pos").rowsBetween(W.Window.unboundedPreceding, 0)
@@ -74,7 +74,7 @@ def strongest_mentions(rows: DataFrame, key: str, aliases: dict[str, list[str]],
 
     ``rows`` has key, pos, sentence, optional. Strength: mandatory, then optional, then mentioned.
     """
-    text = normalize_text(F.col("sentence"))
+    text = normalize_plain(F.col("sentence"))
     rows = rows.withColumn("_text", text)
     is_optional = F.col("optional") | contains_any(F.col("_text"), optional)
     strength = F.when(is_optional, 2).when(contains_any(F.col("_text"), mandatory), 3).otherwise(1)

@@ -73,9 +73,14 @@ def all_failed(status: DataFrame) -> DataFrame:
     return status.agg((F.count_if(F.col("status") != "idle") > 0).alias("_some"), F.coalesce(F.bool_and((F.col("status") == "failed") | (F.col("status") == "idle")), F.lit(False)).alias("_all")).select((F.col("_some") & F.col("_all")).alias("all_failed"))
 
 
-def keys_digest(df: DataFrame, key: str) -> DataFrame:
-    """One row: the first ten hex digits of the SHA-256 of the sorted keys, one per line; the same for the same set, so an alert isn't sent twice."""
-    return df.agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(key)), "\n"), 256), 1, 10).alias("digest"))
+def keys_digest(df: DataFrame, key: str, most: int = 1000) -> DataFrame:
+    """One row: the first ten hex digits of the SHA-256 of the sorted keys, one per line; the same for the same set, so an alert isn't sent twice.
+
+    For the keys of one alert; more than ``most`` are an error.
+    """
+    few = df.select(key).limit(most + 1).agg(F.collect_list(key).alias("_k"))
+    told = F.substring(F.sha2(F.array_join(F.array_sort("_k"), "\n"), 256), 1, 10)
+    return few.select(F.when(F.size("_k") > most, F.raise_error(F.lit(f"more than {most} keys"))).otherwise(told).alias("digest"))
 
 
 def report_queue(df: DataFrame, fresh: Column, order: list[Column], n: int, fill: bool = True) -> DataFrame:

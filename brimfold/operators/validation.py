@@ -30,6 +30,16 @@ def iso_date(name: str) -> tuple[Column, Column]:
     return (F.coalesce(text, F.lit("")) != "") & (~text.rlike(r"^\d{4}-\d{2}-\d{2}$") | text.try_cast("date").isNull()), F.lit(f"{name}: no date")
 
 
+def iso_moment(name: str) -> tuple[Column, Column]:
+    """A date, or a date with a time of day and perhaps a zone."""
+    text = F.col(name).cast("string")
+    return (F.coalesce(text, F.lit("")) != "") & (~text.rlike(r"^\d{4}-\d{2}-\d{2}(?:[T ].*)?$") | text.try_cast("timestamp").isNull()), F.lit(f"{name}: no date or instant")
+
+
+def web_address(name: str) -> tuple[Column, Column]:
+    return F.col(name).isNotNull() & ~F.lower(F.col(name)).rlike("^https?://"), F.lit(f"{name}: no http address")
+
+
 def required_if(name: str, condition: Column) -> tuple[Column, Column]:
     return condition & required(name)[0], F.lit(f"{name}: missing in this state")
 

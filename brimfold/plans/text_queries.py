@@ -23,11 +23,15 @@ GERMAN = [" und ", " oder ", " wir ", " sie ", " mit ", " die ", " der ", " unse
 
 
 # --- SQL of the expressions the queries share ---------------------------------------------------------------------
-def _norm(x: str) -> str:
+def _bare(x: str) -> str:
     low = f"replace(replace(lower(coalesce({x}, '')), 'ß', 'ss'), '&', ' and ')"
     return rf"trim(regexp_replace(regexp_replace({low}, '[^a-z0-9äöüß+/#. -]+', ' ', 'g'), '\s+', ' ', 'g'), ' ')"
 
 
+def _norm(x: str) -> str:
+    return _bare(f"CASE WHEN regexp_matches({x}, '[<&]') THEN {_plain(x)} ELSE {x} END")
+
+
 def _title(x: str) -> str:
     bare = rf"regexp_replace({_norm(x)}, '\b(?:{'|'.join(text.GENDER_MARKS)})\b', ' ', 'g')"
     return rf"regexp_replace(regexp_replace({bare}, '\s+', ' ', 'g'), '^[ \-/]+|[ \-/]+$', '', 'g')"
@@ -127,7 +131,7 @@ def q09_title_ladder(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q10_best_family(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "remotive", "id", "title", "description").select("id", text.normalize_text(F.col("title")).alias("t"), text.normalize_text(text.markup_to_text(F.col("description"))).alias("b"))
+    rows = table(spark, d, "remotive", "id", "title", "description").select("id", text.normalize_text(F.col("title")).alias("t"), text.normalize_plain(text.markup_to_text(F.col("description"))).alias("b"))
     return rows.select("id", rules.best_family(F.col("t"), F.col("b"), FAMILIES, "other").alias("f")).select("id", F.col("f.id").alias("family"), F.col("f.score").cast("int").alias("score"))
 
 
@@ -151,7 +155,7 @@ def q13_exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 def q14_anchor_blocks(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "remotive", "id", "company_name", "description")
-    rows = rows.select("id", text.normalize_company(F.col("company_name")).alias("c"), text.normalize_text(text.markup_to_text(F.col("description"))).alias("b")).where("c <> '' and length(b) >= 500")
+    rows = rows.select("id", text.normalize_company(F.col("company_name")).alias("c"), text.normalize_plain(text.markup_to_text(F.col("description"))).alias("b")).where("c <> '' and length(b) >= 500")
     anchor = F.concat_ws("|", "c", F.floor(F.length("b") / 200), F.substring(F.sha2(F.substring("b", 1, 300), 256), 1, 16))
     return rows.groupBy(anchor.alias("anchor")).agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
 
@@ -214,7 +218,7 @@ def q46_exact_key_groups(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (q01_top_report, q02_normalized_text, q03_visible_text, q04_canonical_urls, q05_posting_keys, q06_sentences, q07_german_markers, q08_rejection_reasons, q09_title_ladder, q10_best_family, q11_strongest_mentions, q12_carried_sections, q13_exact_duplicates, q14_anchor_blocks, q35_year_ranges, q41_epoch_projection, q42_nested_projection, q43_union_sources, q44_html_parser, q45_deduplicated, q46_exact_key_groups, q49_arbeitnow_projection)}
 
 _ROWS = f"SELECT doc_id, unnest(range(len(p))) AS pos, unnest(p) AS sentence FROM (SELECT doc_id, {_parts('text')} AS p FROM documents)"
-_HEAD = rf"regexp_replace({_norm('sentence')}, '^[ :\-]+|[ :\-]+$', '', 'g')"
+_HEAD = rf"regexp_replace({_bare('sentence')}, '^[ :\-]+|[ :\-]+$', '', 'g')"
 _FLAG = f"CASE WHEN length(h) <= 80 AND regexp_matches(h, '^(?:{'|'.join(ON)})(?: |$)') THEN true WHEN length(h) <= 80 AND regexp_matches(h, '^(?:{'|'.join(OFF)})(?: |$)') THEN false END"
 _CARRIED = f"SELECT doc_id, pos, sentence, coalesce(last_value(f IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING), false) AS optional FROM (SELECT *, {_FLAG} AS f FROM (SELECT *, {_HEAD} AS h FROM ({_ROWS})))"
 _SCORES = ", ".join(f"{{'score': least(12, 6 * {_hits('t', t)}) + least(4, {_hits('b', b)}), 'ord': {-k}, 'id': '{n}'}}" for k, (n, t, b) in enumerate(FAMILIES))
@@ -238,13 +242,13 @@ SQL = {
     "q08_rejection_reasons": f"""WITH w AS (SELECT slug, unnest(list_filter([CASE WHEN {_has(_norm('title'), VETO)} THEN 'title' END, CASE WHEN {_has(_norm("array_to_string(job_types, ' ')"), ['intern'])} THEN 'employment type' END, CASE WHEN coalesce(trim(company_name, ' '), '') = '' THEN 'no company' END, CASE WHEN length(coalesce(description, '')) < 200 THEN 'short description' END], lambda x: x IS NOT NULL)) AS why FROM arbeitnow)
         SELECT why, count(*) AS rows, min(slug) AS first FROM w GROUP BY 1""",
     "q09_title_ladder": "WITH t AS (SELECT id, " + _norm("title") + " AS t FROM remotive) SELECT id, CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for n, p in LADDER) + " ELSE 'other' END AS level, CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN regexp_extract(t, '{p}', 0)" for _, p in LADDER) + " ELSE '' END AS evidence FROM t",
-    "q10_best_family": f"WITH t AS (SELECT id, {_norm('title')} AS t, {_norm(_plain('description'))} AS b FROM remotive), s AS (SELECT id, list_max([{_SCORES}]) AS m FROM t) SELECT id, CASE WHEN m.score > 0 THEN m.id ELSE 'other' END AS family, greatest(m.score, 0)::int AS score FROM s",
-    "q11_strongest_mentions": f"""WITH s AS (SELECT *, {_norm('sentence')} AS t FROM ({_CARRIED})), o AS (SELECT *, optional OR {_has('t', OPTIONAL)} AS is_o, {_has('t', MANDATORY)} AS is_m FROM s),
+    "q10_best_family": f"WITH t AS (SELECT id, {_norm('title')} AS t, {_bare(_plain('description'))} AS b FROM remotive), s AS (SELECT id, list_max([{_SCORES}]) AS m FROM t) SELECT id, CASE WHEN m.score > 0 THEN m.id ELSE 'other' END AS family, greatest(m.score, 0)::int AS score FROM s",
+    "q11_strongest_mentions": f"""WITH s AS (SELECT *, {_bare('sentence')} AS t FROM ({_CARRIED})), o AS (SELECT *, optional OR {_has('t', OPTIONAL)} AS is_o, {_has('t', MANDATORY)} AS is_m FROM s),
         h AS (SELECT doc_id, pos, substring(sentence, 1, 260) AS evidence, is_o, CASE WHEN is_o THEN 2 WHEN is_m THEN 3 ELSE 1 END AS st, unnest(list_filter([{', '.join(f"CASE WHEN {_has('t', ALIASES[n])} THEN '{n}' END" for n in sorted(ALIASES))}], lambda x: x IS NOT NULL)) AS skill FROM o)
         SELECT doc_id, skill, ['mentioned', 'optional', 'mandatory'][arg_max(st, (st, -pos))] AS requirement, md5(arg_max(evidence, (st, -pos))) AS evidence_md5, count(*) AS mentions, bool_and(is_o) AS only_optional FROM h GROUP BY 1, 2""",
     "q12_carried_sections": f"SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE optional) AS in_optional FROM ({_CARRIED}) GROUP BY 1",
     "q13_exact_duplicates": f"SELECT min(slug) AS slug, sha256(k) AS fingerprint FROM (SELECT slug, {_fingerprint('company_name', 'title', 'location')} AS k FROM arbeitnow) GROUP BY k",
-    "q14_anchor_blocks": f"WITH t AS (SELECT id, {_company('company_name')} AS c, {_norm(_plain('description'))} AS b FROM remotive) SELECT concat_ws('|', c, length(b) // 200, substring(sha256(substring(b, 1, 300)), 1, 16)) AS anchor, count(*) AS n, count(DISTINCT id) AS ids FROM t WHERE c <> '' AND length(b) >= 500 GROUP BY 1",
+    "q14_anchor_blocks": f"WITH t AS (SELECT id, {_company('company_name')} AS c, {_bare(_plain('description'))} AS b FROM remotive) SELECT concat_ws('|', c, length(b) // 200, substring(sha256(substring(b, 1, 300)), 1, 16)) AS anchor, count(*) AS n, count(DISTINCT id) AS ids FROM t WHERE c <> '' AND length(b) >= 500 GROUP BY 1",
     "q35_year_ranges": rf"""WITH m AS (SELECT doc_id, pos, unnest(regexp_extract_all(sentence, '(?i)\b(\d{{1,2}})(?:\s*[-–—]\s*(\d{{1,2}}))?\s*\+?\s*(?:years?|yrs?|jahre?n?)\b')) AS y FROM ({_ROWS})),
         v AS (SELECT doc_id, pos, regexp_extract(y, '^(\d{{1,2}})', 1)::int AS low, try_cast(nullif(regexp_extract(y, '^\d{{1,2}}\s*[-–—]\s*(\d{{1,2}})', 1), '') AS int) AS high FROM m)
         SELECT doc_id, count(*) AS n, max(low) AS most, arg_max(pos, (low, -pos))::int AS at FROM v WHERE low <= 20 AND coalesce(high, 0) <= 30 GROUP BY 1""",

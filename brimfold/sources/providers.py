@@ -7,6 +7,7 @@ a field of another type than declared costs its own value only. Ids and instants
 
 from __future__ import annotations
 
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +30,9 @@ SCHEMAS = {
 }
 PERSONIO = "id string, subcompany string, office string, department string, recruitingCategory string, name string, jobDescriptions struct<jobDescription:array<struct<name:string,value:string>>>, employmentType string, seniority string, schedule string, yearsOfExperience string, createdAt string"
 # What the codes for years of experience stand for.
-YEARS = {"lt-1": "less than 1 year", "1-2": "1-2 years", "2-5": "2-5 years", "5-7": "5-7 years", "7-10": "7-10 years", "10-15": "10-15 years", "ht15": "more than 15 years"}
+YEARS = {"lt-1": "Less than 1 year of experience", "1-2": "1-2 years of experience", "2-5": "2-5 years of experience", "5-7": "5-7 years of experience", "7-10": "7-10 years of experience", "10-15": "10-15 years of experience", "gt-15": "15+ years of experience"}
+# Fixed value: how a status code is named in error texts.
+STATUS = r"(?i)HTTP(?: Error)?\s*(\d{3})"
 
 
 def _or(*columns: Column) -> Column:
@@ -54,10 +57,27 @@ def _epoch(value: Column) -> Column:
 
 
 def payloads(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """(path, doc): landed JSON documents, one row each, parsed by the provider's schema; doc is null where its container can't be read."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value"))
-    parsed = F.from_json("value", SCHEMAS[source] + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    return raw.select("path", parsed.alias("doc")).select("path", F.when(F.col("doc._bad").isNull() | F.col(f"doc.{CONTAINERS[source]}").isNotNull(), F.col("doc")).alias("doc"))
+    """(path, doc, error, status): landed JSON documents, one row each, parsed by the provider's schema; doc is null where its container can't be read."""
+    return parsed(spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("body")), source)
+
+
+def parsed(rows: DataFrame, source: str, employer: str | None = None) -> DataFrame:
+    """``payloads`` of rows (path or url, body[, error, status]), as a REST source gives them.
+
+    ``employer`` names the column that says whose postings a body holds, for providers with an address an employer.
+    """
+    here = set(rows.columns)
+    body = F.col("body")
+    if employer:  # one employer's answer, put where a document of all employers has it
+        body = F.concat(F.lit('{"' + CONTAINERS[source] + '":{'), F.regexp_replace(F.to_json(F.array(F.col(employer))), r"^\[|\]$", ""), F.lit(":"), body, F.lit("}}"))
+    schema = SCHEMAS[source] + (", " + SCHEMAS[source].removeprefix("pages array<struct<").removesuffix(">>").replace("data:", "data ", 1) if source == "arbeitnow" else "")
+    doc = F.from_json(body, schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    fields = {"path": F.col("path" if "path" in here else "url"), "doc": doc, "error": F.col("error") if "error" in here else F.lit(""), "status": F.col("status") if "status" in here else F.lit(None).cast("int"), "owner": F.col(employer) if employer else F.lit(None).cast("string")}
+    out = rows.select(*[c.alias(n) for n, c in fields.items()])
+    if source == "arbeitnow":  # a page by itself, or several in one document
+        out = out.withColumn("doc", F.col("doc").withField("pages", F.coalesce("doc.pages", F.when(F.col("doc.data").isNotNull(), F.array(F.struct(F.col("doc.data").alias("data")))))))
+    whole = F.col("doc._bad").isNull() | F.col(f"doc.{CONTAINERS[source]}").isNotNull()
+    return out.withColumn("doc", F.when(whole & (F.coalesce("error", F.lit("")) == ""), F.col("doc")))
 
 
 def _finish(df: DataFrame, source: str, **columns: Column) -> DataFrame:
@@ -115,33 +135,43 @@ def recruitee(docs: DataFrame, status: str = "published") -> DataFrame:
     return _finish(j, "recruitee", ats=F.lit("recruitee"), source_job_id=_or(F.col("id"), F.col("guid"), F.col("slug")), company=_or(F.col("company_name"), F.col("employer")), title=_or(F.col("title")), location=_or(F.col("location")), remote=F.coalesce("remote", F.lit(False)), hybrid=F.coalesce("hybrid", F.lit(False)), url=_or(F.col("careers_url")), apply_url=_or(F.col("careers_apply_url"), F.col("careers_url")), published_at=_or(F.col("published_at"), F.col("created_at")), description=_lines(F.coalesce("description", F.lit("")), F.coalesce("requirements", F.lit(""))), salary=F.trim(F.coalesce(pay, F.lit(""))), employment_type=_or(F.col("employment_type_code")), tags=F.filter(F.array("department", "category_code", "experience_code"), lambda x: F.trim(x) != ""))
 
 
-def personio(spark: SparkSession, path: str, account: str) -> DataFrame:
-    """Positions of one account's XML."""
+def personio(spark: SparkSession, path: str, account: str, company: str = "", language: str = "en") -> DataFrame:
+    """Positions of one account's XML; ``company`` is who they are if a position does not say."""
     j = spark.read.format("xml").schema(PERSONIO).option("rowTag", "position").load(path)
-    blocks = F.array_join(F.transform(F.coalesce("jobDescriptions.jobDescription", F.array().cast("array<struct<name:string,value:string>>")), lambda x: F.concat_ws("\n", F.trim(x["name"]), F.trim(x["value"]))), "\n\n")
-    years = F.create_map(*[F.lit(x) for kv in YEARS.items() for x in kv])[F.col("yearsOfExperience")]
-    url = F.concat(F.lit(f"https://{account}.jobs.personio.de/job/"), F.col("id"))
-    return _finish(j, "personio", ats=F.lit("personio"), source_job_id=_or(F.col("id")), company=_or(F.col("subcompany"), F.lit(account)), title=_or(F.col("name")), location=_or(F.col("office")), remote=F.lower(_or(F.col("office"))).contains("remote"), url=url, published_at=_or(F.col("createdAt")), description=_lines(blocks, F.when(years.isNotNull(), F.concat(F.lit("Experience: "), years)).otherwise("")), employment_type=_or(F.col("employmentType"), F.col("schedule")), tags=F.filter(F.array("department", "recruitingCategory", "seniority", "schedule"), lambda x: F.trim(x) != ""))
+    block = lambda x: F.regexp_replace(F.concat_ws("\n", F.trim(x["name"]), F.trim(x["value"])), r"^\s+|\s+$", "")
+    blocks = F.array_join(F.filter(F.transform(F.coalesce("jobDescriptions.jobDescription", F.array().cast("array<struct<name:string,value:string>>")), block), lambda x: x != ""), "\n\n")
+    years = F.create_map(*[F.lit(x) for kv in YEARS.items() for x in kv])[F.trim("yearsOfExperience")]
+    url = F.concat(F.lit(f"https://{account}.jobs.personio.de/job/"), F.trim("id"), F.lit(f"?language={quote(language)}"))
+    both = lambda *c: F.filter(F.transform(F.array(*c), lambda x: F.trim(x)), lambda x: x != "")
+    return _finish(j, "personio", ats=F.lit("personio"), source_job_id=_or(F.col("id")), company=_or(F.col("subcompany"), F.lit(company), F.lit(account)), title=_or(F.col("name")), location=_or(F.col("office")), remote=F.lower(_or(F.col("office"))).contains("remote"), url=url, apply_url=url, canonical_url=url, published_at=_or(F.col("createdAt")), description=_lines(blocks, F.coalesce(years, F.lit(""))), employment_type=F.array_join(both("employmentType", "schedule"), " / "), tags=both("department", "recruitingCategory", "seniority", "yearsOfExperience"))
 
 
 def collection_log(docs: DataFrame, source: str, container: str | None = None, jobs: str | None = None) -> DataFrame:
-    """One row per employer (or per document where there are none): whether it was read, how many postings it gave, what failed."""
-    bad = docs.where("doc is null").select(F.lit(source).alias("source"), F.lit(None).cast("string").alias("employer"), F.lit(False).alias("ok"), F.lit(0).cast("bigint").alias("jobs"), F.lit(1).cast("bigint").alias("requests"), F.lit(None).cast("int").alias("http_status"), F.substring(F.concat(F.lit("no valid document: "), F.element_at(F.split("path", "/"), -1)), 1, 300).alias("error"))
+    """One row per employer (or per document where there are none): whether it was read, how many postings it gave, what failed and with which status."""
+    said = F.coalesce(F.nullif("error", F.lit("")), F.concat(F.lit("no valid document: "), F.element_at(F.split("path", "/"), -1)))
+    bad = docs.where("doc is null").select(F.lit(source).alias("source"), F.col("owner").alias("employer"), F.lit(False).alias("ok"), F.lit(0).cast("bigint").alias("jobs"), F.lit(1).cast("bigint").alias("requests"), F.coalesce("status", http_status(F.col("error"))).alias("http_status"), F.substring(said, 1, 300).alias("error"))
     good = docs.where("doc is not null")
     if container:
-        by = good.select(F.explode(f"doc.{container}").alias("employer", "v"))
+        by = good.select("status", F.explode(f"doc.{container}").alias("employer", "v"))
         n = F.size(f"v.{jobs}" if jobs else "v")
-        ok = by.select("employer", (n >= 0).alias("ok"), F.greatest(n, F.lit(0)).cast("bigint").alias("jobs"))
+        ok = by.select("employer", "status", (n >= 0).alias("ok"), F.greatest(n, F.lit(0)).cast("bigint").alias("jobs"))
     else:
         n = F.aggregate("doc.pages", F.lit(0), lambda a, p: a + F.greatest(F.size(p["data"]), F.lit(0))) if source == "arbeitnow" else F.greatest(F.size("doc.jobs"), F.lit(0))
-        ok = good.select(F.lit(None).cast("string").alias("employer"), F.lit(True).alias("ok"), F.coalesce(n, F.lit(0)).cast("bigint").alias("jobs"))
-    ok = ok.select(F.lit(source).alias("source"), "employer", "ok", "jobs", F.lit(1).cast("bigint").alias("requests"), F.lit(None).cast("int").alias("http_status"), F.when(F.col("ok"), "").otherwise("no list of postings").alias("error"))
+        ok = good.select(F.lit(None).cast("string").alias("employer"), "status", F.lit(True).alias("ok"), F.coalesce(n, F.lit(0)).cast("bigint").alias("jobs"))
+    ok = ok.select(F.lit(source).alias("source"), "employer", "ok", "jobs", F.lit(1).cast("bigint").alias("requests"), F.col("status").cast("int").alias("http_status"), F.when(F.col("ok"), "").otherwise("no list of postings").alias("error"))
     return ok.unionByName(bad)
 
 
 def http_status(error: Column) -> Column:
     """The status code named in an error text, or null."""
-    return F.nullif(F.regexp_extract(error, r"(?i)HTTP(?: Error)?\s*(\d{3})", 1), F.lit("")).try_cast("int")
+    return F.nullif(F.regexp_extract(error, STATUS, 1), F.lit("")).try_cast("int")
+
+
+def failure_rows(answers: DataFrame, source: str, employer: str = "url") -> DataFrame:
+    """(source, company, http_status, exception_type, description, message) of the answers of a REST source that failed."""
+    short = F.substring(F.regexp_replace(F.trim("error"), r"\s+", " "), 1, 240)
+    rows = answers.where(F.coalesce("error", F.lit("")) != "").select(F.lit(source).alias("source"), F.col(employer).alias("company"), F.coalesce("status", http_status(F.col("error"))).alias("http_status"), F.col("error_kind").alias("exception_type"), short.alias("description"))
+    return rows.withColumn("message", F.concat_ws(" | ", "source", "company", "exception_type", F.concat(F.lit("HTTP "), F.col("http_status").cast("string")), "description"))
 
 
 def union_sources(parts: list[DataFrame]) -> DataFrame:
