@@ -202,18 +202,18 @@ def employers(names: DataFrame, name: str) -> DataFrame:
     cluster_of = clustered.select("node", "cluster", "legal")
     unlined = ends("a", "b").unionByName(ends("b", "a")).join(cluster_of.select(F.col("node").alias("p"), F.col("cluster").alias("lone")), "p").join(cluster_of.select(F.col("node").alias("q"), "cluster"), "q")
     unlined = unlined.join(heads.where("lacks = 'line'").select(F.col("cluster").alias("lone"), F.col("legal").alias("_g")), "lone").join(whole.select("cluster", "legal"), "cluster").where(_fits(F.col("_g"), F.col("legal")))
-    nearest = unlined.groupBy("lone", "cluster").agg(F.min("d").alias("d"))
+    nearest = materialize(unlined.groupBy("lone", "cluster").agg(F.min("d").alias("d")), "nearest")
     least = nearest.groupBy("lone").agg(F.min("d").alias("d"))
-    by_line = _single(nearest.join(least, ["lone", "d"]))
+    by_line = materialize(_single(nearest.join(least, ["lone", "d"])), "line")
 
     members = clustered.join(whole.select("cluster", F.col("legal").alias("_legal"), F.col("w").alias("_w")), "cluster").select("cluster", "words", "line", F.col("_legal").alias("legal"), F.col("_w").alias("w"))
     # halves of brands: the first of two words, or the beginning of a single one
     firsts = members.where("size(words) = 2").select("cluster", F.col("words")[0].alias("half"), "line", "legal", "w")
     cut = F.transform(F.sequence(F.lit(HALF_FROM), F.length("key") - 3), lambda k: F.substring("key", F.lit(1), k))
     begins = members.where("size(words) = 1").withColumn("key", F.col("words")[0]).where(F.length("key") >= HALF_FROM + 3).select("cluster", F.explode(cut).alias("half"), "line", "legal", "w")
-    halves = firsts.unionByName(begins).distinct()
+    halves = materialize(firsts.unionByName(begins).distinct(), "halves")
     ones = heads.where("size(words) = 1 and lacks <> 'word'").select(F.col("cluster").alias("lone"), F.col("words")[0].alias("half"), F.col("line").alias("_l"), F.col("legal").alias("_g"), F.col("w").alias("_w")).where(F.length("half") >= HALF_FROM)
-    by_half = _single(ones.join(nearest.select("lone"), "lone", "left_anti").join(halves, "half").where(_fits(F.col("_l"), F.col("line")) & _fits(F.col("_g"), F.col("legal")) & (F.col("lone") != F.col("cluster")) & (F.col("_w") < F.col("w"))).select("lone", "cluster"))
+    by_half = materialize(_single(ones.join(nearest.select("lone"), "lone", "left_anti").join(halves, "half").where(_fits(F.col("_l"), F.col("line")) & _fits(F.col("_g"), F.col("legal")) & (F.col("lone") != F.col("cluster")) & (F.col("_w") < F.col("w"))).select("lone", "cluster")), "half")
 
     # an initial: of one of two words, of the whole brand set before it, or of the line
     dotted = heads.where("lacks = 'word' and size(words) > 1").select(F.col("cluster").alias("lone"), F.col("words")[0].substr(1, 1).alias("first"), F.concat_ws("", F.slice("words", 2, F.size("words"))).alias("rest"), F.col("line").alias("_l"), F.col("legal").alias("_g"))
@@ -222,7 +222,7 @@ def employers(names: DataFrame, name: str) -> DataFrame:
     full = heads_of(F.col("words")[0], F.col("words")[1]).unionByName(heads_of(F.col("words")[1], F.col("words")[0])).unionByName(heads_of(F.col("line"), F.col("words")[1]))
     brand = members.select("cluster", F.concat_ws("", "words").alias("rest"), "line", "legal").unionByName(halves.select("cluster", F.col("half").alias("rest"), "line", "legal"))
     led = full.unionByName(brand.withColumn("_f", F.col("rest"))).unionByName(brand.withColumn("_f", F.col("line"))).withColumn("first", F.substring("_f", 1, 1)).drop("_f").distinct()
-    by_initial = _single(dotted.join(led, ["first", "rest"]).where(_fits(F.col("_l"), F.col("line")) & _fits(F.col("_g"), F.col("legal"))).select("lone", "cluster"))
+    by_initial = materialize(_single(dotted.join(led, ["first", "rest"]).where(_fits(F.col("_l"), F.col("line")) & _fits(F.col("_g"), F.col("legal"))).select("lone", "cluster")), "initial")
 
     # what was joined may be what others belong to, so the links form components
     more = materialize(by_line.withColumn("kind", F.lit("line")).unionByName(by_initial.withColumn("kind", F.lit("initial"))).unionByName(by_half.withColumn("kind", F.lit("half"))), "more")
