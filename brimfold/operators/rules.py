@@ -82,3 +82,10 @@ def strongest_mentions(rows: DataFrame, key: str, aliases: dict[str, list[str]],
     best = hits.groupBy(key, "name").agg(F.max_by(F.struct("_s", "evidence"), F.struct("_s", -F.col("pos"))).alias("_b"), F.count("*").alias("mentions"), F.bool_and("_o").alias("only_optional"))
     named = F.element_at(F.array(F.lit("mentioned"), F.lit("optional"), F.lit("mandatory")), F.col("_b._s"))
     return best.select(key, "name", named.alias("requirement"), F.col("_b.evidence").alias("evidence"), "mentions", "only_optional")
+
+
+def capped(caps: list[tuple[Column, int, str]], top: int = 100) -> Column:
+    """struct<cap, why>: the least cap whose condition holds (``top`` without one) and the reasons that set it, in order, joined by commas."""
+    held = F.filter(F.array(*[F.when(c, F.struct(F.lit(n).alias("cap"), F.lit(why).alias("why"))) for c, n, why in caps]), lambda x: x.isNotNull())
+    least = F.coalesce(F.array_min(F.transform(held, lambda x: x["cap"])), F.lit(top))
+    return F.struct(least.alias("cap"), F.array_join(F.transform(F.filter(held, lambda x: x["cap"] == least), lambda x: x["why"]), ",").alias("why"))

@@ -19,6 +19,11 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int,
     return df.withColumn(rank, F.row_number().over(W.Window.partitionBy(*group).orderBy(*order))).where(F.col(rank) <= n)
 
 
+def best_per_group(df: DataFrame, group: str, best: Column, *fields: str) -> DataFrame:
+    """(group, fields) of the row of each group with the greatest ``best``; combined before the shuffle."""
+    return df.groupBy(group).agg(F.max_by(F.struct(*fields), best).alias("_b")).select(group, "_b.*")
+
+
 def top_counts(df: DataFrame, kind: str, value: str, order: str, n: int = 12) -> DataFrame:
     """(kind, value, rows, rank): the ``n`` most frequent values of each kind; ties go to the one seen first."""
     counted = df.groupBy(kind, value).agg(F.count("*").alias("rows"), F.min(order).alias("_first"))

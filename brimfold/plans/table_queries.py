@@ -9,19 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from brimfold.functions import keys
-from brimfold.operators import rules, state, summaries, validation
+from brimfold.operators import reporting, review, rules, state, summaries, validation
 from brimfold.plans.shared import new_path
 from brimfold.sources.tables import table
 from brimfold.streaming import seen
 
 SPLIT = datetime.date(1998, 6, 1)
 EXPIRE_DAYS = 3
-
-
-def q15_merged_aggregates(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders")
-    best = F.struct("o_totalprice", -F.col("o_orderkey"))
-    return o.groupBy("o_custkey").agg(F.max_by("o_orderkey", best).alias("best_order"), F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ",").alias("priorities"), F.bool_or(F.col("o_orderstatus") == "F").alias("any_final"), F.count("*").alias("orders"))
+SNAPSHOT = datetime.date(2024, 1, 15)
 
 
 def _observations(spark: SparkSession, d: str) -> DataFrame:
@@ -36,9 +31,13 @@ def q16_seen_history(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q17_expired_keys(spark: SparkSession, d: str) -> DataFrame:
-    last = table(spark, d, "events", "ts", "user_id").groupBy("user_id").agg(F.max("ts").alias("last_seen"))
-    newest = table(spark, d, "events", "ts").agg(F.max("ts").alias("newest")).first()["newest"]
-    return last.where(F.col("last_seen") < F.lit(newest) - F.expr("INTERVAL 2 DAYS")).select("user_id", F.date_format("last_seen", "yyyy-MM-dd").alias("last_day"))
+    """Keys that the state loses when nothing comes in for two days."""
+    e = table(spark, d, "events", "ts", "user_id").withColumn("at", F.col("ts").cast("timestamp"))
+    kept = e.groupBy(F.col("user_id").alias("job_key")).agg(F.min("at").alias("first_seen"), F.max("at").alias("last_seen"), F.lit("").alias("content_hash"), F.lit("SEEN_BEFORE").alias("status"))
+    newest = e.agg(F.max("at")).first()[0]
+    _, state_after, events = state.track_seen(kept.where(F.lit(False)).select("job_key", "content_hash"), kept, F.lit(newest), 2)
+    gone = events.where("event = 'REMOVED'").select("job_key")
+    return state_after.join(gone, "job_key", "left_semi").select(F.col("job_key").alias("user_id"), F.date_format("last_seen", "yyyy-MM-dd").alias("last_day"))
 
 
 def q18_upsert(spark: SparkSession, d: str) -> DataFrame:
@@ -48,8 +47,11 @@ def q18_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q19_weekly_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events", "ts", "event_type", "value", "user_id")
-    return e.groupBy(F.date_format(keys.week_start(F.col("ts")), "yyyy-MM-dd").alias("week_start"), "event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.count_if(F.col("value") >= 50).alias("high"))
+    """Weekly counts of an early state of the log, with the weeks from SNAPSHOT on replaced by those of the whole log."""
+    e = table(spark, d, "events", "ts", "event_type", "value", "user_id").withColumn("week_start", keys.week_start(F.col("ts")))
+    counts = lambda rows: rows.groupBy("week_start", "event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.count_if(F.col("value") >= 50).alias("high"))
+    merged = state.replace_period(counts(e.where("value < 60")), counts(e.where(F.col("week_start") >= F.lit(SNAPSHOT))), "week_start")
+    return merged.withColumn("week_start", F.date_format("week_start", "yyyy-MM-dd"))
 
 
 def q20_last_days(spark: SparkSession, d: str) -> DataFrame:
@@ -95,15 +97,13 @@ def q26_alert_digest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q27_left_join_defaults(spark: SparkSession, d: str) -> DataFrame:
-    last = table(spark, d, "orders", "o_custkey", "o_orderkey", "o_orderstatus").groupBy("o_custkey").agg(F.max_by("o_orderstatus", "o_orderkey").alias("status"), F.count("*").alias("n"))
-    c = table(spark, d, "customer", "c_custkey", "c_name")
-    return c.join(last, c["c_custkey"] == last["o_custkey"], "left").select("c_custkey", "c_name", F.coalesce("status", F.lit("NEW")).alias("status"), F.coalesce("n", F.lit(0)).alias("n"))
+    last = table(spark, d, "orders", "o_custkey", "o_orderkey", "o_orderstatus").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max_by("o_orderstatus", "o_orderkey").alias("status"), F.count("*").alias("n"))
+    return review.with_defaults(table(spark, d, "customer", "c_custkey", "c_name"), last, "c_custkey", {"status": "NEW", "n": 0})
 
 
 def q28_semi_anti(spark: SparkSession, d: str) -> DataFrame:
-    c, o = table(spark, d, "customer", "c_custkey", "c_nationkey"), table(spark, d, "orders", "o_custkey", "o_totalprice").where("o_totalprice > 450000")
-    on = c["c_custkey"] == o["o_custkey"]
-    return c.join(o, on, "left_semi").select("c_custkey", F.lit("large").alias("kind")).unionByName(c.join(o, on, "left_anti").select("c_custkey", F.lit("other").alias("kind")))
+    large = table(spark, d, "orders", "o_custkey", "o_totalprice").where("o_totalprice > 450000").select(F.col("o_custkey").alias("c_custkey"))
+    return review.flagged(table(spark, d, "customer", "c_custkey"), large, "c_custkey", "_large").select("c_custkey", F.when(F.col("_large"), "large").otherwise("other").alias("kind"))
 
 
 def _companies(spark: SparkSession, d: str) -> DataFrame:
@@ -149,15 +149,13 @@ def q34_json_field(spark: SparkSession, d: str) -> DataFrame:
 
 def q36_first_of_best(spark: SparkSession, d: str) -> DataFrame:
     """Per document source the longest document, the least id among equals."""
-    return table(spark, d, "documents", "doc_id", "source", "n_chars").groupBy("source").agg(F.max_by(F.struct("doc_id", "n_chars"), F.struct("n_chars", -F.col("doc_id"))).alias("b")).select("source", "b.doc_id", "b.n_chars")
+    return summaries.best_per_group(table(spark, d, "documents", "doc_id", "source", "n_chars"), "source", F.struct("n_chars", -F.col("doc_id")), "doc_id", "n_chars")
 
 
 def q37_caps(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
-    cap = lambda c, n, why: F.when(c, F.struct(F.lit(n).alias("cap"), F.lit(why).alias("why")))
-    caps = F.filter(F.array(cap(F.col("o_orderstatus") == "P", 59, "pending"), cap(F.col("o_orderpriority") == "5-LOW", 79, "low"), cap(F.col("o_totalprice") < 50000, 59, "small")), lambda x: x.isNotNull())
-    rows = o.select("o_orderkey", caps.alias("caps")).select("o_orderkey", "caps", F.coalesce(F.array_min(F.transform("caps", lambda x: x["cap"])), F.lit(100)).alias("cap"))
-    return rows.select("o_orderkey", "cap", F.array_join(F.transform(F.filter("caps", lambda x: x["cap"] == F.col("cap")), lambda x: x["why"]), ",").alias("why"))
+    caps = rules.capped([(F.col("o_orderstatus") == "P", 59, "pending"), (F.col("o_orderpriority") == "5-LOW", 79, "low"), (F.col("o_totalprice") < 50000, 59, "small")])
+    return o.select("o_orderkey", caps.alias("_c")).select("o_orderkey", "_c.cap", "_c.why")
 
 
 def q38_set_operations(spark: SparkSession, d: str) -> DataFrame:
@@ -167,16 +165,119 @@ def q38_set_operations(spark: SparkSession, d: str) -> DataFrame:
     return tag(s.union(c).distinct(), "union").unionByName(tag(n.subtract(c), "except")).unionByName(tag(s.intersect(c), "intersect"))
 
 
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    """Half-day runs made of the events, in the form of a run history."""
+    e = table(spark, d, "events", "event_id", "ts", "event_type").withColumns({"day": F.date_format("ts", "yyyy-MM-dd"), "half": F.floor(F.hour("ts") / 12).cast("int")})
+    kinds = e.groupBy("day", "half", "event_type").agg(F.count("*").alias("k"), F.max("event_id").alias("last"))
+    status = F.when(F.col("k") % 4 == 0, "failed").when(F.col("k") % 4 == 1, "partial").when(F.col("k") % 9 == 0, "idle").otherwise("ok")
+    count = lambda kind: F.sum(F.when(F.col("event_type") == kind, F.col("k"))).cast("int")
+    runs = kinds.groupBy("day", "half").agg(
+        F.sum("k").alias("n"), F.max("last").alias("_ord"), count("view").alias("relevant_jobs_in_current_run"), count("signup").alias("new_jobs"), F.sum("k").cast("int").alias("jobs_collected"), count("click").alias("security_title_candidates"), count("error").alias("duplicates_removed"),
+        F.map_from_entries(F.collect_list(F.struct("event_type", F.struct(status.alias("status"))))).alias("source_status"),
+    )
+    return runs.select("*", F.concat("day", F.lit("T06:00:00Z")).alias("generated_at"), F.when((F.col("half") == 1) & (F.col("n") % 5 == 0), "full").otherwise(F.when(F.col("n") % 2 == 0, "daily")).alias("employer_mode"), F.when(F.col("n") % 11 == 0, 0).otherwise(1).alias("quality_review_schema_version"), F.when(F.col("n") % 3 > 0, F.col("n") / 10).alias("workflow_duration_seconds"))
+
+
 def q39_quality_summary(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events", "event_type", "value", "user_id")
-    out = e.agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("failures"), F.countDistinct("user_id").alias("users"), F.count_if(F.col("event_type") == "purchase").alias("bought"), F.sum(F.when(F.col("event_type") == "purchase", F.round(F.col("value") * 100).cast("bigint"))).alias("cents"))
-    return out.withColumns({"failure_rate": keys.rate(F.col("failures"), F.col("n")), "bought_rate": keys.rate(F.col("bought"), F.col("n"))})
+    """The figures of a review: sums, rates, source checks and feedback of the runs of the last days."""
+    e = table(spark, d, "events", "ts", "event_type", "value").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    reviews = e.where("event_type in ('purchase', 'error')").select(F.when(F.col("event_type") == "purchase", "SUITABLE").otherwise("FALSE_POSITIVE").alias("verdict"), F.when(F.col("value") >= 5, F.col("day")).otherwise("").alias("first_seen"), F.concat("day", F.lit("T01:00:00Z")).alias("reviewed_at"))
+    missed = e.where("event_type = 'signup' and value > 90").select(F.col("day").alias("found_date"))
+    return review.quality_summary(_runs(spark, d), reviews, missed, "2024-01-31", 10).withColumn("value", F.round("value", 6))
+
+
+def q50_health_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Employers' health after one more scan of each supplier: failures counted on, cleared or kept."""
+    s = table(spark, d, "supplier", "s_suppkey", "s_nationkey", "s_acctbal")
+    key = F.col("s_suppkey").cast("string").alias("key")
+    old = s.where("s_suppkey % 3 <> 0").select(key, (F.col("s_nationkey") % 4).alias("failures"), F.lit(500).alias("http_status"), F.lit(None).cast("timestamp").alias("next_retry_at"))
+    results = s.where("s_suppkey % 5 <> 0").select(key, (F.col("s_acctbal") > 2000).alias("ok"), F.when(F.col("s_acctbal") < 0, 404).otherwise(200).alias("http_status"))
+    now = F.lit(datetime.datetime(2026, 8, 20)).cast("timestamp")
+    return state.update_health(old, results, now).select("key", "failures", "http_status", F.round(F.coalesce(F.unix_timestamp("next_retry_at") - F.unix_timestamp(now), F.lit(-3600)) / 3600).cast("int").alias("hours"))
+
+
+def q51_health_and_selection(spark: SparkSession, d: str) -> DataFrame:
+    """The counts of a rotation by source, as (source, metric, value), and those of the employers' health."""
+    now = datetime.datetime(2026, 8, 20, 12)
+    health = table(spark, d, "supplier", "s_suppkey").where("s_suppkey % 7 = 0").select(F.col("s_suppkey").cast("string").alias("key"), F.when(F.col("s_suppkey") % 2 == 0, 0).otherwise(2).alias("failures"), F.when(F.col("s_suppkey") % 3 == 0, 404).otherwise(200).alias("http_status"), F.lit(datetime.datetime(2026, 9, 1)).cast("timestamp_ntz").alias("next_retry_at"))
+    decided = state.rotation(_companies(spark, d), health, F.lit(now).cast("timestamp_ntz"), 5, 6)
+    counts = review.selection_summary(decided)
+    by_source = counts.unpivot(["source"], [c for c in counts.columns if c != "source"], "metric", "value")
+    whole = review.metrics(review.health_summary(_companies(spark, d), health, F.lit(now).cast("timestamp_ntz"))).select(F.lit("all").alias("source"), "metric", "value")
+    return by_source.unionByName(whole)
+
+
+def q52_alert(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best urgent orders as an alert."""
+    return reporting.alert(_scored_orders(spark, d), ["NEW"], 40)[0].select("position", "job_key", "title", "score", "recommendation", "published_at", "url", F.array_join("reasons", ",").alias("reasons"))
+
+
+def q53_alert_counts(spark: SparkSession, d: str) -> DataFrame:
+    return reporting.alert(_scored_orders(spark, d), ["NEW"], 40)[1]
+
+
+def _scored_orders(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders", "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    return o.select(
+        F.col("o_orderkey").alias("_ord"), F.col("o_orderkey").cast("string").alias("job_key"), F.col("o_orderpriority").alias("title"), F.lit(None).cast("string").alias("company"), F.lit("").alias("location"), F.when(F.col("o_orderstatus") == "O", "new").otherwise("removed").alias("status"), F.floor(F.col("o_totalprice") / 5000).cast("int").alias("score"), F.when(F.col("o_orderkey") % 4 == 0, "APPLIED").alias("application_status"), (F.col("o_orderpriority") == "1-URGENT").alias("priority"),
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("published_at"), F.concat(F.lit("GO - "), "o_orderpriority").alias("recommendation"), F.lit(None).cast("string").alias("family"), F.lit("").alias("apply_url"), F.concat(F.lit("https://o.example/"), F.col("o_orderkey")).alias("url"), F.split(F.lit("a b c d e f"), " ").alias("reasons"), F.array().cast("array<string>").alias("warnings"),
+    )
+
+
+def q54_bounded_log(spark: SparkSession, d: str) -> DataFrame:
+    """The last 400 events, as a log keeps them."""
+    return state.last_rows(table(spark, d, "events", "event_id", "ts", "event_type"), [F.col("ts").desc(), F.col("event_id").desc()], 400).select("event_id", "event_type")
+
+
+def q55_partial_update(spark: SparkSession, d: str) -> DataFrame:
+    """Customers with the fields that a later delivery of some of them fills in, and new ones."""
+    c = table(spark, d, "customer", "c_custkey", "c_name", "c_mktsegment")
+    later = c.where("c_custkey % 3 = 0").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.upper("c_name")).alias("c_name")).unionByName(c.where("c_custkey % 50 = 0 and c_custkey > 0").select((-F.col("c_custkey")).alias("c_custkey"), F.lit("new").alias("c_name")))
+    return validation.partial_update(c, later, "c_custkey")
+
+
+def q56_all_failed(spark: SparkSession, d: str) -> DataFrame:
+    """Whether every source that was not idle failed, for all sources and for those that did."""
+    status = q31_source_status(spark, d)
+    bad = status.where("status in ('failed', 'idle')")
+    return summaries.all_failed(status).select(F.lit("all").alias("sources"), "all_failed").unionByName(summaries.all_failed(bad).select(F.lit("bad").alias("sources"), "all_failed"))
+
+
+def q57_skill_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Skills of orders (their lines) against a profile (of parts' brands): the sorted list and the gaps."""
+    lines = table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_returnflag").join(table(spark, d, "part", "p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    need = F.when(F.col("l_returnflag") == "R", "mandatory").when(F.col("l_returnflag") == "A", "mentioned").otherwise("optional")
+    skills = lines.select(F.col("l_orderkey").alias("id"), F.col("p_brand").alias("skill"), need.alias("requirement"))
+    profile = table(spark, d, "part", "p_brand", "p_size").groupBy(F.col("p_brand").alias("skill")).agg(F.max("p_size").alias("m")).select("skill", F.when(F.substring("skill", -1, 1) == "1", "strong").when(F.substring("skill", -1, 1) == "2", "partial").alias("profile_status"))
+    rows = review.skill_gaps(review.skill_list(review.with_skill_status(skills, profile), "id"))
+    return rows.select("id", F.array_join(F.transform("skills", lambda x: F.concat_ws(":", x["requirement"], x["skill"])), ",").alias("skills"), *[F.array_join(c, ",").alias(c) for c in ("mandatory_gaps", "potential_gaps", "optional_gaps")])
+
+
+def q58_enriched(spark: SparkSession, d: str) -> DataFrame:
+    """Orders with what they leave blank taken from their customer, and how many of the best customers' orders have components."""
+    o = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderpriority").select("o_orderkey", F.col("o_custkey").alias("job_key"), F.when(F.col("o_orderkey") % 3 == 0, " ").when(F.col("o_orderkey") % 3 == 1, F.col("o_orderpriority")).alias("company"), F.lit(None).cast("string").alias("segment"))
+    return review.enriched(o, table(spark, d, "customer", "c_custkey", "c_name", "c_mktsegment").withColumnRenamed("c_custkey", "job_key"), {"company": ["c_name"], "segment": ["c_mktsegment"]})
+
+
+def q59_families(spark: SparkSession, d: str) -> DataFrame:
+    return reporting.family_counts(table(spark, d, "documents", "doc_id", "lang"), "lang", "doc_id")
+
+
+def q60_seen_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Seen-tracking as a stream over the observations, run until all that is there has been read; removals come when the watermark allows and are told by q16."""
+    landing, out, marks = new_path(spark, "landing"), new_path(spark, "stream"), new_path(spark, "marks")
+    rows = _observations(spark, d).select(F.col("job_key").cast("string").alias("job_key"), F.col("run").cast("timestamp").alias("at"), "content_hash")
+    rows.write.parquet(landing)
+    stream = spark.readStream.schema(rows.schema).parquet(landing)
+    query = seen.seen_events(stream, 400).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema("job_key string, at timestamp, event string").parquet(out).where("event <> 'REMOVED'").groupBy("job_key").agg(F.count_if(F.col("event") == "NEW").alias("news"), F.count_if(F.col("event") == "UPDATED").alias("updates"), F.count_if(F.col("event") == "SEEN_BEFORE").alias("seen"))
 
 
 def q40_ranked_limit(spark: SparkSession, d: str) -> DataFrame:
-    w = W.Window.partitionBy("source").orderBy(F.col("priority").desc(), F.lower("name"))
-    rows = _companies(spark, d).withColumn("position", F.row_number().over(w))
-    return rows.select("source", "key", "position", F.when(F.col("position") <= 4, "selected").otherwise("overflow").alias("decision"))
+    """The sections of a report over all suppliers: the ten best of the strong ones, fifty of the others."""
+    s = table(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").alias("score"), F.col("s_name").alias("company"), F.col("s_suppkey").alias("_ord"), F.lit("NEW").alias("status"))
+    return reporting.report_sections(s, reporting.job_order(), 8000).select("s_suppkey", "section", "position")
 
 
 def q47_weekly_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -201,15 +302,16 @@ def _stream_folder(spark: SparkSession, d: str) -> str:
 
 
 def q48_seen_batch(spark: SparkSession, d: str) -> DataFrame:
-    """Two batches of events against the state of the first."""
+    """All observations from a day on as one batch against the state of those before it; keys come many times in the batch."""
     rows = _observations(spark, d)
     first = rows.where("run < '2024-01-15'").groupBy("job_key").agg(F.max_by("content_hash", "run").alias("content_hash"), F.min("run").cast("timestamp").alias("first_seen"), F.max("run").cast("timestamp").alias("last_seen")).withColumn("status", F.lit("SEEN_BEFORE"))
-    batch = rows.where("run = '2024-01-20'").select("job_key", "content_hash")
-    _, new, events = state.track_seen(batch, first, F.lit("2024-01-20").cast("timestamp"), 8)
-    return new.select("job_key", "status", F.date_format("last_seen", "yyyy-MM-dd").alias("last_seen")).join(events.select("job_key", "event"), "job_key", "left")
+    batch = rows.where("run >= '2024-01-15'").select("job_key", "content_hash", "run")
+    _, new, events = state.track_seen(batch, first, F.lit("2024-01-31").cast("timestamp"), 20, order="run")
+    told = events.groupBy("job_key").agg(F.count_if(F.col("event") == "UPDATED").alias("updates"), F.count_if(F.col("event") == "NEW").alias("news"), F.count_if(F.col("event") == "REMOVED").alias("removals"))
+    return review.with_defaults(new.select("job_key", "status", F.date_format("last_seen", "yyyy-MM-dd").alias("last_seen"), "content_hash"), told, "job_key", {"updates": 0, "news": 0, "removals": 0})
 
 
-QUERIES = {f.__name__: f for f in (q15_merged_aggregates, q16_seen_history, q17_expired_keys, q18_upsert, q19_weekly_snapshot, q20_last_days, q21_funnel, q22_top12, q23_score_bands, q24_calibration, q25_report_queue, q26_alert_digest, q27_left_join_defaults, q28_semi_anti, q29_rotation, q30_cooldown, q31_source_status, q32_age_bands, q33_violations, q34_json_field, q36_first_of_best, q37_caps, q38_set_operations, q39_quality_summary, q40_ranked_limit, q47_weekly_stream, q48_seen_batch)}
+QUERIES = {f.__name__: f for f in (q16_seen_history, q17_expired_keys, q18_upsert, q19_weekly_snapshot, q20_last_days, q21_funnel, q22_top12, q23_score_bands, q24_calibration, q25_report_queue, q26_alert_digest, q27_left_join_defaults, q28_semi_anti, q29_rotation, q30_cooldown, q31_source_status, q32_age_bands, q33_violations, q34_json_field, q36_first_of_best, q37_caps, q38_set_operations, q39_quality_summary, q50_health_merge, q51_health_and_selection, q52_alert, q53_alert_counts, q54_bounded_log, q55_partial_update, q56_all_failed, q57_skill_gaps, q58_enriched, q59_families, q60_seen_stream, q40_ranked_limit, q47_weekly_stream, q48_seen_batch)}
 
 _OBS = "SELECT user_id AS job_key, ts::date AS run, sha256(string_agg(DISTINCT event_type, ',' ORDER BY event_type)) AS content_hash FROM events GROUP BY 1, 2"
 _RATE = lambda a, b: f"CASE WHEN {b} = 0 THEN 0.0::double ELSE round_even((100.0::double * {a} / {b})::double, 1) END"
@@ -217,7 +319,6 @@ _COMPANIES = "SELECT 'src' || (s_nationkey % 3) AS source, s_suppkey::varchar AS
 _FUNNEL_AGG = "count(*) AS rows, count(*) FILTER (WHERE viewed) AS viewed, count(*) FILTER (WHERE clicked) AS clicked, count(*) FILTER (WHERE signed) AS signed, count(*) FILTER (WHERE bought) AS bought"
 
 SQL = {
-    "q15_merged_aggregates": "SELECT o_custkey, arg_max(o_orderkey, (o_totalprice, -o_orderkey)) AS best_order, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS priorities, bool_or(o_orderstatus = 'F') AS any_final, count(*) AS orders FROM orders GROUP BY 1",
     "q16_seen_history": f"""WITH o AS ({_OBS}), r AS (SELECT DISTINCT run FROM o), w AS (SELECT *, lag(run) OVER k AS p, lag(content_hash) OVER k AS ph, lead(run) OVER k AS nx FROM o WINDOW k AS (PARTITION BY job_key ORDER BY run)),
         q AS (SELECT w.*, (SELECT max(r.run) FROM r WHERE r.run > w.p AND r.run < w.run) AS q, (SELECT min(r.run) FROM r WHERE r.run - {EXPIRE_DAYS} > w.run AND (w.nx IS NULL OR r.run < w.nx)) AS gone FROM w),
         e AS (SELECT job_key, run, CASE WHEN p IS NULL THEN 'NEW' WHEN coalesce(q - {EXPIRE_DAYS} > p, false) OR ph <> content_hash THEN 'UPDATED' ELSE 'SEEN_BEFORE' END AS event FROM q UNION ALL SELECT job_key, gone, 'REMOVED' FROM q WHERE gone IS NOT NULL)
@@ -225,7 +326,8 @@ SQL = {
     "q17_expired_keys": "SELECT user_id, strftime(max(ts), '%Y-%m-%d') AS last_day FROM events GROUP BY 1 HAVING max(ts) < (SELECT max(ts) FROM events) - INTERVAL 2 DAY",
     "q18_upsert": f"""WITH a AS (SELECT o_custkey, count(*) AS orders, max(o_totalprice) AS largest FROM orders WHERE o_orderdate < DATE '{SPLIT}' GROUP BY 1), b AS (SELECT o_custkey, count(*) AS orders, max(o_totalprice) AS largest FROM orders WHERE o_orderdate >= DATE '{SPLIT}' GROUP BY 1)
         SELECT * FROM b UNION ALL SELECT * FROM a WHERE o_custkey NOT IN (SELECT o_custkey FROM b)""",
-    "q19_weekly_snapshot": "SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week_start, event_type, count(*) AS n, count(DISTINCT user_id) AS users, count(*) FILTER (WHERE value >= 50) AS high FROM events GROUP BY 1, 2",
+    "q19_weekly_snapshot": f"""WITH e AS (SELECT *, date_trunc('week', ts)::date AS w FROM events), a AS (SELECT w, event_type, count(*) AS n, count(DISTINCT user_id) AS users, count(*) FILTER (WHERE value >= 50) AS high FROM e WHERE value < 60 GROUP BY 1, 2), b AS (SELECT w, event_type, count(*) AS n, count(DISTINCT user_id) AS users, count(*) FILTER (WHERE value >= 50) AS high FROM e WHERE w >= DATE '{SNAPSHOT}' GROUP BY 1, 2)
+        SELECT strftime(w, '%Y-%m-%d') AS week_start, event_type, n, users, high FROM (SELECT * FROM b UNION ALL SELECT * FROM a WHERE w NOT IN (SELECT w FROM b))""",
     "q20_last_days": "WITH r AS (SELECT *, ts::date AS d, row_number() OVER (PARTITION BY ts::date ORDER BY ts DESC, event_id DESC) AS n FROM events), x AS (SELECT *, dense_rank() OVER (ORDER BY d DESC) AS k FROM r WHERE n = 1) SELECT strftime(d, '%Y-%m-%d') AS day, event_id, event_type, user_id FROM x WHERE k <= 14",
     "q21_funnel": f"""WITH u AS (SELECT user_id, bool_or(event_type = 'view') AS viewed, bool_or(event_type = 'click') AS clicked, bool_or(event_type = 'signup') AS signed, bool_or(event_type = 'purchase') AS bought, max(value) AS v FROM events GROUP BY 1),
         x AS (SELECT *, CASE WHEN v >= 90 THEN 'high' ELSE 'UNRECORDED' END AS value_band, CASE WHEN user_id % 3 = 0 THEN 'a' ELSE 'b' END AS arm FROM u),
@@ -254,11 +356,42 @@ SQL = {
     "q37_caps": """WITH c AS (SELECT o_orderkey, list_filter([CASE WHEN o_orderstatus = 'P' THEN {'cap': 59, 'why': 'pending'} END, CASE WHEN o_orderpriority = '5-LOW' THEN {'cap': 79, 'why': 'low'} END, CASE WHEN o_totalprice < 50000 THEN {'cap': 59, 'why': 'small'} END], lambda x: x IS NOT NULL) AS caps FROM orders), m AS (SELECT *, coalesce(list_min([x.cap for x in caps]), 100)::int AS cap FROM c)
         SELECT o_orderkey, cap, coalesce(array_to_string([x.why for x in caps if x.cap = cap], ','), '') AS why FROM m""",
     "q38_set_operations": "WITH s AS (SELECT s_nationkey AS k FROM supplier), c AS (SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9900) SELECT k, 'union' AS op FROM (SELECT k FROM s UNION SELECT k FROM c) UNION ALL SELECT k, 'except' FROM (SELECT n_nationkey AS k FROM nation EXCEPT SELECT k FROM c) UNION ALL SELECT k, 'intersect' FROM (SELECT k FROM s INTERSECT SELECT k FROM c)",
-    "q39_quality_summary": f"WITH g AS (SELECT count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS failures, count(DISTINCT user_id) AS users, count(*) FILTER (WHERE event_type = 'purchase') AS bought, sum(CASE WHEN event_type = 'purchase' THEN round(value * 100)::bigint END)::bigint AS cents FROM events) SELECT *, {_RATE('failures', 'n')} AS failure_rate, {_RATE('bought', 'n')} AS bought_rate FROM g",
-    "q40_ranked_limit": f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY priority DESC, lower(name))::int AS position FROM ({_COMPANIES})) SELECT source, key, position, CASE WHEN position <= 4 THEN 'selected' ELSE 'overflow' END AS decision FROM r",
+    "q39_quality_summary": f"""WITH k AS (SELECT strftime(ts, '%Y-%m-%d') AS day, (hour(ts) // 12)::int AS half, event_type, count(*) AS k, max(event_id) AS last FROM events GROUP BY 1, 2, 3),
+        r AS (SELECT day, half, sum(k)::bigint AS n, max(last) AS o, coalesce(sum(k) FILTER (WHERE event_type = 'view'), 0)::bigint AS rel, coalesce(sum(k) FILTER (WHERE event_type = 'signup'), 0)::bigint AS new, coalesce(sum(k) FILTER (WHERE event_type = 'click'), 0)::bigint AS cand, coalesce(sum(k) FILTER (WHERE event_type = 'error'), 0)::bigint AS dup FROM k GROUP BY 1, 2),
+        d AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY o DESC) AS rn FROM r WHERE n % 11 <> 0 AND NOT (half = 1 AND n % 5 = 0)), x AS (SELECT *, dense_rank() OVER (ORDER BY day DESC) AS back FROM d WHERE rn = 1), t AS (SELECT * FROM x WHERE back <= 10),
+        p AS (SELECT coalesce(min(day), '2024-01-31') AS a, coalesce(max(day), '2024-01-31') AS b FROM t),
+        c AS (SELECT CASE WHEN k % 4 = 0 THEN 'failed' WHEN k % 4 = 1 THEN 'partial' WHEN k % 9 = 0 THEN 'idle' ELSE 'ok' END AS st FROM k SEMI JOIN t USING (day, half)),
+        v AS (SELECT event_type FROM events, p WHERE event_type IN ('purchase', 'error') AND strftime(ts, '%Y-%m-%d') BETWEEN a AND b),
+        m AS (SELECT count(*) AS c FROM events, p WHERE event_type = 'signup' AND value > 90 AND strftime(ts, '%Y-%m-%d') BETWEEN a AND b),
+        u AS (SELECT count(*) AS runs, coalesce(sum(rel), 0) AS rel, coalesce(sum(new), 0) AS new, coalesce(sum(n), 0) AS n, coalesce(sum(cand), 0) AS cand, coalesce(sum(dup), 0) AS dup, round(avg(n / 10) FILTER (WHERE n % 3 > 0), 1) AS dur, count(*) FILTER (WHERE n % 3 > 0) AS cov FROM t),
+        s AS (SELECT count(*) FILTER (WHERE st <> 'idle') AS n, count(*) FILTER (WHERE st = 'failed') AS f, count(*) FILTER (WHERE st = 'partial') AS h FROM c), f AS (SELECT count(*) AS n, count(*) FILTER (WHERE event_type = 'purchase') AS good, count(*) FILTER (WHERE event_type = 'error') AS bad FROM v)
+        SELECT unnest(['runs', 'relevant_jobs_in_current_run', 'new_jobs', 'jobs_collected', 'security_title_candidates', 'duplicates_removed', 'average_workflow_duration_seconds', 'workflow_duration_coverage_runs', 'duplicate_rate_percent']) AS metric, unnest([runs::double, rel, new, n, cand, dup, dur, cov, {_RATE('dup', 'cand')}]) AS value FROM u
+        UNION ALL SELECT unnest(['source_checks', 'source_failures', 'source_partials', 'source_failure_rate_percent']), unnest([n::double, f, h, {_RATE('f', 'n')}]) FROM s
+        UNION ALL SELECT unnest(['reviewed_jobs', 'suitable_jobs_confirmed', 'false_positives', 'false_positive_rate_percent', 'false_positive_rate_is_reliable']), unnest([n::double, good, bad, {_RATE('bad', 'n')}, (n >= 5)::int]) FROM f UNION ALL SELECT 'missed_suitable_jobs', c::double FROM m""",
+    "q40_ranked_limit": "WITH r AS (SELECT s_suppkey, CASE WHEN s_acctbal >= 8000 THEN 'strong' ELSE 'other' END AS section, row_number() OVER (PARTITION BY s_acctbal >= 8000 ORDER BY s_acctbal DESC, s_name, s_suppkey)::int AS position FROM supplier) SELECT * FROM r WHERE position <= CASE WHEN section = 'strong' THEN 10 ELSE 50 END",
     "q47_weekly_stream": "SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week_start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
-    "q48_seen_batch": f"""WITH o AS ({_OBS}), f AS (SELECT job_key, arg_max(content_hash, run) AS h, max(run) AS l FROM o WHERE run < DATE '2024-01-15' GROUP BY 1), b AS (SELECT job_key, content_hash FROM o WHERE run = DATE '2024-01-20'),
-        n AS (SELECT job_key, CASE WHEN f.job_key IS NULL THEN 'NEW' WHEN h <> content_hash THEN 'UPDATED' ELSE 'SEEN_BEFORE' END AS status, DATE '2024-01-20' AS l FROM b LEFT JOIN f USING (job_key)),
-        r AS (SELECT f.job_key, CASE WHEN f.l < DATE '2024-01-20' - 8 THEN 'REMOVED' ELSE 'SEEN_BEFORE' END AS status, f.l FROM f ANTI JOIN b USING (job_key)), a AS (SELECT * FROM n UNION ALL SELECT * FROM r)
-        SELECT job_key, status, strftime(l, '%Y-%m-%d') AS last_seen, CASE WHEN status <> 'SEEN_BEFORE' THEN status END AS event FROM a""",
+    "q48_seen_batch": f"""WITH o AS ({_OBS}), f AS (SELECT job_key, arg_max(content_hash, run) AS h, max(run) AS l FROM o WHERE run < DATE '2024-01-15' GROUP BY 1), b AS (SELECT o.*, row_number() OVER k AS n, lag(o.content_hash) OVER k AS p, lead(o.run) OVER k IS NULL AS last, f.h, f.job_key IS NOT NULL AS known FROM o LEFT JOIN f USING (job_key) WHERE run >= DATE '2024-01-15' WINDOW k AS (PARTITION BY o.job_key ORDER BY run)),
+        e AS (SELECT *, CASE WHEN n = 1 AND NOT known THEN 'NEW' WHEN content_hash = CASE WHEN n = 1 THEN h ELSE p END THEN 'SEEN_BEFORE' ELSE 'UPDATED' END AS status FROM b), g AS (SELECT job_key, count(*) FILTER (WHERE status = 'UPDATED') AS updates, count(*) FILTER (WHERE status = 'NEW') AS news FROM e GROUP BY 1)
+        SELECT job_key, status, '2024-01-31' AS last_seen, content_hash, updates, news, 0::bigint AS removals FROM e JOIN g USING (job_key) WHERE last
+        UNION ALL SELECT job_key, CASE WHEN l < DATE '2024-01-31' - 20 THEN 'REMOVED' ELSE 'SEEN_BEFORE' END, strftime(l, '%Y-%m-%d'), h, 0, 0, (l < DATE '2024-01-31' - 20)::int FROM f ANTI JOIN b USING (job_key)""",
+    "q50_health_merge": """WITH o AS (SELECT s_suppkey, s_nationkey % 4 AS f FROM supplier WHERE s_suppkey % 3 <> 0), r AS (SELECT s_suppkey, s_acctbal > 2000 AS ok, CASE WHEN s_acctbal < 0 THEN 404 ELSE 200 END AS st FROM supplier WHERE s_suppkey % 5 <> 0),
+        b AS (SELECT coalesce(o.s_suppkey, r.s_suppkey)::varchar AS key, CASE WHEN ok IS NULL THEN coalesce(f, 0) WHEN ok THEN 0 ELSE coalesce(f, 0) + 1 END AS failures, CASE WHEN ok IS NULL THEN 500 ELSE st END AS http_status, ok, st FROM o FULL JOIN r ON o.s_suppkey = r.s_suppkey)
+        SELECT key, failures::int AS failures, http_status::int AS http_status, CASE WHEN ok = false THEN CASE WHEN st = 404 THEN 720 ELSE least(168, 24 * 2 ** least(failures - 1, 8)) END ELSE -1 END::int AS hours FROM b""",
+    "q51_health_and_selection": f"""WITH c AS ({_COMPANIES}), d AS (SELECT *, CASE WHEN key::bigint % 7 = 0 THEN 'c' WHEN priority OR ('0x' || substring(sha256(key), 1, 8))::bigint % 5 = 3 THEN 's' ELSE 'r' END AS decision FROM c),
+        r AS (SELECT *, row_number() OVER (PARTITION BY source, decision ORDER BY priority DESC, lower(name), lower(key)) AS n FROM d), x AS (SELECT source, priority, CASE WHEN decision = 's' AND n > 6 THEN 'r' ELSE decision END AS decision FROM r),
+        g AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE priority) AS p, count(*) FILTER (WHERE decision = 's') AS s, count(*) FILTER (WHERE decision = 'r') AS r, count(*) FILTER (WHERE decision = 'c') AS c FROM x GROUP BY 1)
+        SELECT source, unnest(['configured_enabled', 'priority_configured', 'selected', 'skipped_by_rotation', 'skipped_by_cooldown']) AS metric, unnest([n, p, s, r, c]) AS value FROM g
+        UNION ALL SELECT 'all', unnest(['configured', 'healthy', 'cooling_down', 'invalid_identifiers']), unnest([count(*), count(*) FILTER (WHERE s_suppkey % 14 = 0), count(*) FILTER (WHERE s_suppkey % 7 = 0), count(*) FILTER (WHERE s_suppkey % 21 = 0 AND s_suppkey % 2 = 1)]) FROM supplier""",
+    "q52_alert": """WITH c AS (SELECT *, floor(o_totalprice / 5000)::int AS score FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 4 <> 0 AND floor(o_totalprice / 5000) >= 40), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, o_orderpriority = '1-URGENT' DESC, o_orderdate DESC, o_orderkey)::int AS position FROM c)
+        SELECT position, o_orderkey::varchar AS job_key, o_orderpriority AS title, score, 'GO' AS recommendation, strftime(o_orderdate, '%Y-%m-%d') AS published_at, 'https://o.example/' || o_orderkey AS url, 'a,b,c,d' AS reasons FROM r WHERE position <= 10""",
+    "q53_alert_counts": """WITH c AS (SELECT *, floor(o_totalprice / 5000)::int AS score FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 4 <> 0 AND floor(o_totalprice / 5000) >= 40), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, o_orderpriority = '1-URGENT' DESC, o_orderdate DESC, o_orderkey) AS position FROM c)
+        SELECT count(*) AS candidate_count, least(count(*), 10) AS included_count, greatest(count(*) - 10, 0) AS truncated_count, substring(sha256(coalesce(string_agg(o_orderkey::varchar, chr(10) ORDER BY o_orderkey::varchar) FILTER (WHERE position <= 10), '')), 1, 10) AS digest FROM r""",
+    "q54_bounded_log": "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 400",
+    "q55_partial_update": """SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN upper(c_name) ELSE c_name END AS c_name, c_mktsegment FROM customer UNION ALL SELECT -c_custkey, 'new', NULL FROM customer WHERE c_custkey % 50 = 0 AND c_custkey > 0""",
+    "q57_skill_gaps": """WITH s AS (SELECT DISTINCT l_orderkey AS id, p_brand AS skill, CASE l_returnflag WHEN 'R' THEN 'mandatory' WHEN 'A' THEN 'mentioned' ELSE 'optional' END AS q, CASE right(p_brand, 1) WHEN '1' THEN 'strong' WHEN '2' THEN 'partial' ELSE 'missing' END AS st FROM lineitem JOIN part ON l_partkey = p_partkey)
+        SELECT id, string_agg(q || ':' || skill, ',' ORDER BY q, skill) AS skills, coalesce(string_agg(skill, ',' ORDER BY skill) FILTER (WHERE q = 'mandatory' AND st <> 'strong'), '') AS mandatory_gaps, coalesce(string_agg(skill, ',' ORDER BY skill) FILTER (WHERE q = 'mentioned' AND st = 'missing'), '') AS potential_gaps, coalesce(string_agg(skill, ',' ORDER BY skill) FILTER (WHERE q = 'optional' AND st <> 'strong'), '') AS optional_gaps FROM s GROUP BY 1""",
+    "q58_enriched": "SELECT o_orderkey, o_custkey AS job_key, coalesce(CASE WHEN o_orderkey % 3 = 1 THEN nullif(trim(o_orderpriority, ' '), '') END, nullif(trim(c_name, ' '), '')) AS company, nullif(trim(c_mktsegment, ' '), '') AS segment FROM orders LEFT JOIN customer ON c_custkey = o_custkey",
+    "q59_families": "WITH c AS (SELECT coalesce(nullif(trim(lang, ' '), ''), 'Other') AS family, count(*) AS rows, min(doc_id) AS f FROM documents GROUP BY 1) SELECT family, rows, row_number() OVER (ORDER BY rows DESC, f)::int AS rank FROM c",
+    "q60_seen_stream": f"""WITH o AS ({_OBS}), w AS (SELECT *, lag(content_hash) OVER (PARTITION BY job_key ORDER BY run) AS p FROM o) SELECT job_key::varchar AS job_key, count(*) FILTER (WHERE p IS NULL) AS news, count(*) FILTER (WHERE p <> content_hash) AS updates, count(*) FILTER (WHERE p = content_hash) AS seen FROM w GROUP BY 1""",
 }
+SQL["q56_all_failed"] = f"WITH s AS ({SQL['q31_source_status']}), t AS (SELECT 'all' AS sources, status FROM s UNION ALL SELECT 'bad', status FROM s WHERE status IN ('failed', 'idle')), g AS (SELECT sources, count(*) FILTER (WHERE status <> 'idle') > 0 AND bool_and(status IN ('failed', 'idle')) AS f FROM t GROUP BY 1) SELECT x.sources, coalesce(f, false) AS all_failed FROM (VALUES ('all'), ('bad')) x(sources) LEFT JOIN g USING (sources)"

@@ -153,11 +153,23 @@ def q13_exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return dedup.first_per_key(rows, ["k"], [F.col("slug")]).select("slug", F.sha2("k", 256).alias("fingerprint"))
 
 
+def _remotive_postings(spark: SparkSession, d: str) -> DataFrame:
+    """Canonical postings of every row of remotive, dated by its delivery."""
+    rows = table(spark, d, "remotive", "id", "title", "company_name", "candidate_required_location", "description", "tags", "fetched_at")
+    raw = rows.select(F.lit("remotive").alias("source"), F.col("id").cast("string").alias("source_job_id"), F.col("company_name").alias("company"), "title", F.col("candidate_required_location").alias("location"), F.lit(True).alias("remote"), F.lit("").alias("url"), F.date_format("fetched_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published_at"), "description", "tags", F.col("id").alias("_ord"))
+    return postings.normalise_postings(raw, exact_html=False)
+
+
 def q14_anchor_blocks(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "remotive", "id", "company_name", "description")
-    rows = rows.select("id", text.normalize_company(F.col("company_name")).alias("c"), text.normalize_plain(text.markup_to_text(F.col("description"))).alias("b")).where("c <> '' and length(b) >= 500")
-    anchor = F.concat_ws("|", "c", F.floor(F.length("b") / 200), F.substring(F.sha2(F.substring("b", 1, 300), 256), 1, 16))
-    return rows.groupBy(anchor.alias("anchor")).agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
+    """The blocks in which descriptions are compared."""
+    keyed = dedup.with_keys(_remotive_postings(spark, d)).where("_anchor is not null")
+    return keyed.groupBy(F.col("_anchor").alias("anchor")).agg(F.count("*").alias("n"), F.countDistinct("_ord").alias("ids"))
+
+
+def q15_merged_postings(spark: SparkSession, d: str) -> DataFrame:
+    """One posting for each company, title and place of remotive, merged from all its rows."""
+    merged = dedup.merge_groups(_remotive_postings(spark, d), "job_key", "_ord", [])
+    return merged.select("job_key", F.col("_ord").alias("first"), F.col("source_job_id").alias("best"), F.md5("description").alias("description_md5"), F.array_join("tags", ",").alias("tags"), F.array_join("sources", ",").alias("sources"), F.element_at("source_job_ids", "remotive").alias("last_id"), "remote", "merged")
 
 
 def q35_year_ranges(spark: SparkSession, d: str) -> DataFrame:
@@ -171,8 +183,8 @@ def _arbeitnow(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q41_epoch_projection(spark: SparkSession, d: str) -> DataFrame:
-    """The projection over the rows its SQL is for, those of plain epoch seconds; q49 takes all."""
-    return providers.arbeitnow_rows(_arbeitnow(spark, d).where(F.col("created_at").rlike(r"^\d{10}$"))).select(F.col("source_job_id").alias("slug"), "published_at", "employment_type", "location")
+    """What becomes of every row's time: epoch numbers of any writing to ISO texts, texts kept, nulls empty."""
+    return providers.arbeitnow_rows(_arbeitnow(spark, d)).select(F.col("source_job_id").alias("slug"), "published_at")
 
 
 def q49_arbeitnow_projection(spark: SparkSession, d: str) -> DataFrame:
@@ -180,19 +192,32 @@ def q49_arbeitnow_projection(spark: SparkSession, d: str) -> DataFrame:
     return providers.arbeitnow_rows(_arbeitnow(spark, d)).select(F.col("source_job_id").alias("slug"), "company", "title", "remote", "url", "published_at", F.md5("description").alias("description_md5"), "salary", "employment_type", "location", F.array_join("tags", ",").alias("tags"))
 
 
+def _lever(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lever", "site", "id", "text", "categories", "descriptionPlain", "lists", "additionalPlain", "hostedUrl", "applyUrl", "workplaceType", "createdAt").withColumnRenamed("site", "employer")
+
+
 def q42_nested_projection(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lever", "site", "id", "text", "categories", "descriptionPlain", "lists", "additionalPlain")
-    empty = F.array().cast("array<struct<text:string,content:string>>")
-    blocks = F.array_join(F.transform(F.coalesce("lists", empty), lambda x: F.concat_ws("\n", x["text"], x["content"])), "\n\n")
-    parts = [F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit("")) for c in (F.col("descriptionPlain"), blocks, F.col("additionalPlain"))]
-    places = F.array_distinct(F.filter(F.coalesce("categories.allLocations", F.array().cast("array<string>")), lambda x: F.trim(x) != ""))
-    return rows.select("site", "id", F.md5(F.concat_ws("\n\n", *parts)).alias("text_md5"), F.array_join(places, " | ").alias("places"), F.concat_ws(",", "categories.team", "categories.department").alias("tags"))
+    """Every row of lever as a raw posting."""
+    return providers.lever_rows(_lever(spark, d)).select(F.col("company").alias("site"), F.col("source_job_id").alias("id"), "title", "location", "remote", "hybrid", "url", "apply_url", F.md5("description").alias("text_md5"), "employment_type", F.array_join("tags", ",").alias("tags"))
 
 
 def q43_union_sources(spark: SparkSession, d: str) -> DataFrame:
-    parts = [table(spark, d, n).select(F.lit(n).alias("source"), F.col(k).cast("string").alias("k"), F.col(t).alias("title")) for n, k, t in (("remotive", "id", "title"), ("arbeitnow", "slug", "title"), ("lever", "id", "text"))]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return rows.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("k").alias("postings"), F.count_if(text.truthy(F.col("title")).isNull()).alias("untitled"))
+    """All feeds as raw postings in their order: counts of each source, and whether the numbers of its rows are unique and in its range."""
+    r = table(spark, d, "remotive", "id", "url", "title", "company_name", "category", "tags", "job_type", "publication_date", "candidate_required_location", "salary", "description")
+    rows = providers.union_sources([providers.remotive_rows(r), providers.arbeitnow_rows(_arbeitnow(spark, d)), providers.lever_rows(_lever(spark, d))])
+    return rows.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("source_job_id").alias("postings"), F.count_if(text.truthy(F.col("title")).isNull()).alias("untitled"), F.countDistinct("_ord").alias("numbers"), F.max(F.shiftright("_ord", 52)).alias("place"))
+
+
+def q62_remotive_projection(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of remotive as a raw posting."""
+    r = table(spark, d, "remotive", "id", "url", "title", "company_name", "category", "tags", "job_type", "publication_date", "candidate_required_location", "salary", "description")
+    return providers.remotive_rows(r).select("source_job_id", "company", "title", "location", "url", "published_at", F.md5("description").alias("description_md5"), "salary", "employment_type", F.array_join("tags", ",").alias("tags"))
+
+
+def q63_short_aliases(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold an alias: short ones as words of their own, others anywhere."""
+    t = table(spark, d, "documents", "doc_id", "text").withColumn("t", text.normalize_plain(F.col("text")))
+    return t.select("doc_id", *[text.has_alias(F.col("t"), a).alias(n) for n, a in (("as_word", "it"), ("as_word_too", "api"), ("anywhere", "team"))])
 
 
 def q44_html_parser(spark: SparkSession, d: str) -> DataFrame:
@@ -215,7 +240,7 @@ def q46_exact_key_groups(spark: SparkSession, d: str) -> DataFrame:
     return dedup.exact_links(rows, "id", "k").groupBy("b").agg(F.min("a").alias("first"), F.count("*").alias("links")).withColumnRenamed("b", "id")
 
 
-QUERIES = {f.__name__: f for f in (q01_top_report, q02_normalized_text, q03_visible_text, q04_canonical_urls, q05_posting_keys, q06_sentences, q07_german_markers, q08_rejection_reasons, q09_title_ladder, q10_best_family, q11_strongest_mentions, q12_carried_sections, q13_exact_duplicates, q14_anchor_blocks, q35_year_ranges, q41_epoch_projection, q42_nested_projection, q43_union_sources, q44_html_parser, q45_deduplicated, q46_exact_key_groups, q49_arbeitnow_projection)}
+QUERIES = {f.__name__: f for f in (q01_top_report, q02_normalized_text, q03_visible_text, q04_canonical_urls, q05_posting_keys, q06_sentences, q07_german_markers, q08_rejection_reasons, q09_title_ladder, q10_best_family, q11_strongest_mentions, q12_carried_sections, q13_exact_duplicates, q14_anchor_blocks, q35_year_ranges, q41_epoch_projection, q42_nested_projection, q43_union_sources, q15_merged_postings, q62_remotive_projection, q63_short_aliases, q44_html_parser, q45_deduplicated, q46_exact_key_groups, q49_arbeitnow_projection)}
 
 _ROWS = f"SELECT doc_id, unnest(range(len(p))) AS pos, unnest(p) AS sentence FROM (SELECT doc_id, {_parts('text')} AS p FROM documents)"
 _HEAD = rf"regexp_replace({_bare('sentence')}, '^[ :\-]+|[ :\-]+$', '', 'g')"
@@ -223,6 +248,14 @@ _FLAG = f"CASE WHEN length(h) <= 80 AND regexp_matches(h, '^(?:{'|'.join(ON)})(?
 _CARRIED = f"SELECT doc_id, pos, sentence, coalesce(last_value(f IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING), false) AS optional FROM (SELECT *, {_FLAG} AS f FROM (SELECT *, {_HEAD} AS h FROM ({_ROWS})))"
 _SCORES = ", ".join(f"{{'score': least(12, 6 * {_hits('t', t)}) + least(4, {_hits('b', b)}), 'ord': {-k}, 'id': '{n}'}}" for k, (n, t, b) in enumerate(FAMILIES))
 
+_CANON = f"""SELECT id, fetched_at, tags, {_plain("coalesce(nullif(trim(company_name, ' '), ''), 'Unknown company')")} AS c, {_plain("coalesce(nullif(trim(title, ' '), ''), 'Untitled role')")} AS t, {_plain("coalesce(nullif(trim(candidate_required_location, ' '), ''), '')")} AS p0, {_plain("coalesce(nullif(trim(description, ' '), ''), '')")} AS d FROM remotive"""
+_CANON = f"SELECT *, CASE WHEN p0 <> '' THEN p0 ELSE 'Remote' END AS p FROM ({_CANON})"
+# seconds above ten digits are milliseconds; the number is read in any writing
+_EPOCH = r"""(WITH a AS (SELECT *, trim(coalesce(created_at, ''), ' ') AS v FROM arbeitnow), b AS (SELECT *, CASE WHEN regexp_full_match(v, '[+-]?[0-9]+(\.[0-9]*)?([eE][+-]?[0-9]{1,2})?') THEN try_cast(v AS DECIMAL(26, 9)) END AS n FROM a),
+        c AS (SELECT *, CASE WHEN n > 10000000000 THEN n / 1000 ELSE n END AS s FROM b), e AS (SELECT *, CASE WHEN s BETWEEN -62135596800 AND 253402300799 THEN round(s * 1000000)::bigint END AS m FROM c)
+        SELECT *, CASE WHEN m IS NULL THEN v WHEN m % 1000000 = 0 THEN strftime(make_timestamp(m), '%Y-%m-%dT%H:%M:%SZ') ELSE strftime(make_timestamp(m), '%Y-%m-%dT%H:%M:%S.%fZ') END AS published_at FROM e)"""
+_OR = lambda *x: "coalesce(" + ", ".join(f"nullif(trim({c}, ' '), '')" for c in x) + ", '')"
+
 SQL = {
     "q01_top_report": f"""WITH r AS (SELECT slug, title, company_name, fetched_at, row_number() OVER (PARTITION BY slug ORDER BY fetched_at DESC NULLS LAST, title NULLS FIRST, company_name NULLS FIRST) AS n FROM arbeitnow WHERE {_has(_norm('title'), ACCEPT)} AND NOT {_has(_norm('title'), VETO)}),
         o AS (SELECT row_number() OVER (ORDER BY company_name IS NOT NULL DESC, fetched_at DESC NULLS LAST, slug) AS report_number, slug, title FROM r WHERE n = 1)
@@ -248,16 +281,23 @@ SQL = {
         SELECT doc_id, skill, ['mentioned', 'optional', 'mandatory'][arg_max(st, (st, -pos))] AS requirement, md5(arg_max(evidence, (st, -pos))) AS evidence_md5, count(*) AS mentions, bool_and(is_o) AS only_optional FROM h GROUP BY 1, 2""",
     "q12_carried_sections": f"SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE optional) AS in_optional FROM ({_CARRIED}) GROUP BY 1",
     "q13_exact_duplicates": f"SELECT min(slug) AS slug, sha256(k) AS fingerprint FROM (SELECT slug, {_fingerprint('company_name', 'title', 'location')} AS k FROM arbeitnow) GROUP BY k",
-    "q14_anchor_blocks": f"WITH t AS (SELECT id, {_company('company_name')} AS c, {_bare(_plain('description'))} AS b FROM remotive) SELECT concat_ws('|', c, length(b) // 200, substring(sha256(substring(b, 1, 300)), 1, 16)) AS anchor, count(*) AS n, count(DISTINCT id) AS ids FROM t WHERE c <> '' AND length(b) >= 500 GROUP BY 1",
+    "q14_anchor_blocks": f"SELECT concat_ws('|', c, length(b) // 200, substring(sha256(substring(b, 1, 300)), 1, 16)) AS anchor, count(*) AS n, count(DISTINCT id) AS ids FROM (SELECT id, {_company('c')} AS c, {_bare('d')} AS b FROM ({_CANON})) WHERE c <> '' AND length(b) >= 500 GROUP BY 1",
     "q35_year_ranges": rf"""WITH m AS (SELECT doc_id, pos, unnest(regexp_extract_all(sentence, '(?i)\b(\d{{1,2}})(?:\s*[-–—]\s*(\d{{1,2}}))?\s*\+?\s*(?:years?|yrs?|jahre?n?)\b')) AS y FROM ({_ROWS})),
         v AS (SELECT doc_id, pos, regexp_extract(y, '^(\d{{1,2}})', 1)::int AS low, try_cast(nullif(regexp_extract(y, '^\d{{1,2}}\s*[-–—]\s*(\d{{1,2}})', 1), '') AS int) AS high FROM m)
         SELECT doc_id, count(*) AS n, max(low) AS most, arg_max(pos, (low, -pos))::int AS at FROM v WHERE low <= 20 AND coalesce(high, 0) <= 30 GROUP BY 1""",
-    "q41_epoch_projection": r"SELECT slug, strftime(make_timestamp(created_at::bigint * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS published_at, coalesce(array_to_string(job_types, ', '), '') AS employment_type, coalesce(trim(location, ' '), '') AS location FROM arbeitnow WHERE regexp_full_match(created_at, '\d{10}')",
-    "q42_nested_projection": """SELECT site, id, md5(concat_ws(chr(10) || chr(10), nullif(trim(coalesce(descriptionPlain, ''), ' '), ''), nullif(trim(array_to_string([concat_ws(chr(10), x.text, x.content) for x in coalesce(lists, [])], chr(10) || chr(10)), ' '), ''), nullif(trim(coalesce(additionalPlain, ''), ' '), ''))) AS text_md5,
-        array_to_string([x for x, i in [] if false], '') || coalesce(array_to_string(list_filter(categories.allLocations, lambda x, i: trim(x, ' ') <> '' AND list_position(categories.allLocations, x) = i), ' | '), '') AS places, concat_ws(',', categories.team, categories.department) AS tags FROM lever""",
-    "q43_union_sources": "WITH r AS (SELECT 'remotive' AS source, id::varchar AS k, title FROM remotive UNION ALL SELECT 'arbeitnow', slug, title FROM arbeitnow UNION ALL SELECT 'lever', id, text FROM lever) SELECT source, count(*) AS n, count(DISTINCT k) AS postings, count(*) FILTER (WHERE coalesce(trim(title, ' '), '') = '') AS untitled FROM r GROUP BY 1",
+    "q41_epoch_projection": f"SELECT {_OR('slug')} AS slug, published_at FROM {_EPOCH}",
+    "q42_nested_projection": f"""SELECT site, {_OR('id')} AS id, {_OR('text')} AS title, {_OR("array_to_string(categories.allLocations, ' | ')", 'categories.location')} AS location, lower({_OR('workplaceType')}) = 'remote' AS remote, lower({_OR('workplaceType')}) = 'hybrid' AS hybrid, {_OR('hostedUrl')} AS url, {_OR('applyUrl', 'hostedUrl')} AS apply_url,
+        md5(concat_ws(chr(10) || chr(10), nullif(trim({_OR('descriptionPlain')}, ' '), ''), nullif(trim(array_to_string([concat_ws(chr(10), x.text, x.content) for x in coalesce(lists, [])], chr(10) || chr(10)), ' '), ''), nullif({_OR('additionalPlain')}, ''))) AS text_md5, {_OR('categories.commitment')} AS employment_type,
+        coalesce(array_to_string(list_filter([categories.team, categories.department], lambda x: trim(x, ' ') <> ''), ','), '') AS tags FROM lever""",
+    "q43_union_sources": f"""WITH r AS (SELECT 'remotive' AS source, 0 AS place, {_OR('id::varchar')} AS k, title FROM remotive UNION ALL SELECT 'arbeitnow', 1, {_OR('slug')}, title FROM arbeitnow UNION ALL SELECT 'lever', 2, {_OR('id')}, text FROM lever)
+        SELECT source, count(*) AS n, count(DISTINCT k) AS postings, count(*) FILTER (WHERE coalesce(trim(title, ' '), '') = '') AS untitled, count(*) AS numbers, max(place)::bigint AS place FROM r GROUP BY 1""",
     "q44_html_parser": f"SELECT id, length(t)::int AS chars, md5(t) AS text_md5 FROM (SELECT id, {_plain('description')} AS t FROM remotive)",
+    "q15_merged_postings": f"""WITH r AS (SELECT id, strftime(fetched_at, '%Y-%m-%dT%H:%M:%SZ') AS w, list_filter(coalesce(tags, []), lambda x: x <> '') AS tags, d, substring(sha256({_fingerprint('c', 't', 'p')}), 1, 20) AS job_key FROM ({_CANON})),
+        g AS (SELECT job_key, min(id) AS first, arg_max(id, (w, -id))::varchar AS best, md5(arg_max(d, (length(d), w, -id))) AS description_md5, max(id)::varchar AS last_id, count(*) AS merged FROM r GROUP BY 1), e AS (SELECT job_key, string_agg(DISTINCT x, ',' ORDER BY x) AS tags FROM (SELECT job_key, unnest(tags) AS x FROM r) GROUP BY 1)
+        SELECT job_key, first, best, description_md5, coalesce(tags, '') AS tags, 'remotive' AS sources, last_id, true AS remote, merged FROM g LEFT JOIN e USING (job_key)""",
+    "q49_arbeitnow_projection": f"""SELECT {_OR('slug')} AS slug, {_OR('company_name')} AS company, {_OR('title')} AS title, coalesce(remote, false) AS remote, {_OR('url')} AS url, published_at, md5({_OR('description')}) AS description_md5, {_OR('salary')} AS salary, coalesce(array_to_string(job_types, ', '), '') AS employment_type, {_OR('location')} AS location, array_to_string(tags, ',') AS tags FROM {_EPOCH}""",
+    "q62_remotive_projection": f"""SELECT {_OR('id::varchar')} AS source_job_id, {_OR('company_name')} AS company, {_OR('title')} AS title, coalesce(nullif(trim(candidate_required_location, ' '), ''), 'Remote') AS location, {_OR('url')} AS url, {_OR('publication_date')} AS published_at, md5({_OR('description')}) AS description_md5, {_OR('salary')} AS salary, {_OR('job_type')} AS employment_type, array_to_string(tags, ',') AS tags FROM remotive""",
+    "q63_short_aliases": f"""WITH t AS (SELECT doc_id, {_bare('text')} AS t FROM documents) SELECT doc_id, regexp_matches(t, '(?:^|[^a-z0-9äöüß_])it(?:$|[^a-z0-9äöüß_])') AS as_word, regexp_matches(t, '(?:^|[^a-z0-9äöüß_])api(?:$|[^a-z0-9äöüß_])') AS as_word_too, contains(t, 'team') AS anywhere FROM t""",
     "q46_exact_key_groups": f"""WITH k AS (SELECT id, unnest(['t|' || {_company('company_name')} || '|' || {_title('title')}, 'd|' || md5(coalesce(description, ''))]) AS k FROM remotive), f AS (SELECT k, min(id) AS a FROM k GROUP BY 1), l AS (SELECT DISTINCT a, id FROM k JOIN f USING (k) WHERE a <> id)
         SELECT id, min(a) AS first, count(*) AS links FROM l GROUP BY 1""",
 }
-SQL["q42_nested_projection"] = SQL["q42_nested_projection"].replace("array_to_string([x for x, i in [] if false], '') || ", "")

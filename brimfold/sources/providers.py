@@ -102,7 +102,11 @@ def arbeitnow_rows(j: DataFrame) -> DataFrame:
 
 
 def remotive(docs: DataFrame) -> DataFrame:
-    j = docs.where("doc is not null").select(F.explode("doc.jobs").alias("j")).select("j.*")
+    return remotive_rows(docs.where("doc is not null").select(F.explode("doc.jobs").alias("j")).select("j.*"))
+
+
+def remotive_rows(j: DataFrame) -> DataFrame:
+    """Postings of remotive that already are rows."""
     return _finish(j, "remotive", source_job_id=_or(F.col("id")), company=_or(F.col("company_name")), title=_or(F.col("title")), location=F.coalesce(F.nullif(F.trim("candidate_required_location"), F.lit("")), F.lit("Remote")), remote=F.lit(True), url=_or(F.col("url")), published_at=_or(F.col("publication_date")), description=_or(F.col("description")), salary=_or(F.col("salary")), employment_type=_or(F.col("job_type")), tags=F.col("tags"))
 
 
@@ -122,7 +126,13 @@ def ashby(docs: DataFrame) -> DataFrame:
 
 
 def lever(docs: DataFrame) -> DataFrame:
-    j = _keyed(docs, "sites", None).select("employer", "j.*")
+    return lever_rows(_keyed(docs, "sites", None).select("employer", "j.*"))
+
+
+def lever_rows(j: DataFrame) -> DataFrame:
+    """Postings of lever that already are rows, with their ``employer``; columns it does not deliver may be missing."""
+    spare = {"description": "string", "additional": "string", "salaryDescriptionPlain": "string", "salaryRange": "struct<currency:string,min:double,max:double,interval:string>"}
+    j = j.withColumns({c: F.lit(None).cast(t) for c, t in spare.items() if c not in j.columns})
     blocks = F.array_join(F.transform(F.coalesce("lists", F.array().cast("array<struct<text:string,content:string>>")), lambda x: F.concat_ws("\n", x["text"], x["content"])), "\n\n")
     pay = F.when(F.col("salaryRange").isNotNull(), F.concat_ws(" ", F.col("salaryRange.currency"), F.concat_ws("-", F.col("salaryRange.min").cast("bigint"), F.col("salaryRange.max").cast("bigint")), F.col("salaryRange.interval")))
     kind = F.lower(_or(F.col("workplaceType")))
