@@ -1,4 +1,4 @@
-"""Running totals and ranks over groups of any size: totals of cells first, then within cells, so no group is one task."""
+"""Running totals over groups of any size: totals of cells first, then within cells, so no group is one task. A rank is the running total of ones."""
 
 from __future__ import annotations
 
@@ -17,15 +17,3 @@ def running_total(df: DataFrame, group: list[str], cell: Column, order: list[str
     totals = totals.select(*group, "_cell", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_base"))
     inside = W.Window.partitionBy(*group, "_cell").orderBy(*order).rowsBetween(W.Window.unboundedPreceding, -1)
     return df.withColumn("_in", F.coalesce(F.sum("_v").over(inside), F.lit(0))).join(totals, [*group, "_cell"]).withColumn(name, F.col("_base") + F.col("_in")).drop("_cell", "_v", "_in", "_base")
-
-
-def bounds(df: DataFrame, order: str) -> tuple[int | None, int | None]:
-    """The least and the greatest ``order``."""
-    return tuple(df.agg(F.min(order), F.max(order)).first())
-
-
-def ranked(df: DataFrame, group: list[str], order: str, name: str, span: tuple[int | None, int | None] | None = None) -> DataFrame:
-    """Adds ``name``: how many rows of the group come before this one by the unique number ``order``; ``span`` saves looking for its bounds."""
-    low, high = span or bounds(df, order)
-    width = max(1, ((high or 0) - (low or 0)) // CELLS + 1)
-    return running_total(df, group, F.floor((F.col(order) - F.lit(low or 0)) / width), [order], F.lit(1), name)

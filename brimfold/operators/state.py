@@ -6,6 +6,9 @@ part. A removed key that comes back is UPDATED, even with the same content.
 
 from __future__ import annotations
 
+import datetime
+from bisect import bisect_left, bisect_right
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -41,18 +44,25 @@ def seen_history(observations: DataFrame, runs: DataFrame, expire_days: int) ->
     """(job_key, run, event) of a whole log at once: NEW, UPDATED, SEEN_BEFORE and REMOVED.
 
     ``observations``: job_key, run (date), content_hash, one row per key and run. ``runs``: run, allow_expiry; at most MAX_RUNS of
-    them, as a literal array in which each observation finds the last run before it and the first run that expires it.
+    them, and of observed runs. What a run's neighbours say depends on the run alone: the last one before it, and the first one late
+    enough to expire what it saw. Both are told once a run and joined to the observations.
     """
-    allowed = F.array(*[F.lit(r) for r in sorted(x[0] for x in bounded_rows(runs.where("allow_expiry").select("run").distinct(), MAX_RUNS, "list of runs"))]).cast("array<date>")
+    allowed = sorted(x[0] for x in bounded_rows(runs.where("allow_expiry").select("run").distinct(), MAX_RUNS, "list of runs"))
+    seen = sorted(x[0] for x in bounded_rows(observations.select("run").where("run is not null").distinct(), MAX_RUNS, "list of observed runs"))
+    day = datetime.timedelta(days=expire_days)
+
+    def neighbours(run: datetime.date) -> tuple:
+        before, after = bisect_left(allowed, run) - 1, bisect_right(allowed, run + day)
+        return run, allowed[before] if before >= 0 else None, allowed[after] if after < len(allowed) else None
+
+    told = observations.sparkSession.createDataFrame([neighbours(r) for r in seen], "run date, _prior date, _expiring date")
     w = W.Window.partitionBy("job_key").orderBy("run")
-    rows = observations.withColumns({"_p": F.lag("run").over(w), "_ph": F.lag("content_hash").over(w), "_next": F.lead("run").over(w), "_runs": allowed})
-    between = F.filter("_runs", lambda x: (x > F.col("_p")) & (x < F.col("run")))
-    expired = F.coalesce(F.date_sub(F.array_max(between), expire_days) > F.col("_p"), F.lit(False))
+    rows = observations.withColumns({"_p": F.lag("run").over(w), "_ph": F.lag("content_hash").over(w), "_next": F.lead("run").over(w)}).join(F.broadcast(told), "run")
+    # the last run before this one is the one most likely to have expired what was seen before
+    expired = F.coalesce(F.date_sub("_prior", expire_days) > F.col("_p"), F.lit(False))
     status = F.when(F.col("_p").isNull(), "NEW").when(expired | ~F.col("_ph").eqNullSafe(F.col("content_hash")), "UPDATED").otherwise("SEEN_BEFORE")
-    after = F.array_min(F.filter("_runs", lambda x: (F.date_sub(x, expire_days) > F.col("run")) & (F.col("_next").isNull() | (x < F.col("_next")))))
-    seen = rows.select("job_key", "run", status.alias("event"))
-    removed = rows.select("job_key", after.alias("run"), F.lit("REMOVED").alias("event")).where("run is not null")
-    return seen.unionByName(removed)
+    removed = rows.where(F.col("_next").isNull() | (F.col("_expiring") < F.col("_next"))).select("job_key", F.col("_expiring").alias("run"), F.lit("REMOVED").alias("event")).where("run is not null")
+    return rows.select("job_key", "run", status.alias("event")).unionByName(removed)
 
 
 def upsert(previous: DataFrame, current: DataFrame, key: str) -> DataFrame:

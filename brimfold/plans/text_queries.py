@@ -234,13 +234,18 @@ def q45_deduplicated(spark: SparkSession, d: str) -> DataFrame:
     return done.select("job_key", "source_job_id", "company_normalized", "title_normalized", "published_at", "content_hash", F.array_join("tags", ",").alias("tags"), "merged")
 
 
+def q64_exact_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of postings linked by exact keys alone: source id, fingerprint, hash of a long description."""
+    return dedup.deduplicate(_remotive_postings(spark, d), "_ord", [], near=False).select(F.col("_ord").alias("first"), "merged")
+
+
 def q46_exact_key_groups(spark: SparkSession, d: str) -> DataFrame:
     """Postings linked with the first that has their company and title, or their description."""
     rows = table(spark, d, "remotive", "id", "company_name", "title", "description").select("id", F.array(F.concat(F.lit("t|"), text.normalize_company(F.col("company_name")), F.lit("|"), text.normalize_title(F.col("title"))), F.concat(F.lit("d|"), F.md5(F.coalesce("description", F.lit(""))))).alias("k"))
     return dedup.exact_links(rows, "id", "k").groupBy("b").agg(F.min("a").alias("first"), F.count("*").alias("links")).withColumnRenamed("b", "id")
 
 
-QUERIES = {f.__name__: f for f in (q01_top_report, q02_normalized_text, q03_visible_text, q04_canonical_urls, q05_posting_keys, q06_sentences, q07_german_markers, q08_rejection_reasons, q09_title_ladder, q10_best_family, q11_strongest_mentions, q12_carried_sections, q13_exact_duplicates, q14_anchor_blocks, q35_year_ranges, q41_epoch_projection, q42_nested_projection, q43_union_sources, q15_merged_postings, q62_remotive_projection, q63_short_aliases, q44_html_parser, q45_deduplicated, q46_exact_key_groups, q49_arbeitnow_projection)}
+QUERIES = {f.__name__: f for f in (q01_top_report, q02_normalized_text, q03_visible_text, q04_canonical_urls, q05_posting_keys, q06_sentences, q07_german_markers, q08_rejection_reasons, q09_title_ladder, q10_best_family, q11_strongest_mentions, q12_carried_sections, q13_exact_duplicates, q14_anchor_blocks, q35_year_ranges, q41_epoch_projection, q42_nested_projection, q43_union_sources, q15_merged_postings, q64_exact_groups, q62_remotive_projection, q63_short_aliases, q44_html_parser, q45_deduplicated, q46_exact_key_groups, q49_arbeitnow_projection)}
 
 _ROWS = f"SELECT doc_id, unnest(range(len(p))) AS pos, unnest(p) AS sentence FROM (SELECT doc_id, {_parts('text')} AS p FROM documents)"
 _HEAD = rf"regexp_replace({_bare('sentence')}, '^[ :\-]+|[ :\-]+$', '', 'g')"
@@ -295,6 +300,9 @@ SQL = {
     "q15_merged_postings": f"""WITH r AS (SELECT id, strftime(fetched_at, '%Y-%m-%dT%H:%M:%SZ') AS w, list_filter(coalesce(tags, []), lambda x: x <> '') AS tags, d, substring(sha256({_fingerprint('c', 't', 'p')}), 1, 20) AS job_key FROM ({_CANON})),
         g AS (SELECT job_key, min(id) AS first, arg_max(id, (w, -id))::varchar AS best, md5(arg_max(d, (length(d), w, -id))) AS description_md5, max(id)::varchar AS last_id, count(*) AS merged FROM r GROUP BY 1), e AS (SELECT job_key, string_agg(DISTINCT x, ',' ORDER BY x) AS tags FROM (SELECT job_key, unnest(tags) AS x FROM r) GROUP BY 1)
         SELECT job_key, first, best, description_md5, coalesce(tags, '') AS tags, 'remotive' AS sources, last_id, true AS remote, merged FROM g LEFT JOIN e USING (job_key)""",
+    "q64_exact_groups": f"""WITH RECURSIVE r AS (SELECT id, {_fingerprint('c', 't', 'p')} AS f, {_company('c')} AS c, {_bare('d')} AS b FROM ({_CANON})), h AS (SELECT id, unnest(['f|' || f, CASE WHEN c <> '' AND length(b) >= 500 THEN 'd|' || c || '|' || sha256(b) END]) AS k FROM r),
+        m AS (SELECT k, min(id) AS a FROM h WHERE k IS NOT NULL GROUP BY 1), l AS (SELECT DISTINCT a, id AS b FROM h JOIN m USING (k) WHERE a <> id), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), g AS (SELECT DISTINCT id, id AS c FROM r UNION SELECT e.b, g.c FROM g JOIN e ON e.a = g.id AND g.c < e.b), n AS (SELECT id, min(c) AS c FROM g GROUP BY 1)
+        SELECT n.c AS first, count(*) AS merged FROM r JOIN n USING (id) GROUP BY 1""",
     "q49_arbeitnow_projection": f"""SELECT {_OR('slug')} AS slug, {_OR('company_name')} AS company, {_OR('title')} AS title, coalesce(remote, false) AS remote, {_OR('url')} AS url, published_at, md5({_OR('description')}) AS description_md5, {_OR('salary')} AS salary, coalesce(array_to_string(job_types, ', '), '') AS employment_type, {_OR('location')} AS location, array_to_string(tags, ',') AS tags FROM {_EPOCH}""",
     "q62_remotive_projection": f"""SELECT {_OR('id::varchar')} AS source_job_id, {_OR('company_name')} AS company, {_OR('title')} AS title, coalesce(nullif(trim(candidate_required_location, ' '), ''), 'Remote') AS location, {_OR('url')} AS url, {_OR('publication_date')} AS published_at, md5({_OR('description')}) AS description_md5, {_OR('salary')} AS salary, {_OR('job_type')} AS employment_type, array_to_string(tags, ',') AS tags FROM remotive""",
     "q63_short_aliases": f"""WITH t AS (SELECT doc_id, {_bare('text')} AS t FROM documents) SELECT doc_id, regexp_matches(t, '(?:^|[^a-z0-9äöüß_])it(?:$|[^a-z0-9äöüß_])') AS as_word, regexp_matches(t, '(?:^|[^a-z0-9äöüß_])api(?:$|[^a-z0-9äöüß_])') AS as_word_too, contains(t, 'team') AS anywhere FROM t""",
