@@ -12,8 +12,11 @@ purposes. Every candidate pair is decided, whatever the size of its band, but fe
 3. Classes need no more. For all pairs, the nodes of a cluster are compared in blocks, each block with each, by the
    product of their incidence matrices; only pairs that reach the threshold leave a block.
 
-So classes cost work in proportion to the rows of the bands, and pairs cost, within clusters, a 256th of a shuffled row
-each. The count of common n-grams is exact but for collisions of 32-bit hashes (one in 10^5 pairs of 200 n-grams).
+Before the sets of a candidate pair are brought together, one bit of each minimum is compared: a pair of the threshold's
+similarity agrees in at least MARGIN standard errors less than is expected of it, or is lost with probability 4e-11. What is
+left is decided by the sets themselves. So classes cost work in proportion to the rows of the bands, and pairs cost, within
+clusters, a 256th of a shuffled row each. The count of common n-grams is exact but for collisions of 32-bit hashes (one in
+10^5 pairs of 200 n-grams).
 
 Defined results: records whose required text has no words, and sets without a single sequence, have no
 duplicates. A null id takes no part. Of repeated rows of an id the latest counts (ties: the greatest set key).
@@ -23,6 +26,7 @@ Records with equal sets are duplicates of similarity 1. Extra columns are ignore
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -41,6 +45,8 @@ CHUNK = 128
 BLOCK_NODES, BLOCK_GRAMS = 256, 250_000
 #: Columns of an incidence matrix multiplied at once.
 COLUMNS = 4096
+#: How many standard errors below its expectation the agreement of two sketches may lie.
+MARGIN = 6.5
 
 
 class NearDuplicates(NamedTuple):
@@ -55,14 +61,14 @@ class NearDuplicates(NamedTuple):
 
 
 def _sketches(texts: list[str], required: str, n: int, bands: int, rows: int):
-    """Iterator function: (_id, _at, _row, texts) to (_id, _at, _row, _key, _size, _set, _bands)."""
+    """Iterator function: (_id, _at, _row, texts) to (_id, _at, _row, _key, _size, _set, _bands, _sig): the sorted 32-bit hashes as bytes, band hashes, a bit of each minimum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, width, must = WordHash(), len(texts), texts.index(required)
         end = U(seen[END])
         rng = np.random.default_rng(7)
         mult = rng.integers(0, 2**32, bands * rows, dtype=np.uint32) | np.uint32(1)
-        add = rng.integers(0, 2**32, bands * rows, dtype=np.uint32)
+        words = -(-bands * rows // 64)
         number = mix(np.arange(1, bands + 1, dtype=U))
         for batch in batches:
             keep, keys, sets, hashes = [], [], [], []
@@ -85,29 +91,53 @@ def _sketches(texts: list[str], required: str, n: int, bands: int, rows: int):
                     sets.append(s if len(s) < 2 else s[np.r_[True, s[1:] != s[:-1]]])
                     low = np.full(bands * rows, 2**32 - 1, np.uint32)
                     for k in range(0, len(sets[-1]), 256):
-                        np.minimum(low, (sets[-1][k : k + 256, None] * mult + add).min(axis=0), out=low)
+                        np.minimum(low, (sets[-1][k : k + 256, None] * mult).min(axis=0), out=low)
                     hashes.append(low)
             low = np.array(hashes, U).reshape(len(keep), bands, rows)
             h = np.broadcast_to(number, (len(keep), bands)).copy()
             for r in range(rows):
                 h = mix(h ^ low[:, :, r])
             flat = np.ascontiguousarray((h >> U(32)).astype(np.uint32)).view(np.int32).reshape(-1)
-            at, lengths = pa.array(keep, pa.int64()), list(map(len, sets))
-            lists = [
-                pa.ListArray.from_arrays(pa.array(np.cumsum([0, *lengths]).astype(np.int32)), pa.array(np.concatenate(sets).view(np.int32) if sets else np.empty(0, np.int32))),
-                pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands, dtype=np.int32)), pa.array(flat)),
-            ]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("_id", "_at", "_row")), pa.array(keys, pa.binary()), pa.array(lengths, pa.int32()), *lists], ["_id", "_at", "_row", "_key", "_size", "_set", "_bands"])
+            bits = np.zeros((len(keep), 64 * words), np.uint8)
+            bits[:, : bands * rows] = (mix(low) >> U(63)).astype(np.uint8).reshape(len(keep), bands * rows)
+            sig = np.packbits(bits, axis=1).view(np.int64).reshape(-1)
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) + 1, w, dtype=np.int32)), pa.array(x)) for x, w in ((flat, bands), (sig, words))]
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("_id", "_at", "_row")), pa.array(keys, pa.binary()), pa.array([len(x) for x in sets], pa.int32()), pa.array([x.tobytes() for x in sets], pa.binary()), *lists], ["_id", "_at", "_row", "_key", "_size", "_set", "_bands", "_sig"])
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, similarity) of each pair (a, b). The side that may be hot is joined while rows are small."""
-    side = lambda name: sets.select(F.col("node").alias(name), F.col("_set").alias(f"_set_{name}"), F.col("_size").alias(f"_size_{name}"))
-    common = F.size(F.array_intersect("_set_a", "_set_b"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", common.alias("_c"), (F.col("_size_a") + F.col("_size_b")).alias("_s"))
-    return both.select("a", "b", (F.col("_c") / (F.col("_s") - F.col("_c"))).alias("similarity"))
+def _similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, _set_a, _set_b) to (a, b, similarity)."""
+    for batch in batches:
+        out = np.empty(len(batch))
+        for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+            x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
+            both = np.sort(np.concatenate([x, y]), kind="stable")
+            common = int((both[1:] == both[:-1]).sum())
+            out[i] = common / (len(both) - common)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], ["a", "b", "similarity"])
+
+
+def _verified(pairs: DataFrame, made: DataFrame, minima: int, threshold: float, name: str) -> DataFrame:
+    """(a, b, similarity) of the pairs (a, b) that may be similar by their sketches; others are left out. Written, as it is read more than once."""
+    words, chance = -(-minima // 64), (1 + threshold) / 2
+    least = math.floor(minima * chance - MARGIN * math.sqrt(minima * chance * (1 - chance))) + 64 * words - minima
+    sketch = lambda x: made.select(F.col("_row").alias(x), F.col("_sig").alias(f"_sig_{x}"))
+    agree = sum((F.bit_count(F.bitwise_not(F.col("_sig_a")[k].bitwiseXOR(F.col("_sig_b")[k]))) for k in range(words)), F.lit(0))
+    likely = materialize(pairs.join(sketch("a"), "a").join(sketch("b"), "b").where(agree >= least).select("a", "b"), name)
+    if not likely.limit(1).count():
+        return likely.withColumn("similarity", F.lit(0.0))
+    # of the sets only those needed are moved; the side that may be hot is joined while rows are small
+    nodes = materialize(likely.select(F.col("a").alias("_row")).unionByName(likely.select(F.col("b").alias("_row"))).distinct(), "nodes")
+    held = made.select("_row", "_set").join(nodes, "_row", "left_semi")
+    side = lambda x: held.select(F.col("_row").alias(x), F.col("_set").alias(f"_set_{x}"))
+    both = likely.join(side("a"), "a").join(side("b"), "b").select("a", "b", "_set_a", "_set_b")
+    out = materialize(both.mapInArrow(_similarity, "a bigint, b bigint, similarity double"), name)
+    discard(likely)
+    discard(nodes)
+    return out
 
 
 def near_duplicates(df: DataFrame, key: str, texts: list[str], required: str, latest: str | None = None, n: int = 5, threshold: float = 0.8, bands: int = 64, rows: int = 5) -> NearDuplicates:
@@ -115,35 +145,44 @@ def near_duplicates(df: DataFrame, key: str, texts: list[str], required: str, la
     alias = [f"_t{i}" for i in range(len(texts))]
     at = F.unix_micros(F.col(latest).cast("timestamp")) if latest else F.lit(0).cast("bigint")
     source = df.select(F.col(key).alias("_id"), at.alias("_at"), F.monotonically_increasing_id().alias("_row"), *[F.col(c).cast("string").alias(a) for c, a in zip(texts, alias)]).where("_id is not null")
-    shape = f"_id {source.schema['_id'].dataType.simpleString()}, _at bigint, _row bigint, _key binary, _size int, _set array<int>, _bands array<int>"
+    shape = f"_id {source.schema['_id'].dataType.simpleString()}, _at bigint, _row bigint, _key binary, _size int, _set binary, _bands array<int>, _sig array<bigint>"
     # rows get their numbers once: whatever comes later reads the written table
     made = materialize(source.mapInArrow(_sketches(alias, alias[texts.index(required)], n, bands, rows), shape), "sets")
     sets = made.select(F.col("_row").alias("node"), "_set", "_size")
 
-    newest = made.groupBy("_id").agg(F.max(F.struct("_at", "_key", "_row")).alias("_m")).select("_id", F.col("_m._key").alias("_key"), F.col("_m._row").alias("_row"))
-    first = newest.groupBy("_key").agg(F.min(F.struct("_id", "_row")).alias("_f")).select("_key", F.col("_f._row").alias("rep"))
-    members = materialize(newest.join(first, "_key").select(F.col("_id").alias("id"), "rep"), "members")
+    # few ids and few sets come again: only those are sorted, and joined with the rest as a table of known size
+    again = materialize(made.groupBy("_id").agg(F.count("*").alias("_n")).where("_n > 1").select("_id"), "again")
+    latest_of = made.join(again, "_id", "left_semi").groupBy("_id").agg(F.max(F.struct("_at", "_key", "_row")).alias("_m")).select("_id", "_m._key", "_m._row")
+    newest = made.join(again, "_id", "left_anti").select("_id", "_key", "_row").unionByName(latest_of)
+    copies = materialize(newest.groupBy("_key").agg(F.min("_row").alias("rep"), F.count("*").alias("_n")).where("_n > 1").select("_key", "rep"), "copies")
+    members = materialize(newest.join(copies, "_key", "left").select(F.col("_id").alias("id"), F.coalesce("rep", "_row").alias("rep"), (F.col("_row") == F.coalesce("rep", "_row")).alias("_first")), "members")
 
-    banded = made.select(F.col("_row").alias("node"), "_bands").join(members.select(F.col("rep").alias("node")).distinct(), "node", "left_semi").select("node", F.posexplode("_bands").alias("_b", "_v"))
+    banded = made.select(F.col("_row").alias("node"), "_bands").join(members.where("_first").select(F.col("rep").alias("node")), "node", "left_semi").select("node", F.posexplode("_bands").alias("_b", "_v"))
     held = banded.select(F.shiftleft(F.col("_b").cast("bigint"), 32).bitwiseOR(F.col("_v").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))).alias("_h"), "node")
-    buckets = materialize(held.groupBy("_h").agg(F.count("*").alias("_n"), F.min("node").alias("a"), F.max("node").alias("b")).where("_n > 1"), "buckets")
-    crowd = materialize(held.join(buckets.where("_n > 2").select("_h", "a"), "_h").where("node <> a").select("_h", "a", F.col("node").alias("b")), "crowd")
-
-    star = materialize(_verified(buckets.where("_n = 2").select("a", "b").unionByName(crowd.select("a", "b")).distinct(), sets), "star")
+    buckets = materialize(held.groupBy("_h").agg(F.count("*").alias("_n"), F.min("node").alias("a"), F.max("node").alias("b"), F.sum("node").alias("_s")).where("_n > 1"), "buckets")
+    # of two or three nodes least, greatest and sum tell all; for more the members are looked up
+    third = buckets.where("_n = 3").select("_h", "a", F.explode(F.array("b", F.col("_s") - F.col("a") - F.col("b"))).alias("b"))
+    leaders = materialize(buckets.where("_n > 3").select("_h", "a"), "leaders")
+    crowd = materialize(held.join(leaders, "_h").where("node <> a").select("_h", "a", F.col("node").alias("b")).unionByName(third), "crowd")
+
+    check = lambda pairs, name: _verified(pairs, made, bands * rows, threshold, name)
+    star = check(buckets.where("_n = 2").select("a", "b").unionByName(crowd.select("a", "b")).distinct(), "star")
     linked = star.where(F.col("similarity") >= threshold)
     labels = components(linked, "a", "b")
 
     # nodes of one band, but of different clusters; those next to the leader were verified with it
-    placed = crowd.join(star, ["a", "b"]).join(labels.select(F.col("node").alias("b"), "label"), "b", "left").select("_h", F.col("b").alias("node"), F.coalesce("label", "b").alias("label"), (1 - F.col("similarity")).alias("d"))
+    # (what the sketches tell apart is at least as far from the leader as the threshold allows)
+    far = 1 - threshold
+    placed = crowd.join(star, ["a", "b"], "left").join(labels.select(F.col("node").alias("b"), "label"), "b", "left").select("_h", F.col("b").alias("node"), F.coalesce("label", "b").alias("label"), (1 - F.col("similarity")).alias("d"))
     mixed = placed.groupBy("_h").agg(F.min("label").alias("_l"), F.max("label").alias("_m")).where("_l <> _m").select("_h")
     rest = materialize(placed.join(mixed, "_h", "left_semi"), "rest")
     x, y = (rest.select("_h", F.col("node").alias(c), F.col("label").alias(f"l{c}"), F.col("d").alias(f"d{c}")) for c in "ab")
-    far = 1 - threshold + 1e-9
-    cross = x.join(y, "_h").where(F.expr(f"a < b and la <> lb and abs(da - db) <= {far!r}")).select("a", "b").distinct()
-    found = materialize(_verified(cross, sets).where(F.col("similarity") >= threshold), "cross")
-    for done in (buckets, crowd, rest):
+    # an unknown distance is beyond far, so only a known one below it tells anything with it, and that is not enough
+    cross = x.join(y, "_h").where(F.expr(f"a < b and la <> lb and coalesce(abs(da - db) <= {far + 1e-9!r}, true)")).select("a", "b").distinct()
+    found = check(cross, "cross").where(F.col("similarity") >= threshold)
+    for done in (again, copies, buckets, leaders, crowd, rest):
         discard(done)
-    return NearDuplicates(members, linked.unionByName(found), labels, sets, threshold)
+    return NearDuplicates(members.select("id", "rep"), linked.unionByName(found), labels, sets, threshold)
 
 
 def _within_blocks(threshold: float):
@@ -175,14 +214,13 @@ def _within_blocks(threshold: float):
         for batch in batches:
             ids = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("_l", "_i", "_j", "_b", "node")])
             column = batch.column("_set")
-            flat, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
             for k in range(len(batch)):
                 group = tuple(ids[k, :3])
                 if group != open_ and rows:
                     yield pairs(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), [r[2] for r in rows], int(open_[1]), int(open_[2]))
                     rows = []
                 open_ = group
-                rows.append((ids[k, 4], ids[k, 3], flat[offsets[k] : offsets[k + 1]].copy()))
+                rows.append((ids[k, 4], ids[k, 3], np.frombuffer(column[k].as_py(), np.uint32)))
         if rows:
             yield pairs(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), [r[2] for r in rows], int(open_[1]), int(open_[2]))
 

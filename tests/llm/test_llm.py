@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import numpy as np
 import pytest
 from compare import assert_same
 from pyspark.sql import functions as F
@@ -144,10 +145,14 @@ def test_recall_at_the_threshold():
 
     batch = pa.RecordBatch.from_arrays([pa.array(range(2 * pairs)), pa.array([0] * 2 * pairs), pa.array(range(2 * pairs)), pa.array(rows)], ["_id", "_at", "_row", "_t0"])
     out = next(iter(near_module._sketches(["_t0"], "_t0", 3, 64, 5)(iter([batch]))))
-    sets, bands = out.column("_set").to_pylist(), out.column("_bands").to_pylist()
-    assert all(len(set(sets[2 * i]) & set(sets[2 * i + 1])) == 60 and len(set(sets[2 * i])) == 80 for i in range(pairs))
+    sets, bands = [set(np.frombuffer(x, np.uint32).tolist()) for x in out.column("_set").to_pylist()], out.column("_bands").to_pylist()
+    assert all(len(sets[2 * i] & sets[2 * i + 1]) == 60 and len(sets[2 * i]) == 80 for i in range(pairs))
     hit = sum(any(x == y for x, y in zip(bands[2 * i], bands[2 * i + 1])) for i in range(pairs))
     assert hit / pairs > 0.985  # 0.994 expected, 0.6 ** 5 a band
+    # the sketches agree as often as they should, and none of these pairs comes near the bound below which they are told apart
+    bits = [np.unpackbits(np.array(x, np.int64).view(np.uint8)) for x in out.column("_sig").to_pylist()]
+    agree = [int((bits[2 * i] == bits[2 * i + 1]).sum()) for i in range(pairs)]
+    assert abs(np.mean(agree) / 320 - 0.8) < 0.01 and np.std(agree) < 1.3 * (320 * 0.8 * 0.2) ** 0.5 and min(agree) > 320 * 0.8 - 5 * (320 * 0.8 * 0.2) ** 0.5
 
 
 def test_near_duplicate_edges(spark):
