@@ -15,7 +15,7 @@ from brimfold.plans.shared import materialize
 
 
 def candidates(raw: DataFrame, accept: list[str], veto: list[str]) -> DataFrame:
-    """The title test, before any costly step; it stays in the JVM and reaches the scan as a filter on titles."""
+    """The title test, before any costly step; it stays in the JVM, right above the scan, which reads all titles (a test of normalised text is not pushed into files)."""
     return raw.where(accepted(normalize_text(F.col("title")), accept, veto))
 
 

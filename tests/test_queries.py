@@ -10,7 +10,8 @@ FOLDER = "/root/testdata/sf0.001"
 
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_query_equals_its_sql(spark, name):
-    assert_same(spark, FOLDER, catalog.QUERIES[name], catalog.SQL[name])
+    # the zones of the feeds can't be told from the few values of the least tables
+    assert_same(spark, "/root/testdata/sf0.01" if name == "p4_found" else FOLDER, catalog.QUERIES[name], catalog.SQL[name])
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))

@@ -68,3 +68,11 @@ def test_keys(spark):
 
 def test_entities_are_those_of_html():
     assert all(html.unescape(e).replace("\xa0", " ") == c for e, c in text.ENTITIES.items())
+
+
+def test_functions_in_sql(spark):
+    from brimfold.functions.register import register_functions
+
+    assert register_functions(spark) == ["html_to_text", "normalize_text", "rate", "text_ratio"]
+    got = spark.sql("SELECT normalize_text(html_to_text('<p>Große R&amp;D!</p>')), rate(1, 3), rate(1, 0), text_ratio('abcd', 'bcde'), text_ratio(NULL, NULL), normalize_text(NULL)").first()
+    assert tuple(got) == ("grosse r and d", 33.3, 0.0, 0.75, 1.0, "")
