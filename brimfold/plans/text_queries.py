@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brimfold.functions import keys, text, urls
 from brimfold.operators import dedup, postings, rules, summaries
-from brimfold.sources import providers
+from brimfold.plans.shared import new_path
+from brimfold.sources import feeds, providers
 from brimfold.sources.tables import table
 
 # Rule lists of these queries: examples of the kinds of lists the operators take.
@@ -203,15 +204,13 @@ def q42_nested_projection(spark: SparkSession, d: str) -> DataFrame:
 
 def q43_union_sources(spark: SparkSession, d: str) -> DataFrame:
     """All feeds as raw postings in their order: counts of each source, and whether the numbers of its rows are unique and in its range."""
-    r = table(spark, d, "remotive", "id", "url", "title", "company_name", "category", "tags", "job_type", "publication_date", "candidate_required_location", "salary", "description")
-    rows = providers.union_sources([providers.remotive_rows(r), providers.arbeitnow_rows(_arbeitnow(spark, d)), providers.lever_rows(_lever(spark, d))])
+    rows = providers.union_sources([providers.remotive_rows(_remotive(spark, d)), providers.arbeitnow_rows(_arbeitnow(spark, d)), providers.lever_rows(_lever(spark, d))])
     return rows.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("source_job_id").alias("postings"), F.count_if(text.truthy(F.col("title")).isNull()).alias("untitled"), F.countDistinct("_ord").alias("numbers"), F.max(F.shiftright("_ord", 52)).alias("place"))
 
 
 def q62_remotive_projection(spark: SparkSession, d: str) -> DataFrame:
     """Every row of remotive as a raw posting."""
-    r = table(spark, d, "remotive", "id", "url", "title", "company_name", "category", "tags", "job_type", "publication_date", "candidate_required_location", "salary", "description")
-    return providers.remotive_rows(r).select("source_job_id", "company", "title", "location", "url", "published_at", F.md5("description").alias("description_md5"), "salary", "employment_type", F.array_join("tags", ",").alias("tags"))
+    return providers.remotive_rows(_remotive(spark, d)).select("source_job_id", "company", "title", "location", "url", "published_at", F.md5("description").alias("description_md5"), "salary", "employment_type", F.array_join("tags", ",").alias("tags"))
 
 
 def q63_short_aliases(spark: SparkSession, d: str) -> DataFrame:
@@ -245,7 +244,84 @@ def q46_exact_key_groups(spark: SparkSession, d: str) -> DataFrame:
     return dedup.exact_links(rows, "id", "k").groupBy("b").agg(F.min("a").alias("first"), F.count("*").alias("links")).withColumnRenamed("b", "id")
 
 
-QUERIES = {f.__name__: f for f in (q01_top_report, q02_normalized_text, q03_visible_text, q04_canonical_urls, q05_posting_keys, q06_sentences, q07_german_markers, q08_rejection_reasons, q09_title_ladder, q10_best_family, q11_strongest_mentions, q12_carried_sections, q13_exact_duplicates, q14_anchor_blocks, q35_year_ranges, q41_epoch_projection, q42_nested_projection, q43_union_sources, q15_merged_postings, q64_exact_groups, q62_remotive_projection, q63_short_aliases, q44_html_parser, q45_deduplicated, q46_exact_key_groups, q49_arbeitnow_projection)}
+def _answers(rows: DataFrame, employer: str, jobs: Column, container: str) -> DataFrame:
+    """Documents as a provider gives them, one posting each: (path, body)."""
+    inner = F.struct(F.array(jobs).alias("jobs")) if container != "subdomains" else F.struct(F.array(jobs).alias("offers"))
+    return rows.select(F.lit("made").alias("path"), F.to_json(F.struct(F.create_map(F.coalesce(employer, F.lit("none")), inner).alias(container))).alias("body"))
+
+
+def _remotive(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "remotive", "id", "url", "title", "company_name", "category", "tags", "job_type", "publication_date", "candidate_required_location", "salary", "description")
+
+
+def _greenhouse_docs(spark: SparkSession, d: str) -> DataFrame:
+    named = lambda *c: F.array(*[F.struct(F.col(x).alias("name")) for x in c])
+    kind = F.array(F.struct(F.lit("Level").alias("name"), F.lit("x").alias("value")), F.struct(F.lit("Employment Type").alias("name"), F.col("job_type").alias("value")))
+    jobs = F.struct("id", "title", F.col("publication_date").alias("updated_at"), F.struct(F.col("candidate_required_location").alias("name")).alias("location"), F.col("url").alias("absolute_url"), F.col("description").alias("content"), kind.alias("metadata"), named("category").alias("departments"), named("company_name", "salary").alias("offices"))
+    return providers.parsed(_answers(_remotive(spark, d), "company_name", jobs, "boards"), "greenhouse")
+
+
+def q65_greenhouse(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of remotive as a document of another provider, read by its schema and projected."""
+    return providers.greenhouse(_greenhouse_docs(spark, d)).select("source_job_id", "company", "title", "location", "remote", "url", "published_at", F.md5("description").alias("description_md5"), "employment_type", F.array_join("tags", "|").alias("tags"))
+
+
+def q66_collection_log(spark: SparkSession, d: str) -> DataFrame:
+    """What the log of those documents says of each employer, and of as many that can't be read."""
+    docs = _greenhouse_docs(spark, d)
+    broken = providers.parsed(_remotive(spark, d).select(F.concat(F.lit("/x/"), "id").alias("path"), F.lit('{"boards": 5').alias("body"), F.when(F.col("id") % 2 == 0, "HTTP Error 404: gone").otherwise("").alias("error"), F.lit(None).cast("int").alias("status")), "greenhouse")
+    log = providers.collection_log(docs, "greenhouse", "boards", "jobs").unionByName(providers.collection_log(broken, "greenhouse", "boards", "jobs"))
+    return log.groupBy(F.coalesce("employer", F.lit("")).alias("employer"), "ok", F.coalesce("http_status", F.lit(0)).alias("http_status")).agg(F.sum("jobs").alias("jobs"), F.sum("requests").alias("requests"), F.max(F.regexp_replace("error", "[0-9]{5,}", "n")).alias("error"))
+
+
+def q67_ashby(spark: SparkSession, d: str) -> DataFrame:
+    second = F.array(F.struct(F.col("candidate_required_location").alias("location")), F.struct(F.col("category").alias("location")))
+    jobs = F.struct("id", "title", F.col("candidate_required_location").alias("location"), second.alias("secondaryLocations"), F.col("category").alias("department"), F.col("job_type").alias("team"), (F.col("id") % 5 > 0).alias("isListed"), (F.col("id") % 2 == 0).alias("isRemote"), F.when(F.col("id") % 3 == 0, "Hybrid").alias("workplaceType"), F.col("description").alias("descriptionHtml"), F.col("publication_date").alias("publishedAt"), F.col("job_type").alias("employmentType"), F.col("url").alias("jobUrl"), F.struct(F.col("salary").alias("compensationTierSummary")).alias("compensation"))
+    rows = providers.ashby(providers.parsed(_answers(_remotive(spark, d), "company_name", jobs, "boards"), "ashby"))
+    return rows.select("source_job_id", "company", "title", "location", "remote", "hybrid", "url", "apply_url", F.md5("description").alias("description_md5"), "salary", "employment_type", F.array_join("tags", "|").alias("tags"))
+
+
+def q68_recruitee(spark: SparkSession, d: str) -> DataFrame:
+    pay = F.when(F.col("salary").isNotNull(), F.struct(F.lit("EUR").alias("currency"), F.lit("").alias("min"), F.col("salary").alias("max"), F.lit("year").alias("period")))
+    jobs = F.struct(F.when(F.col("id") % 2 == 0, F.col("id")).alias("id"), F.concat(F.lit("g"), "id").alias("guid"), F.when(F.col("id") % 7 == 0, "draft").alias("status"), F.when(F.col("id") % 3 == 0, F.col("company_name")).alias("company_name"), "title", F.col("candidate_required_location").alias("location"), (F.col("id") % 4 == 0).alias("remote"), F.col("url").alias("careers_url"), F.col("publication_date").alias("created_at"), "description", F.col("title").alias("requirements"), F.col("category").alias("department"), F.col("job_type").alias("employment_type_code"), pay.alias("salary"))
+    rows = providers.recruitee(providers.parsed(_answers(_remotive(spark, d), "category", jobs, "subdomains"), "recruitee"))
+    return rows.select("source_job_id", "company", "title", "location", "remote", "hybrid", "url", "apply_url", "published_at", F.md5("description").alias("description_md5"), "salary", "employment_type", F.array_join("tags", "|").alias("tags"))
+
+
+def _tag(name: str, value: Column) -> Column:
+    """An XML element with this text, control signs escaped; none for null."""
+    safe = F.replace(F.replace(F.replace(value.cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return F.coalesce(F.concat(F.lit(f"<{name}>"), safe, F.lit(f"</{name}>")), F.lit(""))
+
+
+def _landed(rows: DataFrame, xml: Column) -> str:
+    """One document with an element a line, as one provider's answer is one file."""
+    path = new_path(rows.sparkSession, "landing")
+    ends = rows.sparkSession.createDataFrame([(0, "<rss><channel>"), (2, "</channel></rss>")], "k int, value string")
+    lines = rows.select(F.lit(1).alias("k"), F.regexp_replace(xml, r"[\r\n]+", " ").alias("value")).unionByName(ends)
+    lines.coalesce(1).sortWithinPartitions("k").select("value").write.text(path)
+    return path
+
+
+def q69_personio(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of remotive as a position of an account's XML."""
+    code = F.element_at(F.array(*[F.lit(k) for k in providers.YEARS]), (F.col("id") % len(providers.YEARS) + 1).cast("int"))
+    block = F.concat(F.lit("<jobDescriptions><jobDescription>"), _tag("name", F.lit("Tasks")), _tag("value", F.col("id")), F.lit("</jobDescription></jobDescriptions>"))
+    xml = F.concat(F.lit("<position>"), _tag("id", F.col("id")), _tag("subcompany", F.when(F.col("id") % 2 == 0, F.col("id") % 9)), _tag("office", F.col("category")), _tag("department", F.col("category")), _tag("name", F.concat(F.lit("Role "), "id")), block, _tag("employmentType", F.col("job_type")), _tag("schedule", F.when(F.col("id") % 3 == 0, "full-time")), _tag("yearsOfExperience", code), F.lit("</position>"))
+    rows = providers.personio(spark, _landed(_remotive(spark, d), xml), "acme", "Acme Inc", "de")
+    return rows.select("source_job_id", "company", "title", "location", "url", F.md5("description").alias("description_md5"), "employment_type", F.array_join("tags", "|").alias("tags"))
+
+
+def q70_feed_posts(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of remotive as an item of a feed; those that speak of work and link to a post become postings."""
+    link = F.concat(F.when(F.col("id") % 3 == 0, "https://g.example/url?q=").otherwise(""), F.lit("https://www.posts.example/in/"), F.col("id") % 500)
+    xml = F.concat(F.lit("<item>"), _tag("title", F.concat(F.lit("Role "), "id", F.when(F.col("id") % 2 == 0, " hiring").otherwise(" idle"))), _tag("link", link), _tag("guid", F.concat(F.lit("g"), "id")), _tag("author", F.col("category")), _tag("description", F.concat(F.lit("work "), F.col("id") % 500)), F.lit("</item>"))
+    entries = feeds.feed_entries(spark, _landed(_remotive(spark, d).where("id is not null"), xml))
+    found = feeds.feed_postings(entries, "posts", r"posts\.example", "/in/", ["role"], ["hiring", "idle"], 10_000_000)
+    return found.groupBy("url").agg(F.count("*").alias("n"), F.max("feed_name").alias("feed"), F.bool_and(F.col("title").startswith("Role ")).alias("titled"))
+
+
+QUERIES = {f.__name__: f for f in (q65_greenhouse, q66_collection_log, q67_ashby, q68_recruitee, q69_personio, q70_feed_posts, q01_top_report, q02_normalized_text, q03_visible_text, q04_canonical_urls, q05_posting_keys, q06_sentences, q07_german_markers, q08_rejection_reasons, q09_title_ladder, q10_best_family, q11_strongest_mentions, q12_carried_sections, q13_exact_duplicates, q14_anchor_blocks, q35_year_ranges, q41_epoch_projection, q42_nested_projection, q43_union_sources, q15_merged_postings, q64_exact_groups, q62_remotive_projection, q63_short_aliases, q44_html_parser, q45_deduplicated, q46_exact_key_groups, q49_arbeitnow_projection)}
 
 _ROWS = f"SELECT doc_id, unnest(range(len(p))) AS pos, unnest(p) AS sentence FROM (SELECT doc_id, {_parts('text')} AS p FROM documents)"
 _HEAD = rf"regexp_replace({_bare('sentence')}, '^[ :\-]+|[ :\-]+$', '', 'g')"
@@ -306,6 +382,17 @@ SQL = {
     "q49_arbeitnow_projection": f"""SELECT {_OR('slug')} AS slug, {_OR('company_name')} AS company, {_OR('title')} AS title, coalesce(remote, false) AS remote, {_OR('url')} AS url, published_at, md5({_OR('description')}) AS description_md5, {_OR('salary')} AS salary, coalesce(array_to_string(job_types, ', '), '') AS employment_type, {_OR('location')} AS location, array_to_string(tags, ',') AS tags FROM {_EPOCH}""",
     "q62_remotive_projection": f"""SELECT {_OR('id::varchar')} AS source_job_id, {_OR('company_name')} AS company, {_OR('title')} AS title, coalesce(nullif(trim(candidate_required_location, ' '), ''), 'Remote') AS location, {_OR('url')} AS url, {_OR('publication_date')} AS published_at, md5({_OR('description')}) AS description_md5, {_OR('salary')} AS salary, {_OR('job_type')} AS employment_type, array_to_string(tags, ',') AS tags FROM remotive""",
     "q63_short_aliases": f"""WITH t AS (SELECT doc_id, {_bare('text')} AS t FROM documents) SELECT doc_id, regexp_matches(t, '(?:^|[^a-z0-9äöüß_])it(?:$|[^a-z0-9äöüß_])') AS as_word, regexp_matches(t, '(?:^|[^a-z0-9äöüß_])api(?:$|[^a-z0-9äöüß_])') AS as_word_too, contains(t, 'team') AS anywhere FROM t""",
+    "q65_greenhouse": f"""SELECT {_OR('id::varchar')} AS source_job_id, coalesce(company_name, 'none') AS company, {_OR('title')} AS title, {_OR('candidate_required_location')} AS location, contains(lower({_OR('candidate_required_location')}), 'remote') AS remote, {_OR('url')} AS url, {_OR('publication_date')} AS published_at, md5({_OR('description')}) AS description_md5, {_OR('job_type')} AS employment_type,
+        coalesce(array_to_string(list_filter([category, company_name, salary], lambda x: x IS NOT NULL), '|'), '') AS tags FROM remotive""",
+    "q66_collection_log": """SELECT coalesce(company_name, 'none') AS employer, true AS ok, 0 AS http_status, count(*) AS jobs, count(*) AS requests, '' AS error FROM remotive GROUP BY 1
+        UNION ALL SELECT '', false, CASE WHEN id % 2 = 0 THEN 404 ELSE 0 END, 0, count(*), max(CASE WHEN id % 2 = 0 THEN 'HTTP Error 404: gone' ELSE regexp_replace('no valid document: ' || id, '[0-9]{5,}', 'n') END) FROM remotive GROUP BY id % 2""",
+    "q67_ashby": f"""SELECT id::varchar AS source_job_id, coalesce(company_name, 'none') AS company, {_OR('title')} AS title, coalesce(array_to_string(list_filter([candidate_required_location, CASE WHEN category IS DISTINCT FROM candidate_required_location THEN category END], lambda x: trim(x, ' ') <> ''), ' | '), '') AS location, id % 2 = 0 AS remote, id % 3 = 0 AS hybrid, {_OR('url')} AS url, {_OR('url')} AS apply_url,
+        md5({_OR('description')}) AS description_md5, {_OR('salary')} AS salary, {_OR('job_type')} AS employment_type, coalesce(array_to_string(list_filter([category, job_type], lambda x: trim(x, ' ') <> ''), '|'), '') AS tags FROM remotive WHERE id % 5 > 0""",
+    "q68_recruitee": f"""SELECT CASE WHEN id % 2 = 0 THEN id::varchar ELSE 'g' || id END AS source_job_id, {_OR("CASE WHEN id % 3 = 0 THEN company_name END", "coalesce(category, 'none')")} AS company, {_OR('title')} AS title, {_OR('candidate_required_location')} AS location, id % 4 = 0 AS remote, false AS hybrid, {_OR('url')} AS url, {_OR('url')} AS apply_url, {_OR('publication_date')} AS published_at,
+        md5(concat_ws(chr(10) || chr(10), nullif(trim(coalesce(description, ''), ' '), ''), nullif(trim(coalesce(title, ''), ' '), ''))) AS description_md5, CASE WHEN salary IS NULL THEN '' ELSE trim(concat_ws(' ', coalesce(nullif(salary, ''), ''), 'EUR', 'year'), ' ') END AS salary, {_OR('job_type')} AS employment_type, coalesce(category, '') AS tags FROM remotive WHERE id % 7 <> 0""",
+    "q69_personio": f"""SELECT id::varchar AS source_job_id, CASE WHEN id % 2 = 0 THEN (id % 9)::varchar ELSE 'Acme Inc' END AS company, 'Role ' || id AS title, {_OR('category')} AS location, 'https://acme.jobs.personio.de/job/' || id || '?language=de' AS url,
+        md5('Tasks' || chr(10) || id || chr(10) || chr(10) || (['{"', '".join(providers.YEARS.values())}'])[id % {len(providers.YEARS)} + 1]) AS description_md5, concat_ws(' / ', nullif(trim(job_type, ' '), ''), CASE WHEN id % 3 = 0 THEN 'full-time' END) AS employment_type, concat_ws('|', nullif(trim(category, ' '), ''), (['{"', '".join(providers.YEARS)}'])[id % {len(providers.YEARS)} + 1]) AS tags FROM remotive""".replace('", "', "', '"),
+    "q70_feed_posts": "SELECT 'https://www.posts.example/in/' || (id % 500) AS url, 1::bigint AS n, 'posts' AS feed, true AS titled FROM remotive GROUP BY id % 500",
     "q46_exact_key_groups": f"""WITH k AS (SELECT id, unnest(['t|' || {_company('company_name')} || '|' || {_title('title')}, 'd|' || md5(coalesce(description, ''))]) AS k FROM remotive), f AS (SELECT k, min(id) AS a FROM k GROUP BY 1), l AS (SELECT DISTINCT a, id FROM k JOIN f USING (k) WHERE a <> id)
         SELECT id, min(a) AS first, count(*) AS links FROM l GROUP BY 1""",
 }
