@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import base64
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -38,8 +38,6 @@ from brimfold.plans.shared import bounded_rows, materialize
 
 MAX_PLAN_ROWS = 100_000
 GOLDEN = (5**0.5 - 1) / 2
-#: Cells of the line of slots; a slot is compared with the sources of its own cell only.
-LINE_CELLS = 4096
 #: Fixed value: the split pattern that belongs to the byte-level vocabularies.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
@@ -126,17 +124,20 @@ _PLAN = T.StructType([T.StructField(n, t()) for n, t in (("plan", T.StringType),
 
 def _schedule(spark: SparkSession, plans: list[dict]) -> DataFrame:
     """(plan, slot, source, block, copy): which block of which source stands in each slot."""
-    table = spark.createDataFrame([tuple(p[f.name] for f in _PLAN) for p in plans], _PLAN)
+    # the line of a plan is cut into as many cells as it has sources, so a cell has few of them and all plans together at most three rows a source
+    cells = Counter(p["plan"] for p in plans if p["high"] > p["low"])
     line = None
-    for plan, slots in sorted({(p["plan"], p["slots"]) for p in plans}):
-        part = spark.range(slots).select(F.lit(plan).alias("plan"), F.col("id").alias("slot"), ((F.col("id") + 0.5) * GOLDEN % 1).alias("_u"))
+    for plan, slots in sorted({(p["plan"], p["slots"]) for p in plans if cells[p["plan"]]}):
+        at = (F.col("id") + 0.5) * GOLDEN % 1
+        part = spark.range(slots).select(F.lit(plan).alias("plan"), F.col("id").alias("slot"), at.alias("_u"), F.floor(at * cells[plan]).alias("_c"))
         line = part if line is None else line.unionByName(part)
     if line is None:
         return spark.createDataFrame([], "plan string, slot bigint, source string, block bigint, copy bigint")
-    # each slot falls to one source: an equi-join on the cell of the line, in which few sources have a part
-    parts = table.where("high > low").withColumn("_c", F.explode(F.sequence(F.floor(F.col("low") * LINE_CELLS), F.floor(F.col("high") * LINE_CELLS))))
-    line = line.withColumn("_c", F.floor(F.col("_u") * LINE_CELLS))
-    taken = line.join(F.broadcast(parts), ["plan", "_c"]).where("_u >= low and _u < high").select("plan", "slot", "source", "max_repeats", "blocks", "step")
+    named = ("plan", "source", "low", "high", "max_repeats", "blocks", "step")
+    parts = [(*(p[n] for n in named), c) for p in plans if p["high"] > p["low"] for c in range(int(p["low"] * cells[p["plan"]]), int(p["high"] * cells[p["plan"]]) + 1)]
+    table = spark.createDataFrame(parts, "plan string, source string, low double, high double, max_repeats int, blocks bigint, step bigint, _c bigint")
+    # each slot falls to one source: an equi-join on the cell of the line
+    taken = line.join(F.broadcast(table), ["plan", "_c"]).where("_u >= low and _u < high").select("plan", "slot", "source", "max_repeats", "blocks", "step")
     width = max(1, max(p["slots"] for p in plans) // CELLS)
     ranked = running_total(taken, ["plan", "source"], F.floor(F.col("slot") / width), ["slot"], F.lit(1), "_rank")
     copy = F.floor(F.col("_rank") / F.col("blocks"))
@@ -157,8 +158,8 @@ def mix(docs: DataFrame, key: str, source: str, text: str, targets: DataFrame, t
     width = max(1, (raw.agg(F.max("raw")).first()[0] or 0) // CELLS)
     numbers = materialize(running_total(raw.select("source", "raw").distinct(), ["source"], F.floor(F.col("raw") / width), ["raw"], F.lit(1), "block"), "numbers")
     plans = plan_rows(targets, sizes, numbers)
-    blocks = raw.join(numbers, ["source", "raw"]).select("source", "block", "id", "tokens")
-    mixed = materialize(_schedule(spark, plans).join(blocks, ["source", "block"]).select("plan", "slot", "source", "id", "copy", "tokens"), "mix")
+    blocks = raw.join(numbers.hint("merge"), ["source", "raw"]).select("source", "block", "id", "tokens")
+    mixed = materialize(_schedule(spark, plans).join(blocks.hint("merge"), ["source", "block"]).select("plan", "slot", "source", "id", "copy", "tokens"), "mix")
     reached = mixed.groupBy("plan", "source").agg(F.sum("tokens").alias("mix_tokens"), F.count("*").alias("uses"))
     table = spark.createDataFrame([tuple(p[f.name] for f in _PLAN) for p in plans], _PLAN).select("plan", "source", "target_share", "max_repeats", "source_tokens")
     shares = table.join(reached, ["plan", "source"], "left").fillna(0, ["mix_tokens", "uses"])

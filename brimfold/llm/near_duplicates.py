@@ -159,8 +159,8 @@ def near_duplicates(df: DataFrame, key: str, texts: list[str], required: str, la
 
     banded = made.select(F.col("_row").alias("node"), "_bands").join(members.where("_first").select(F.col("rep").alias("node")), "node", "left_semi").select("node", F.posexplode("_bands").alias("_b", "_v"))
     held = banded.select(F.shiftleft(F.col("_b").cast("bigint"), 32).bitwiseOR(F.col("_v").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))).alias("_h"), "node")
-    buckets = materialize(held.groupBy("_h").agg(F.count("*").alias("_n"), F.min("node").alias("a"), F.max("node").alias("b"), F.sum("node").alias("_s")).where("_n > 1"), "buckets")
-    # of two or three nodes least, greatest and sum tell all; for more the members are looked up
+    buckets = materialize(held.groupBy("_h").agg(F.count("*").alias("_n"), F.min("node").alias("a"), F.max("node").alias("b"), F.try_sum("node").alias("_s")).where("_n > 1"), "buckets")
+    # of two or three nodes least, greatest and sum tell all (a sum that overflows is of many more); for more the members are looked up
     third = buckets.where("_n = 3").select("_h", "a", F.explode(F.array("b", F.col("_s") - F.col("a") - F.col("b"))).alias("b"))
     leaders = materialize(buckets.where("_n > 3").select("_h", "a"), "leaders")
     crowd = materialize(held.join(leaders, "_h").where("node <> a").select("_h", "a", F.col("node").alias("b")).unionByName(third), "crowd")
