@@ -17,10 +17,10 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     # written before it is turned round, so that what made the edges runs once
     pairs = materialize(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null and x <> y"), "pairs")
+    if not pairs.limit(1).count():
+        return pairs.select(F.col("x").alias("node"), F.col("y").alias("label"))
     both = materialize(pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges")
     discard(pairs)
-    if not both.limit(1).count():
-        return both.select(F.col("x").alias("node"), F.col("y").alias("label"))
     labels = materialize(both.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("node"), F.least("x", "y").alias("label")), "labels")
     while True:
         near = both.join(labels, both["y"] == labels["node"]).groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near"))
