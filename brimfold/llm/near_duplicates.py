@@ -130,13 +130,12 @@ def _verified(pairs: DataFrame, made: DataFrame, minima: int, threshold: float,
     if not likely.limit(1).count():
         return likely.withColumn("similarity", F.lit(0.0))
     # of the sets only those needed are moved; the side that may be hot is joined while rows are small
-    nodes = materialize(likely.select(F.col("a").alias("_row")).unionByName(likely.select(F.col("b").alias("_row"))).distinct(), "nodes")
+    nodes = likely.select(F.col("a").alias("_row")).unionByName(likely.select(F.col("b").alias("_row")))
     held = made.select("_row", "_set").join(nodes, "_row", "left_semi")
     side = lambda x: held.select(F.col("_row").alias(x), F.col("_set").alias(f"_set_{x}"))
     both = likely.join(side("a"), "a").join(side("b"), "b").select("a", "b", "_set_a", "_set_b")
     out = materialize(both.mapInArrow(_similarity, "a bigint, b bigint, similarity double"), name)
     discard(likely)
-    discard(nodes)
     return out
 
 
